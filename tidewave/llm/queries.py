@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tidewave.llm.fingerprints import op7_prefix_fingerprints
+from tidewave.llm.ogg import op6_ogg_media
 from tidewave.llm.packing import op2_best_fit_packing
 from tidewave.llm.pieces import op5_sentencepiece_codec
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_sentencepiece_codec, op6_ogg_media, op7_prefix_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
