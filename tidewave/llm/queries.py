@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tidewave.llm.fingerprints import op7_prefix_fingerprints
+from tidewave.llm.neardup import op3_weighted_minhash
 from tidewave.llm.ogg import op6_ogg_media
 from tidewave.llm.packing import op2_best_fit_packing
 from tidewave.llm.pieces import op5_sentencepiece_codec
 from tidewave.llm.substrings import op4_repeated_passages
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_repeated_passages, op5_sentencepiece_codec, op6_ogg_media, op7_prefix_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_weighted_minhash, op4_repeated_passages, op5_sentencepiece_codec, op6_ogg_media, op7_prefix_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
