@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewave.llm._common import table, written
+from tidewave.llm.neardup import one_of_each
 from tidewave.llm.packing import pack_documents
+from tidewave.llm.private import sanitise
+from tidewave.llm.substrings import without_repeats
+from tidewave.llm.toxicity import without_toxic
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sanitise(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
 #: The stages in order; each one's result, written as Parquet and read again, is the next one's documents.
-STAGES = [("packing", pack_stage)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeats", repeats), ("personal_data", personal_data), ("packing", packing)]
 
-#: Tokenizing, min-wise sampling and the classifier have no SQL form; tests hold run() against brute force.
+#: The kernel machine, weighted sampling and tokenizing have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewave.llm._common import _BASE, clean_ids, mix64, powers, spread, table, text_pieces, utf8_view, word_view, written
 
@@ -208,10 +209,9 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     return found
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, keep: bool = True) -> DataFrame:
-    """Documents without the words that repeated_spans covers: n_words, n_removed, and the rest's digest (keep: its text)."""
-    keyed = spread(clean_ids(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(keyed, window, prefix, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, extra: list[str], keep: bool) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, the columns `extra` of keyed, and with keep the text that is left."""
+    spans = repeated_spans(keyed.select("doc_id", "text", "th"), window, prefix, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches):
         for part in text_pieces(batches):
@@ -225,11 +225,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                         stays[x["start"] : x["end"]] = False
                     kept = list(compress(words, stays.tolist()))
                 joined = b" ".join(kept)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), (joined if len(kept) < len(words) else text.encode("utf-8")) if keep else None))
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), (joined.decode("utf-8") if len(kept) < len(words) else text) if keep else None))
             a, b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), *([pa.array([x.decode("utf-8") for x in d], pa.string())] if keep else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), *(part.column(x) for x in extra), *([pa.array(d, pa.string())] if keep else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *extra, *["kept"] * keep])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *[keyed.schema[x] for x in extra], *[T.StructField("kept", T.StringType())] * keep])
+    # a null doc_id joins nothing, so its row stays whole
+    return keyed.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans", *extra).mapInArrow(run, schema)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, keep: bool = True) -> DataFrame:
+    """Documents without the words that repeated_spans covers: n_words, n_removed, and the rest's digest (keep: its text)."""
+    keyed = spread(clean_ids(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text"))
+    return _cut(keyed, window, prefix, hot, [], keep)
+
 
-    return keyed.join(spans, ["doc_id", "th"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep)
+def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT) -> DataFrame:
+    """docs, all columns, whose texts (and n_chars) are without those words; a text that loses none stays as it is."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = spread(docs.select("doc_id", "text", row.alias("row"))).withColumn("th", F.xxhash64("text"))
+    cut = _cut(keyed, window, prefix, hot, ["row"], True)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    fixed = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return cut.select(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
