@@ -52,7 +52,7 @@ _REST = (4, 6)
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, int]], bool]:
-    """Items in page order: ("<", tag name, 0) or (kind of the words, raw text, number of the block); is there an article?"""
+    """Items in page order: ("<", tag name, 1 in content, else 0) or (kind of the words, raw text, number of the block); is there an article?"""
     items: list[tuple[str, str, int]] = []
     open_: list[tuple[str, bool, bool]] = []  # block elements: name, furniture, article
     furniture = articles = links = block = 0
@@ -84,10 +84,11 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], bool]:
         if name in _INLINE or name in _VOID:
             if name == "hr":
                 block += 1
-            items.append(("<", name, 0))
+            items.append(("<", name, int(articles > 0 and not furniture)))
             continue
         block += 1
         links = 0
+        content = articles > 0 and not furniture
         if m["close"]:
             if any(x[0] == name for x in open_):
                 while open_[-1][0] != name:
@@ -104,7 +105,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], bool]:
             open_.append((name, bad, article and not bad))
             furniture += bad
             articles += article and not bad
-        items.append(("<", name, 0))
+            content = articles > 0 and not furniture
+        items.append(("<", name, int(content)))
     text(page[at:])
     return items, seen
 
@@ -114,15 +116,11 @@ def evidence(page: str, counts: dict[str, list[int]]) -> None:
     items, labelled = parse(page)
     if not labelled:
         return
-    inside = False
-    for kind, text, _ in items:
+    for kind, text, inside in items:
         if kind == "<":
             counts.setdefault(f"<{text if text in _BLOCKS or text in _INLINE else 'other'}", [0, 0])[not inside] += 1
         elif kind:
-            content = kind.endswith("A") and "x" not in kind
-            n = len(text.split())
-            inside = content if n else inside
-            counts.setdefault(kind, [0, 0])[not content] += n
+            counts.setdefault(kind, [0, 0])[not kind.endswith("A") or "x" in kind] += len(text.split())
 
 
 class Weights:
@@ -132,7 +130,7 @@ class Weights:
         merged: dict[str, list[float]] = {}
         for kind, (inside, outside) in counts.items():
             if kind[0] == "<":
-                self.tags[kind[1:]] = 0.2 + 3 * (outside + 1) / (inside + outside + 2)
+                self.tags[kind[1:]] = 0.1 + 3 * (outside + 1) / (inside + outside + 2)
             else:
                 base = kind[: kind.rindex("|")]
                 for key in (kind, base):  # a page without an article has the average of both places
@@ -156,7 +154,7 @@ class Weights:
         return known
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name if name in _BLOCKS or name in _INLINE else "other", 0.3 if name in _BLOCKS or name in _INLINE else 1.0)
+        return self.tags.get(name if name in _BLOCKS or name in _INLINE else "other", 0.2 if name in _BLOCKS or name in _INLINE else 1.0)
 
 
 def main_text(page: str | None, weights: Weights) -> str:

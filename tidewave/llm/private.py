@@ -184,9 +184,9 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, said).otherwise(acc["said"]).alias("said"))
 
     clean = F.aggregate(F.array_sort(tagged), F.struct(F.lit(0).alias("at"), F.lit("").alias("said")), step, lambda acc: F.concat(acc["said"], F.substring(text, acc["at"] + 1, F.length(text))))
-    said = F.when(F.size(tagged) > 0, clean).otherwise(text)
-    fixed = {"text": said, "n_chars": F.coalesce(F.length(said), F.lit(0)).cast("long")}
-    return found.select(*[fixed[c].alias(c) if c in fixed else F.col(f"_row.`{c}`") for c in docs.columns])
+    said = found.select(F.when(F.size(tagged) > 0, clean).otherwise(text).alias("text"), "_row")
+    fixed = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return said.select(*[fixed[c].alias(c) if c in fixed else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
