@@ -1,4 +1,5 @@
 """Registered queries of the signal operators and the DuckDB SQL of each that SQL can express."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tidewave.plans.catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
