@@ -161,14 +161,48 @@ class Machine:
         return out
 
 
-def _word_list(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words: letters, first, lengths; and row and word number of each (word, word before it) the first time."""
-    letters, rows, first, lengths, hashes = words(texts)
-    _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-    before = np.append(0, hashes[:-1]).astype(np.uint64)[: len(hashes)]
-    before[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))[: len(hashes)]] = 0
-    _, once = np.unique(mix64(hashes) + mix64(before * _A), return_index=True)
-    return letters, first[at], lengths[at], rows[once], back[once]
+def _pieces(texts: list[str], limit: int = 1 << 19):
+    """Slices of the list with about `limit` characters each."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= limit:
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def _word_list(sides: tuple[list[str], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the lists of texts: letters, first, lengths; and how often each stands in each list.
+
+    A word counts once for each different word before it, in the first list that has both.
+    """
+    pairs, owners, lists, seen = [], [], [], []
+    letters, hashes, lengths = [], [], []
+    for side, texts in enumerate(sides):
+        for part in _pieces(texts):
+            codes, rows, first, sizes, found = words(part)
+            before = np.append(np.uint64(0), found[:-1])[: len(found)]
+            before[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))[: len(found)]] = 0
+            keys, once = np.unique(mix64(found) + mix64(before * _A), return_index=True)
+            pairs.append(keys)
+            owners.append(found[once])
+            lists.append(np.full(len(keys), side, np.int8))
+            distinct, at = np.unique(found, return_index=True)
+            n = sizes[at]
+            hashes.append(distinct)
+            lengths.append(n)
+            letters.append(codes[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    pairs, owners, lists = (np.concatenate(x) for x in (pairs, owners, lists))
+    _, once = np.unique(pairs, return_index=True)
+    owners, lists = owners[once], lists[once]
+    letters, hashes, lengths = (np.concatenate(x) for x in (letters, hashes, lengths))
+    distinct, at = np.unique(hashes, return_index=True)
+    first = (np.cumsum(lengths) - lengths)[at]
+    own = np.searchsorted(distinct, owners)
+    counts = np.stack([np.bincount(own[lists == k], minlength=len(distinct)) for k in range(len(sides))])
+    return letters, first, lengths[at], counts
 
 
 def _dense(rows: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int, table_: np.ndarray) -> np.ndarray:
@@ -201,14 +235,9 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.n
 
 
 def train_words(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine | None:
-    """The word machine; None if no word is typical of toxic texts.
-
-    A word counts once for each different word before it, so passages that stand in many copies count once.
-    """
+    """The word machine; None if no word is typical of toxic texts. Passages that stand in many copies count once."""
     bad, good = ([x for x, y in zip(texts, toxic, strict=True) if bool(y) is side] for side in (True, False))
-    letters, first, lengths, rows, own = _word_list(good + bad)  # a pair that clean texts have counts for them
-    t = np.bincount(own[rows >= len(good)], minlength=len(first))
-    n = np.bincount(own[rows < len(good)], minlength=len(first))
+    letters, first, lengths, (n, t) = _word_list((good, bad))
     share_t, share_n = t / max(t.sum(), 1), (n + 0.5) / max(n.sum(), 1)
     able = lengths >= 3
     positive = np.flatnonzero(able & (t >= 4) & (share_t > 12 * share_n))
@@ -231,7 +260,8 @@ def train_words(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS,
         values, vectors = np.linalg.eigh(z @ z.T)
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = _dense(*features(letters, first[chosen], lengths[chosen]), len(chosen), vocabulary) @ z.T @ root
+        blocks = [chosen[i : i + 1_000] for i in range(0, len(chosen), 1_000)]
+        x = np.concatenate([_dense(*features(letters, first[c], lengths[c]), len(c), vocabulary) @ z.T for c in blocks]) @ root
         w = svm(x, y, cost)
         machine = Machine(vocabulary, z.T @ (root @ w[:-1]), float(w[-1]))
         margins = np.concatenate([machine.margins(letters, first[pool[i : i + 20_000]], lengths[pool[i : i + 20_000]]) for i in range(0, len(pool), 20_000)])
@@ -245,11 +275,11 @@ class Detector:
 
     def __init__(self, texts: list[str], toxic: np.ndarray):
         distinct = dict(zip(texts, toxic.tolist(), strict=True))  # copies count once
-        texts, toxic = list(distinct), np.asarray(list(distinct.values()), np.int64)
+        texts, toxic = [*distinct], np.asarray(list(distinct.values()), np.int64)
         self.machine = train_words(texts, toxic) if 0 < toxic.sum() < len(toxic) else None
         if self.machine is None:
             return
-        x = self.inputs(self.machine.describe(texts))
+        x = self.inputs(np.concatenate([self.machine.describe(part) for part in _pieces(texts)]))
         w = np.zeros(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
