@@ -29,7 +29,7 @@ END_ID = 0
 #: Salts over which items of one length are ranked, so that one length may hold any share of the rows.
 SALTS = 1024
 #: Words that a worker remembers the ids of; beyond it the memory starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -57,7 +57,7 @@ class WordIds:
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        new = list(words - self.known.keys())
+        new = [w for w in words if w not in self.known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
