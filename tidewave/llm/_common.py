@@ -45,6 +45,24 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that `marked` broadcasts, 64 to a row: at most 2**18 rows, 4 MB.
+FILTER_BITS = 1 << 24
+
+
+def marked(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """df with a column `marked` more: true wherever keys (a written table) holds the row's columns, and for a few others.
+
+    It keeps texts that no join needs out of the shuffle. The broadcast's size is fixed; with more keys than it has bits
+    it marks more rows than needed, never fewer. Rows with null columns are not marked.
+    """
+    place = f"pmod(xxhash64({', '.join(columns)}), {FILTER_BITS}L)"
+    some = " and ".join(f"{c} is not null" for c in columns)
+    bits = keys.where(some).select(F.expr(f"cast({place} div 64 as int)").alias("_w"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))").alias("_b"))
+    bits = bits.groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    found = df.withColumn("_w", F.expr(f"case when {some} then cast({place} div 64 as int) end")).join(F.broadcast(bits), "_w", "left")
+    return found.withColumn("marked", F.expr(f"coalesce((_b & shiftleft(1L, cast({place} % 64 as int))) <> 0, false)")).drop("_w", "_b")
+
+
 def text_pieces(batches, limit: int = PIECE_BYTES):
     """Cut record batches with a column `text` into slices of about `limit` bytes of text; null text becomes empty."""
     for batch in batches:

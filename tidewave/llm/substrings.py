@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm._common import _BASE, clean_ids, mix64, powers, spread, table, text_pieces, utf8_view, word_view, written
+from tidewave.llm._common import _BASE, clean_ids, marked, mix64, powers, spread, table, text_pieces, utf8_view, word_view, written
 
 WINDOW = 50
 PREFIX = 16
@@ -197,8 +197,8 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     wanted = written(runs.join(shared.select("prefix", "records"), "prefix").groupBy("doc_id", "th", (F.col("records") > hot).alias("hot")).agg(F.sort_array(F.collect_set("start")).alias("wanted")), "wanted")
 
     def records(part: DataFrame) -> DataFrame:
-        # a left join, so that all readings of the documents share one exchange
-        return _suffix_records(keyed.join(part.select("doc_id", "th", "wanted"), ["doc_id", "th"], "left"), window, prefix)
+        texts = marked(keyed, part, "doc_id", "th").where("marked").drop("marked")
+        return _suffix_records(texts.join(part.select("doc_id", "th", "wanted"), ["doc_id", "th"]), window, prefix)
 
     found = subtrees(records(wanted.where("not hot")), window)
     if wanted.where("hot").limit(1).count():
@@ -212,6 +212,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, extra: list[str], keep: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, the columns `extra` of keyed, and with keep the text that is left."""
     spans = repeated_spans(keyed.select("doc_id", "text", "th"), window, prefix, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = written(spans, "spans")
 
     def run(batches):
         for part in text_pieces(batches):
@@ -230,8 +231,10 @@ def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, extra: list[str],
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), *(part.column(x) for x in extra), *([pa.array(d, pa.string())] if keep else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *extra, *["kept"] * keep])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *[keyed.schema[x] for x in extra], *[T.StructField("kept", T.StringType())] * keep])
-    # a null doc_id joins nothing, so its row stays whole
-    return keyed.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans", *extra).mapInArrow(run, schema)
+    told = marked(keyed, spans, "doc_id", "th")
+    cut = told.where("marked").join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans", *extra)
+    whole = told.where("not marked").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), *extra)  # a null doc_id among them
+    return cut.unionByName(whole).mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, keep: bool = True) -> DataFrame:
