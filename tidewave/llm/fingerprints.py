@@ -66,8 +66,13 @@ class PrefixHash:
         return out
 
     def equal(self, start: int, other: PrefixHash, other_start: int, length: int) -> bool:
-        one = np.asarray([start])
-        return length <= min(self.n - start, other.n - other_start) and bool(self.spans(one, length)[0] == other.spans(np.asarray([other_start]), length)[0])
+        if length > min(self.n - start, other.n - other_start):
+            return False
+        for p, q, (_, inverse) in zip(self.prefix, other.prefix, _power_tables(max(self.n, other.n)), strict=True):
+            own, its = int(p[start + length]) - int(p[start]), int(q[other_start + length]) - int(q[other_start])
+            if (own * int(inverse[start]) - its * int(inverse[other_start])) % PRIME:
+                return False
+        return True
 
     def extension(self, start: int, other: PrefixHash, other_start: int) -> int:
         """How many code points from the two starts on are the same, by binary search."""
