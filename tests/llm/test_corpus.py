@@ -94,6 +94,26 @@ def test_classes_equal_brute_force(spark, small, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_pairs_hidden_in_a_template_family_are_found(spark):
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(480)]
+    texts = []
+    for f in range(75):  # pairs at 0.85, at about 0.7 to all others
+        places = rng.sample(range(5, 475), 13)
+        for own in (places[5:9], places[9:]):
+            w = list(template)
+            for k in places[:5] + own:
+                w[k] = f"z{f}-{k}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows, common=1.0)
+    assert len({c for _, c in want}) == 75
+    for group in (neardup.GROUP, 16):
+        assert Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs, common=1.0, group=group).collect()) == want
+
+
 def test_one_document_of_each_class_stays(odd):
     rows = neardup.one_of_each(odd).collect()
     ids = [r.doc_id for r in rows]

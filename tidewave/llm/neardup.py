@@ -8,10 +8,10 @@ some task's share of the documents (or would not reach half of it in all), then
 
 Each document gets BANDS * ROWS samples (Ioffe's scheme: r and c from Gamma(2, 1), beta uniform, all from hashes of shingle
 and sample number); documents whose samples agree throughout a band are candidates. In a band's bucket every text is
-compared with the smallest document's, which takes as many comparisons as texts; texts not linked that way are then
-compared with their neighbours in the bucket's order by the next bands' samples. A pair links if its weighted Jaccard
-similarity, computed from the full texts, is at least THRESHOLD; classes are the connected components. Identical texts are
-one node from the start.
+compared with the smallest document's, which takes as many comparisons as texts and joins most; then every two texts of
+the bucket that are in different components are compared, in blocks of pairs, so that no candidate pair stays open. A pair
+links if its weighted Jaccard similarity, computed from the full texts, is at least THRESHOLD; classes are the connected
+components. Identical texts are one node from the start.
 
 Defined results: null text counts as empty; equal texts are one class; a null doc_id joins its text's class but links no
 further (its class is null if no other row has its text); rows with one doc_id are one document; an empty table gives no
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm._common import clean_ids, marked, mix64, spread, table, text_pieces, utf8_view, word_view, written
@@ -207,6 +207,89 @@ def verified(docs: DataFrame, pairs: DataFrame, weights: Weights, threshold: flo
     return placed.repartition(n, "center", "part").sortWithinPartitions("center", "part", "role").mapInArrow(run, "a long, b long").distinct()
 
 
+def open_members(shared: DataFrame, roots: DataFrame, group: int = GROUP) -> DataFrame:
+    """Texts of buckets that are not one component yet, once for each block (i, j) of their bucket.
+
+    A bucket's largest component is dealt into parts of about `group` texts, and so are its other texts; blocks are all
+    pairs of parts with one of the others' in it. A bucket's center was compared with all and is left out.
+    """
+    rooted = shared.where("rep <> center").select("band", "key", "rep", "bands").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sizes = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("bulk"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    parts = sizes.select("band", "key", "bulk", F.ceil(F.col("most") / group).cast("int").alias("p"), F.ceil((F.col("n") - F.col("most")) / group).cast("int").alias("q"))
+    dealt = rooted.join(parts, ["band", "key"]).withColumn("part", F.expr("cast(if(root = bulk, pmod(xxhash64(rep), p), p + pmod(xxhash64(rep), q)) as int)"))
+    across = F.expr("transform(sequence(p, p + q - 1), x -> struct(least(part, x) as i, greatest(part, x) as j))")
+    with_bulk = F.expr("if(root = bulk, array(), transform(sequence(0, p - 1), x -> struct(x as i, part as j)))")
+    return dealt.select("band", "key", F.col("rep").alias("doc_id"), "root", "bands", "part", F.explode(F.concat(across, with_bulk)).alias("_b")).select("*", "_b.i", "_b.j").drop("_b")
+
+
+def linked_in(block: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links (larger, smaller doc_id) among a block's texts: (doc_id, root, part, bands, band, i, j, hashes, weights) each.
+
+    Pairs of one component, or of one part unless the block is a part with itself, are not compared, nor are those that
+    meet in an earlier band's bucket too.
+    """
+    block = [x for x in block if len(x[7])]
+    if len(block) < 2:
+        return []
+    ids, _, part, bands, band, i, j = ([x[k] for x in block] for k in range(7))
+    part, component = np.asarray(part), np.unique([x[1] for x in block], return_inverse=True)[1]
+    before = np.asarray(bands, np.int64)[:, : band[0]]
+    sizes = np.asarray([len(x[7]) for x in block])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.unique(np.concatenate([x[7] for x in block]), return_inverse=True)[1]
+    worth = np.concatenate([x[8] for x in block])
+    total = np.add.reduceat(worth, first[:-1])
+    dense = np.zeros(int(at.max()) + 1)
+    out = []
+    for x in range(len(block) - 1):
+        rest = np.arange(x + 1, len(block))
+        rest = rest[(component[rest] != component[x]) & ((part[rest] != part[x]) | (i[0] == j[0]))]
+        rest = rest[~(before[rest] == before[x]).any(axis=1)]
+        if not len(rest):
+            continue
+        own = slice(first[x], first[x + 1])
+        dense[at[own]] = worth[own]
+        low = first[rest[0]]
+        both = np.add.reduceat(np.minimum(dense[at[low:]], worth[low:]), first[rest[0] : -1] - low)[rest - rest[0]]
+        dense[at[own]] = 0
+        for y in rest[both / (total[x] + total[rest] - both) >= threshold]:
+            out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+            component[component == component[y]] = component[x]
+    return out
+
+
+def verified_blocks(docs: DataFrame, members: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """The links (a, b) among the texts of each block of open_members() (written)."""
+    needed = marked(docs.select("doc_id", "text"), members.select("doc_id").distinct(), "doc_id").where("marked").drop("marked")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ("band", "key", "i", "j")
+
+    def run(batches):
+        now, block = None, []
+
+        def flush():
+            found = linked_in(block, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for piece in text_pieces(batches, _PIECE):
+            rows, hashes, times = shingles(piece)
+            worth = np.exp(weights(hashes, times).astype(np.float64))
+            bounds = np.searchsorted(rows, np.arange(piece.num_rows + 1))
+            held = {c: piece.column(c).to_pylist() for c in (*names, "doc_id", "root", "part", "bands")}
+            for k, name in enumerate(zip(*(held[c] for c in names), strict=True)):
+                if name != now:
+                    if block:
+                        yield flush()
+                    now, block = name, []
+                mine = slice(bounds[k], bounds[k + 1])
+                block.append((held["doc_id"][k], held["root"][k], held["part"][k], held["bands"][k], name[0], name[2], name[3], hashes[mine].copy(), worth[mine].copy()))
+        if block:
+            yield flush()
+
+    return needed.join(members, "doc_id").repartition(n, *names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node of each node's connected component (large-star and small-star steps until nothing changes)."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -224,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS, common: float = COMMON) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS, common: float = COMMON, group: int = GROUP) -> DataFrame:
     """Per document: its class (smallest doc_id in it), and the smallest doc_id with the same text."""
     keyed = spread(clean_ids(docs, "doc_id", "text")).withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     n = docs.count()
@@ -232,17 +315,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sketched = written(sketches(keyed, weights, bands, rows_per_band), "sketches")
     texts = sketched.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     buckets = texts.where("rep is not null").select("rep", "bands", F.posexplode("bands").alias("band", "key"))
-    buckets = buckets.withColumn("next", F.get("bands", F.pmod(F.col("band") + 1, F.lit(bands)))).withColumn("after", F.get("bands", F.pmod(F.col("band") + 2, F.lit(bands)))).drop("bands")
     sizes = buckets.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, ["band", "key"]), "buckets")
     stars = written(shared.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "stars")
     links = written(verified(keyed, stars, weights, threshold), "links")
     roots = components(links)
-    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    order = Window.partitionBy("band", "key", "salt").orderBy("next", "after", "rep")
-    chained = rooted.withColumn("salt", F.pmod(F.xxhash64("next"), F.ceil(F.col("n") / (16 * GROUP)))).select("rep", "root", F.lag("rep").over(order).alias("other"), F.lag("root").over(order).alias("other_root"))
-    chains = chained.where("root <> other_root").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(verified(keyed, written(chains, "chains"), weights, threshold), "links")
+    members = written(open_members(shared, roots, group), "members")
+    more = written(verified_blocks(keyed, members, weights, threshold), "links")
     roots = components(links.unionByName(more))
     classed = texts.select("t1", "t2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("t1", "t2", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
     return sketched.select("doc_id", "t1", "t2").join(classed, ["t1", "t2"]).select("doc_id", "class_id", "copy_of")
