@@ -192,6 +192,15 @@ def test_disclosing_terms_go_and_others_stay(spark):
     assert said[100].text == rows[-2][1] and said[99].text is None and said[1]._pii == "extra"
 
 
+def test_disclosing_terms_far_from_the_entity_go(spark):
+    mail, far = "secret.person@mail.example.com", "common things are told about " * 10
+    rows = [(i, f"Zebediah and Zoe {far}{mail} {far}") for i in range(4)]
+    rows = [(i, f"{t} number {i}") for i, t in rows] + [(10 + i, f"{far} and number {i}") for i in range(40)]
+    said = {r.doc_id: r.text for r in private.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert said[i] == t.replace(mail, "[EMAIL]").replace("Zebediah", "").replace("Zoe", "")
+
+
 def labelled(spark, n=900):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice(["the", "er", "in", "an", "on", "at", "ed", "or", "ti", "re"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]

@@ -3,8 +3,8 @@
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers, leftmost and non-overlapping for each
 kind. Each is a protected entity. How much a term discloses an entity is their pointwise mutual information over the
 documents of the corpus, against the entity's own information content: log(n_both * N / (n_entity * n_term)) /
-log(N / n_entity), which is 1 if the term never stands in a document without the entity. Terms are words of letters near
-an entity (CONTEXT characters either side) that stand with it in at least SUPPORT different texts; their counts are over
+log(N / n_entity), which is 1 if the term never stands in a document without the entity. Terms are words of letters
+anywhere in a text that holds the entity, if they stand with it in at least SUPPORT different texts; their counts are over
 all documents. From GENERALISE on, a term is generalised (to its class) in the texts that hold the entity, from REMOVE on
 it is removed; elsewhere it stays, as it discloses nothing there.
 
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from tidewave.llm._common import clean_ids, table, written
 
-CONTEXT = 60
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -37,7 +36,7 @@ PATTERNS = {
 }
 #: What a text must hold for any match to count, cheap to look for.
 GATES = {"email": "contains(text, '@')", "ip": r"text rlike '[0-9]\\.[0-9]+\\.[0-9]'", "card": "text rlike '[0-9](?:[ -]?[0-9]){12}'", "phone": "contains(text, '+')"}
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}{3,}"
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 _SPAN = "array<struct<start:int,end:int>>"
 
@@ -92,40 +91,38 @@ def _count() -> Column:
 
 
 def _entities(text: Column) -> Column:
-    """(entity, its context's terms) of each base span; an entity is its kind with its address, or its digits."""
+    """The entity of each base span: its kind with its address, or its digits."""
 
     def of(kind: str) -> Column:
         def one(s: Column) -> Column:
             value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
             value = F.lower(value) if kind == "email" else value if kind == "ip" else _digits(value)
-            start = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            before = F.substring(text, start + 1, s["start"] - start)
-            before = F.when(start > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # a word that is cut is none
-            after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-            after = F.when(s["end"] + CONTEXT < F.length(text), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-            around = F.regexp_replace(F.concat_ws(" ", before, after), r"\S*[@0-9]\S*", " ")
-            terms = F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0)))
-            return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), terms.alias("terms"))
+            return F.concat(F.lit(f"{kind}:"), value)
 
         return F.transform(F.col(f"_pii.{kind}"), one)
 
-    return F.concat(*map(of, KINDS))
+    return F.array_distinct(F.concat(*map(of, KINDS)))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words of letters of a text, without those in addresses and numbers."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, r"\S*[@0-9]\S*", " ")), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """For each text with entities (t1, t2) the terms to generalise and to remove. found: with_base_spans() of docs."""
     n = docs.count()
-    mentions = found.where(_count() > 0).select("_pii.t1", "_pii.t2", F.explode(_entities(F.col("text"))).alias("e")).select("t1", "t2", "e.entity", "e.terms")
-    texts = written(mentions.groupBy("t1", "t2", "entity").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"), F.count(F.lit(1)).alias("mentions")), "mentions")
-    copies = found.where(_count() > 0).groupBy("_pii.t1", "_pii.t2").agg(F.count(F.lit(1)).alias("copies"))
-    texts = written(texts.drop("mentions").join(copies, ["t1", "t2"]), "entities")
-    entity = texts.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
-    both = texts.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    holders = found.where(_count() > 0).groupBy("_pii.t1", "_pii.t2").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("_pii").alias("_pii"))
+    texts = written(holders.select("t1", "t2", "copies", _entities(F.col("text")).alias("entities"), _terms(F.col("text")).alias("terms")), "entities")
+    mentions = texts.select("t1", "t2", "copies", F.explode("entities").alias("entity"))
+    entity = written(mentions.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts"), "entity")
+    pairs = mentions.join(entity.select("entity"), "entity").join(texts.select("t1", "t2", "terms"), ["t1", "t2"]).select("t1", "t2", "entity", "copies", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     told = F.log(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
     share = F.try_divide(told, F.log(F.lit(float(max(n, 1))) / F.col("n_entity")))
     flagged = both.join(entity, "entity").join(terms, "term").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("remove"))
-    own = texts.select("t1", "t2", "entity", F.explode("terms").alias("term")).join(flagged, ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("remove").alias("remove"))
+    own = pairs.join(flagged, ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("remove").alias("remove"))
     return own.groupBy("t1", "t2").agg(F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("remove"), F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("generalise"))
 
 
