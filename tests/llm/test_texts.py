@@ -1,10 +1,12 @@
 """Coding, packing, media, fingerprints and page texts against brute force, exact round trips and the libraries."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -75,6 +77,16 @@ def test_packing_holds_every_token_once(small, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_ids_of_odd_strings_equal_the_library():
+    rng = random.Random(5)
+    signs = [*"abcXYZ019 \n\t\r\x0b\x0c\x00.,'!%éÈßİΣσςñ\u0301\u00a0<|endoftext|>ㅏ가中😀\u200d", "'s", "'LL", "<|endoftext|>", "n't", "\u2003"]
+    made = ["", "\x00", " \x00 \x00", *("".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000))]
+    encode = packing.WordIds(packing.default_tokenizer())
+    for texts in (made[:1000], made[500:]):  # words of the second call are known in part
+        ids, bounds = encode(pa.array(texts, pa.large_string()))
+        assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == [encode.tokenizer.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+
+
 def test_large_items_pair_at_most_twice():
     rng = np.random.RandomState(1)
     for _ in range(30):

@@ -15,21 +15,24 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import clean_ids, spread, table, text_pieces, written
+from tidewave.llm._common import clean_ids, spread, table, text_pieces, utf8_view, word_view, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Salts over which items of one length are ranked, so that one length may hold any share of the rows.
 SALTS = 1024
+#: Items of one length and salt at most, on average: with more items of a length there are more salts.
+PER_SALT = 1_000_000
 #: Words that a worker remembers the ids of; beyond it the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Stands between words that go through the library together, so many in a line; words that hold it go alone.
+SEPARATOR, TOGETHER = "\0", 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -44,33 +47,75 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of whole texts by a `tokenizers` file that drops white space.
 
-    White space always separates pre-tokens there, so texts are cut at spaces and line feeds and each distinct word goes
-    through the library once per worker.
+    White space always separates pre-tokens there, so texts are cut at it and each distinct word goes through the library
+    once per worker, many at a time with SEPARATOR between them. Words are told apart by 64-bit hashes within one memory
+    of REMEMBERED words (odds of a clash: one in 10**8 for a full memory).
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                yield b"".join(map(self.known.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # slot k's ids: first[k] to first[k + 1]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has."""
+        together = self.mark is not None and not any(SEPARATOR in w for w in words)
+        lines = [f" {SEPARATOR} ".join(words[i : i + TOGETHER]) + f" {SEPARATOR} " for i in range(0, len(words), TOGETHER)] if together else words
+        found = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        if not together:
+            return np.concatenate(found), np.asarray([len(x) for x in found])
+        flat = np.concatenate(found)
+        ends = np.flatnonzero(flat == self.mark)
+        return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
+
+    def learn(self, words: list[str], hashes: list[int]) -> None:
+        if len(self.slots) > REMEMBERED:
+            self.forget()
+        odd = [SEPARATOR in w for w in words]
+        groups = [[k for k, x in enumerate(odd) if x is side] for side in (False, True)]
+        held, counts = [self.ids], []
+        for group in groups:
+            if group:
+                ids, n = self._encoded([words[k] for k in group])
+                held.append(ids)
+                counts.append(n)
+        self.slots.update(zip((hashes[k] for group in groups for k in group), range(len(self.first) - 1, len(self.first) - 1 + len(words)), strict=True))
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate(counts)))
+        self.ids = np.concatenate(held)
+
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, END_ID after each, and where each text's ids start (texts + 1 numbers)."""
+        data, offsets = utf8_view(texts)
+        starts, ends, hashes, firsts = word_view(data, offsets)
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        listed = distinct.tolist()
+        slots = np.fromiter((self.slots.get(h, -1) for h in listed), np.int64, len(listed))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            if len(self.slots) > REMEMBERED:
+                self.forget()
+                new = np.arange(len(listed))
+            raw = data.tobytes()
+            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
+            self.learn([raw[i:j].decode() for i, j in spans], [listed[k] for k in new])
+            slots[new] = [self.slots[listed[k]] for k in new]
+        word = slots[back]
+        sizes = self.first[word + 1] - self.first[word]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        row = np.repeat(np.arange(len(texts)), np.diff(firsts))
+        bounds = before[firsts] + np.arange(len(texts) + 1)
+        out = np.full(bounds[-1], END_ID, np.uint32)
+        flat = np.arange(before[-1])
+        out[flat + np.repeat(row, sizes)] = self.ids[np.repeat(self.first[word] - before[:-1], sizes) + flat]
+        return out, bounds
 
 
 _encoders: dict[str, WordIds] = {}
@@ -79,17 +124,20 @@ _encoders: dict[str, WordIds] = {}
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most `capacity` ids of each document, whose ids end with END_ID."""
     path = tokenizer or default_tokenizer()
-    step, end = 4 * capacity, np.asarray([END_ID], "<u4").tobytes()
 
     def cut(batches):
         encode = _encoders.setdefault(path, WordIds(path))
         for part in text_pieces(batches):
-            rows = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                ids += end
-                rows += [(doc_id, i, i * capacity, len(ids[i * step : (i + 1) * step]) // 4, zlib.crc32(ids[i * step : (i + 1) * step])) for i in range(-(-len(ids) // step))]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, bounds = encode(part.column("text"))
+            n = -(-np.diff(bounds) // capacity)
+            row = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(np.diff(bounds)[row] - start, capacity)
+            raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+            begin = (bounds[:-1][row] + start) * 4
+            codes = [zlib.crc32(raw[i : i + k]) for i, k in zip(begin.tolist(), (4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(codes, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return spread(clean_ids(docs, "doc_id", "text")).mapInArrow(cut, PIECES)
 
@@ -171,7 +219,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every piece its sequence and its offset there. `pieces` is read three times: pass a written table."""
     counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = plan(counts, capacity)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS)).cast("int")
+    salts = max(SALTS, -(-max(counts.values(), default=0) // PER_SALT))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int")
     salted = pieces.withColumn("salt", salt)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
