@@ -174,6 +174,36 @@ def test_base_spans_equal_the_patterns(spark, small, odd, none):
     assert private.find_personal_data(none).count() == 0
 
 
+def test_base_spans_of_long_texts_equal_the_patterns(spark):
+    rng = random.Random(2)
+    none, known = {}, {}
+    for text in ("1" * 100_000, "1" * 1_000_000, "1 " * 500_000, "q" * 1_000_000, "+1" + " 2" * 50_000):
+        known[text] = none
+    known["a@b" + ".c" * 50_000] = {"email": [(0, 100_003)]}
+    known["1." * 20_000] = {"ip": [(k, k + 7) for k in range(0, 40_000, 8)]}
+    texts = ["7" * 3_000, "".join(rng.choice(["a@b.cd ", "10.0.0.1 ", "4111111111111111, ", "+49 30 1234567; ", "é😀 word ", "@", "+"]) for _ in range(3_000)), *known]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in private.find_personal_data(docs).collect()}
+    said = {r.doc_id: r.text for r in private.sanitise(docs).collect()}
+    for i, text in enumerate(texts):
+        base = known.get(text) if text in known else brute_base(text)  # the plain search takes the square of such lengths
+        joined = ",".join(f"{k}:{a}:{b}" for k in private.KINDS for a, b in base.get(k, []))
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and got[i].spans == joined
+        out, at = "", 0
+        for a, b, label in sorted((a, b, private.PLACEHOLDERS[k]) for k, x in base.items() for a, b in x):
+            out, at = (out + text[at:a] + label if a >= at else out), max(at, b)
+        assert said[i] == out + text[at:]
+
+
+def test_terms_that_disclose_a_mail_domain_go(spark):
+    rows = [(i, f"Write to clerk{i} of Brackenfold at clerk{i}@bracken.example about common things {'and ' * i}") for i in range(6)]
+    rows += [(10 + i, f"Write about common things and text number {i} at will") for i in range(60)]
+    said = {r.doc_id: r.text for r in private.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Brackenfold" not in said[i] and "[EMAIL] about common things" in said[i] for i in range(6)) and said[10] == rows[6][1]
+    kept = {r.doc_id: r.text for r in private.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), letters=12).collect()}
+    assert all("Brackenfold" in kept[i] for i in range(6))
+
+
 def test_disclosing_terms_go_and_others_stay(spark):
     mail = "secret.person@mail.example.com"
     rows = [(i, f"Text {i} by Zebediah at {mail} about common things {'and ' * i}") for i in range(4)]
