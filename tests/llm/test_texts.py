@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -188,3 +189,52 @@ def test_whole_articles_of_the_table(spark):
         inside = p.html[p.html.index("<article>") + 9 : p.html.index("</article>")]
         words = extraction.entities.unescape(extraction.re.sub(r"<[^>]*>", " ", inside)).split()
         assert rows[p.page_id].split() == words
+
+
+def test_best_run_equals_an_exhaustive_search():
+    rng = random.Random(4)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 2.0]) for _ in range(rng.randint(0, 14))]
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        begin, end = extraction.best_run(scores)
+        top = max(sums.values(), default=0)
+        assert (begin, end) == (0, 0) if top <= 0 else sums[begin, end] == top
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="content with-sidebar">{}</div>',
+        '<div class="no-sidebar"><article>{}</article></div>',
+        '<main class="search-page">{}</main>',
+        '<article class="has-comments">{}</article>',
+        '<div class="page-sidebar"><div class="overflow-hidden">{}</div></div>',
+        '<form id="aspnetForm">{}</form>',
+        '<article><div class="article-header"><h2>Own heading</h2></div>{}</article>',
+        '<div data-hidden="x" class=\'hidden-print\'>{}</div>',
+    ],
+)
+def test_wrappers_do_not_take_the_article_with_them(around):
+    body = "<h1>Head line</h1><p>" + "some words of content here " * 20 + "</p><p>" + "more words there " * 20 + "</p>"
+    page = f'<body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies on this site</div>{around.format(body)}<div class="comments"><p>a reader says this</p></div><footer>foot</footer></body>'
+    text = extraction.main_text(page, extraction.Weights({}))
+    assert ("Own heading" in text) == ("Own heading" in page)
+    assert text.removeprefix("Own heading\n\n").split("\n\n") == ["Head line", ("some words of content here " * 20).strip(), ("more words there " * 20).strip()]
+
+
+def test_text_without_marks_of_articles(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    weights, shares = extraction.learn(pages), []
+    for p in pages.collect():
+        inside = p.html[p.html.index("<article>") + 9 : p.html.index("</article>")]
+        words = Counter(extraction.entities.unescape(extraction.re.sub(r"<[^>]*>", " ", inside)).split())
+        plain = extraction.re.sub(r"</?(?:article|main)\b[^>]*>| (?:class|id|role)=\"[^\"]*\"", "", p.html)
+        got = Counter(extraction.main_text(plain, weights).split())
+        shares.append(2 * (got & words).total() / (got.total() + words.total()))
+    assert sum(shares) / len(shares) >= 0.95
+
+
+def test_deep_pages_take_time_by_their_length():
+    began = time.perf_counter()
+    assert extraction.main_text("<div>" * 50_000 + "text here and more of it" + "</span></p></section>" * 50_000, extraction.Weights({})) in ("", "text here and more of it")
+    assert time.perf_counter() - began < 10

@@ -2,14 +2,20 @@
 
 A page is a sequence of text runs and tags. Every word scores the probability that a word of its kind is content (kind:
 the nearest block element, in a link or not, inside an element that its name or class marks as furniture or not, and
-whether it lies in an article element if the page has one); every tag costs, the more the likelier it stands outside of
-content. One linear scan finds the contiguous run of highest total, and its blocks whose words are likelier content than
-not make the text. The weights come from labelled pages: those that mark their own content with one article or main
-element, counted over at most TRAINING_PAGES of them, on top of PRIOR, which alone decides where no page is labelled.
+whether it lies in an article or main element, on pages where such elements hold a fair share of the words); every tag
+costs, the more the likelier it stands outside of content. One linear scan finds the contiguous run of highest total. All
+its text is the result but for what stands in furniture (an aside or a form within an article) and for blocks of links
+alone. The weights come from labelled pages: those that mark their own content with one article or main element, counted
+over at most TRAINING_PAGES of them, on top of PRIOR, which alone decides where no page is labelled.
+
+A class, id or role marks furniture by its own meaning: `comments` and `site-header` do, `has-comments`, `no-sidebar`,
+`search-page` and `article-header` tell something else. An element that holds MOST of the page's words outside of links
+is no furniture whatever its class.
 
 Defined results: null or empty html and pages without content give the empty text; null page_id and url stay null;
 repeated rows give repeated rows; an empty table gives none; extra columns are ignored; unclosed tags, comments, quotes
-and scripts end where the page ends; broken character references stay as they are.
+and scripts end where the page ends; broken character references stay as they are; of regions that score alike the first
+one counts; very long and deeply nested pages are read whole, in time proportional to their length.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+>?",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?![\w-])|style\s*=\s*(?:\"[^\"]*\bdisplay\s*:\s*none|'[^']*\bdisplay\s*:\s*none)|aria-hidden\s*=\s*[\"']?true)", re.I)
+_QUOTED = re.compile(r"((?<![\w-])(?:style|aria-hidden)\s*=\s*)?(\"[^\"]*\"|'[^']*')", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,30 +52,70 @@ _SIGNS = frozenset(
     "dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply "
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: First parts of names that tell what a page has, not what an element is; last parts that name a page or its layout.
+_STATES = frozenset("has no not with without is show hide when".split())
+_WHOLES = frozenset("page layout template enabled open active on view wrap wrapper container".split())
+#: Parts that make a header one of the content.
+_CONTENT = frozenset("article content entry post story main title".split())
+#: Share of a page's words, outside of links, from which on an element is no furniture.
+MOST = 0.6
+#: Share of a page's words, outside of links and furniture, from which on article elements tell where the content is.
+FAIR = 1 / 3
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd div section article main td th tr table blockquote pre figure figcaption body html nav aside footer header form summary details".split())
 #: Words inside and outside of content for each kind of block, as if counted before: (inside, outside).
 PRIOR = {"p": (80, 20), "h1": (8, 4), "h2": (8, 4), "h3": (8, 5), "h4": (6, 5), "blockquote": (9, 1), "pre": (9, 1), "li": (5, 5), "td": (5, 5), "dd": (6, 4), "figcaption": (6, 4), "article": (8, 2), "main": (7, 3)}
 _REST = (4, 6)
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, int]], bool]:
-    """Items in page order: ("<", tag name, 1 in content, else 0) or (kind of the words, raw text, number of the block); is there an article?"""
-    items: list[tuple[str, str, int]] = []
-    open_: list[tuple[str, bool, bool]] = []  # block elements: name, furniture, article
-    furniture = articles = links = block = 0
-    seen = False
+def _signed(named: str) -> bool:
+    """Does a name among those of class, id or role mark furniture?"""
+    for name in named.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not parts or _SIGNS.isdisjoint(parts) or parts[0] in _STATES or parts[-1] in _WHOLES:
+            continue
+        if "header" in parts and not _CONTENT.isdisjoint(parts) and len(_SIGNS.intersection(parts)) == 1:
+            continue
+        return True
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(_HIDDEN.search(_QUOTED.sub(lambda m: m[0] if m[1] else '""', attributes)))
+
+
+def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, int, int]], bool]:
+    """Items in page order: ("<", tag name, 1 in content, else 0, 0) or (kind of the words, raw text, number of the block, words).
+
+    And whether article elements tell where the content is. `spared` are numbers of elements that are no furniture.
+    """
+    items: list[tuple[str, str, int, int]] = []
+    open_: list[tuple[str, bool, bool, int, int]] = []  # block elements: name, furniture, article, number or -1, words before
+    names: dict[str, int] = {}  # how many elements of each name are open
+    furniture = articles = links = block = number = 0
+    words = clear = inside = 0  # outside of links: all, outside of furniture, in articles
+    large: set[int] = set()
+    held: list[tuple[int, int]] = []  # elements that their class, or being a form, marks: number, words
     at = 0
 
     def text(raw: str) -> None:
+        nonlocal words, clear, inside
         if raw:
             near = open_[-1][0] if open_ else "body"
-            items.append((f"{near if near in _BLOCKS else 'other'}|{'a' if links else ''}{'x' if furniture else ''}|{'A' if articles else 'O'}", raw, block))
+            n = len(raw.split())
+            if not links:
+                words += n
+                clear += 0 if furniture else n
+                inside += n if articles and not furniture else 0
+            items.append((f"{near if near in _BLOCKS else 'other'}|{'a' if links else ''}{'x' if furniture else ''}|{'A' if articles else 'O'}", raw, block, n))
 
     def pop() -> None:
         nonlocal furniture, articles
-        _, was_furniture, was_article = open_.pop()
+        name, was_furniture, was_article, own, before = open_.pop()
+        names[name] -= 1
         furniture -= was_furniture
         articles -= was_article
+        if own >= 0:
+            held.append((own, words - before))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -77,20 +124,20 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], bool]:
         if not name:
             continue
         if name == "br":
-            items.append(("", " ", block))
+            items.append(("", " ", block, 0))
             continue
         if name == "a":
             links = 0 if m["close"] else 1
         if name in _INLINE or name in _VOID:
             if name == "hr":
                 block += 1
-            items.append(("<", name, int(articles > 0 and not furniture)))
+            items.append(("<", name, int(articles > 0 and not furniture), 0))
             continue
         block += 1
         links = 0
         content = articles > 0 and not furniture
         if m["close"]:
-            if any(x[0] == name for x in open_):
+            if names.get(name):
                 while open_[-1][0] != name:
                     pop()
                 pop()
@@ -99,16 +146,27 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], bool]:
                 while open_ and open_[-1][0] in (("p",) if name == "p" else ("p", "li")):
                     pop()
             article = name in ("article", "main")
-            named = " ".join(x for found in _NAMED.findall(m["attributes"]) for x in found)
-            bad = (name in _FURNITURE and not (name in ("header", "address") and articles)) or bool(named and not _SIGNS.isdisjoint(w.lower() for w in _PARTS.findall(named)) and name not in ("html", "body")) or (name not in ("html", "body") and bool(_HIDDEN.search(m["attributes"])))
-            seen |= article and not bad and not furniture
-            open_.append((name, bad, article and not bad))
+            own = -1
+            bad = name in _FURNITURE and not (name in ("header", "address") and articles)
+            if name == "form" or not bad and name not in ("html", "body"):
+                named = " ".join(x for found in _NAMED.findall(m["attributes"]) for x in found)
+                if name == "form" or named and _signed(named) or _hidden(m["attributes"]):
+                    number += 1
+                    own = number
+                    bad = own not in spared
+            open_.append((name, bad, article and not bad, own, words))
+            names[name] = names.get(name, 0) + 1
             furniture += bad
             articles += article and not bad
             content = articles > 0 and not furniture
-        items.append(("<", name, int(content)))
+        items.append(("<", name, int(content), 0))
     text(page[at:])
-    return items, seen
+    while open_:
+        pop()
+    large = {own for own, n in held if n > MOST * words}
+    if large and not spared:
+        return parse(page, frozenset(large))
+    return items, inside > 0 and inside >= FAIR * clear
 
 
 def evidence(page: str, counts: dict[str, list[int]]) -> None:
@@ -116,11 +174,11 @@ def evidence(page: str, counts: dict[str, list[int]]) -> None:
     items, labelled = parse(page)
     if not labelled:
         return
-    for kind, text, inside in items:
+    for kind, text, inside, n in items:
         if kind == "<":
             counts.setdefault(f"<{text if text in _BLOCKS or text in _INLINE else 'other'}", [0, 0])[not inside] += 1
         elif kind:
-            counts.setdefault(kind, [0, 0])[not kind.endswith("A") or "x" in kind] += len(text.split())
+            counts.setdefault(kind, [0, 0])[not kind.endswith("A") or "x" in kind] += n
 
 
 class Weights:
@@ -157,30 +215,38 @@ class Weights:
         return self.tags.get(name if name in _BLOCKS or name in _INLINE else "other", 0.2 if name in _BLOCKS or name in _INLINE else 1.0)
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    if not page:
-        return ""
-    items, labelled = parse(page)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Begin and end (exclusive) of the contiguous run with the highest sum, the first of them; (0, 0) if none is above 0."""
     best, best_from, best_to = 0.0, 0, 0
     total, begin = 0.0, 0
-    likely = []
-    for i, (kind, text, _) in enumerate(items):
-        if kind == "<":
-            total -= weights.tag(text)
-            likely.append(0.0)
-        else:
-            p = weights.word(kind, labelled) if kind else 0.0
-            likely.append(p)
-            total += p * len(text.split())
+    for i, score in enumerate(scores):
+        total += score
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:
             best, best_from, best_to = total, begin, i + 1
-    blocks: dict[int, list[str]] = {}
-    for (kind, text, block), p in zip(items[best_from:best_to], likely[best_from:best_to], strict=True):
-        if kind != "<" and (p >= 0.5 or (not kind and block in blocks)):
-            blocks.setdefault(block, []).append(entities.unescape(text) if "&" in text else text)
-    joined = (" ".join("".join(x).split()) for x in blocks.values())
+    return best_from, best_to
+
+
+def main_text(page: str | None, weights: Weights) -> str:
+    if not page:
+        return ""
+    items, labelled = parse(page)
+    scores = [-weights.tag(text) if kind == "<" else n and n * weights.word(kind, labelled) for kind, text, _, n in items]
+    begin, end = best_run(scores)
+    blocks: dict[int, list[tuple[str, bool]]] = {}
+    for kind, text, block, n in items[begin:end]:
+        if kind == "<":
+            continue
+        if not kind:
+            blocks.setdefault(block, []).append((text, False))
+            continue
+        flags, place = kind.rsplit("|", 2)[1:]
+        if "x" in flags or (labelled and place == "O" and n and weights.word(kind, labelled) < 0.5):
+            continue
+        plain = n > 0 and ("a" not in flags or weights.word(kind, labelled) >= 0.5)
+        blocks.setdefault(block, []).append((entities.unescape(text) if "&" in text else text, plain))
+    joined = (" ".join("".join(text for text, _ in x).split()) for x in blocks.values() if any(plain for _, plain in x))
     return "\n\n".join(x for x in joined if x)
 
 
