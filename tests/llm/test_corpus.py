@@ -271,11 +271,47 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert clean.columns == docs.columns and 900 not in {r.doc_id for r in clean.collect()} and clean.where("score = 0.1").count() == clean.count()
 
 
+def test_altered_insults_are_found(spark):
+    """One insult, altered at random, in twelve words of a clean document; the detector is the one of the sf0.1 tables."""
+    top = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{top}/{x}.parquet") for x in ("documents", "labels"))
+    detector = toxicity.fit(docs, labels)
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").select("doc_id", "text", "toxic").collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    got = detector([r.text or "" for r in held]) >= toxicity.CUT
+    truth = np.asarray([r.toxic for r in held]) == 1
+    assert (got & truth).sum() >= 0.87 * truth.sum() and (got & ~truth).sum() <= 0.01 * (~truth).sum()
+    seen = Counter(w for r in rows if r.toxic and not zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for w in set((r.text or "").split()))
+    bad = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
+    assert all(seen[w] >= 20 for w in bad) and (detector.machine.margins(*toxicity.coded(bad)) > 0).all()
+    rng = random.Random(1)
+    clean = [r.text.split() for r in held if r.toxic == 0 and len(r.text or "") > 300]
+
+    def sentence():
+        words = rng.choice(clean)
+        at = rng.randrange(max(1, len(words) - 12))
+        return words[at : at + 12]
+
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz01")
+    kinds = [lambda w, i: w[:i] + letter() + w[i:], lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + letter() + w[i + 1 :], lambda w, i: w[:i] + w[i - 1] + w[i:], lambda w, i: w[:i] + " " + w[i:], lambda w, i: ".".join(w), lambda w, i: " ".join(w)]
+    shares = []
+    for kind in kinds:
+        made = []
+        for w in bad * 20:
+            words = sentence()
+            words.insert(rng.randrange(len(words) + 1), kind(w, rng.randrange(1, len(w))))
+            made.append(" ".join(words))
+        shares.append((detector(made) >= toxicity.CUT).mean())
+    assert np.mean(shares) >= 0.88 and min(shares) >= 0.6, shares
+    assert (detector([" ".join(sentence()) for _ in range(2000)]) >= toxicity.CUT).mean() <= 0.015
+
+
 def test_kernel_equals_its_definition():
     import itertools
 
     def phi(w):
         out = Counter()
+        w = f"\x01{w}\x02"
         for i, j, k in itertools.combinations(range(len(w)), 3):
             if k - i < toxicity.SPAN:
                 out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
@@ -286,14 +322,21 @@ def test_kernel_equals_its_definition():
         dot = lambda x, y: sum(v * y[u] for u, v in x.items())
         return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
 
-    letters, rows, first, lengths, _ = toxicity.words(["stupid stuxpid banana worthlessness"])
-    owner, keys, values = toxicity.features(letters, first, lengths)
-    names = ["stupid", "stuxpid", "banana", "worthlessness"]
+    names = ["stupid", "stuxpid", "banana", "worthlessness", "a"]
+    owner, keys, values = toxicity.features(*toxicity.coded(names))
     vocabulary = np.unique(keys)
-    x = toxicity._dense(owner, keys, values, 4, vocabulary).astype(np.float64)
+    x = toxicity._dense(owner, keys, values, len(names), vocabulary).astype(np.float64)
     assert np.allclose(x @ x.T, [[kernel(a, b) for b in names] for a in names], atol=1e-5)
 
 
+def test_stretches_join_split_words():
+    said = lambda texts, common=None: (lambda x: [(int(r), "".join(map(chr, x[0][f : f + n]))) for r, f, n in zip(*x[1:4], strict=True)])(toxicity.words(texts, common))
+    assert said(["Stu-pid i d i o t, the 12 end", "the a1b x"]) == [(0, "stupid"), (0, "idiot"), (0, "the"), (0, "end"), (1, "the"), (1, "a1b"), (1, "x")]
+    the = toxicity.words(["the end"])[4]
+    pairs = said(["the stu pid end", "the end"], np.sort(the))[6:]
+    assert pairs == [(0, "thestu"), (0, "stupid"), (0, "pidend")]
+
+
 def test_quality_on_held_out_rows(spark, none):
     docs, labels = labelled(spark)
     rows = quality.score_quality(docs, labels).collect()

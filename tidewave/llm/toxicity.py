@@ -1,23 +1,29 @@
 """Toxic documents by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-The kernel compares two words by the subsequences of three letters that they share, gaps included: a subsequence that
-spans s letters (up to SPAN) counts DECAY**s, and the kernel is normalised. A word is a white-space token's letters in
-lower case, so signs and digits put between them fall away; inserted or missing letters leave most subsequences; three or
-more single letters in a row make one word; words over LONG letters are read in overlapping windows.
-
-Training is on labelled sentences, one level up: of a toxic document only some words are meant. Words far more frequent
-in toxic documents start as the positive ones, those of other documents are negative, and after each fit the negatives
-that score highest join (LANDMARKS of both kinds span the Nyström space; the machine is fitted in it by Newton steps on
-the squared hinge). As the features are explicit, the machine folds into one weight for each subsequence, so scoring a
-word costs its own subsequences, however many landmarks there are. A document's probability comes from its words'
-margins (the three highest of different words, how many are positive, its length) by a logistic fit on the same rows.
+The kernel compares two stretches of text by the subsequences of three signs that they share, gaps included: a subsequence
+that spans s signs (up to SPAN) counts DECAY**s, its start and its end are signs too, and the kernel is normalised. A stretch is a white-space token's letters
+and digits in lower case, so other signs put between them fall away; two neighbouring tokens of at most JOINED letters
+together, of which not both are common words, are read as one stretch too, and so are three or more single letters in a
+row: spaces put inside don't hide a word. Stretches over LONG letters are read in overlapping windows.
+
+Training is on labelled sentences, of which only some stretches are meant: in the sentences of toxic documents those far
+more frequent there (at least SEEN times, at a share RATIO times that of clean ones) are the positive ones, each with
+VARIANTS copies that have a letter put in, left out, doubled or replaced, so that the margin holds for what the kernel is
+to tolerate; those of clean documents are negative, and after each of ROUNDS fits the ones that score highest join.
+LANDMARKS of both kinds span the Nyström space; the machine is fitted in it by Newton steps on the squared hinge. As the
+features are explicit, the machine folds into one weight for each subsequence, so scoring a stretch costs its own
+subsequences, however many landmarks there are. A document's probability comes from its stretches' margins (the three
+highest of different ones, the sum of all positive ones, its length) by a logistic fit on the same rows.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 3 is not 1 alone, at most SAMPLE of them (those with the
-smallest hashes of doc_id). Neither labels, lang, source nor doc_id is an input of a score.
+smallest hashes of doc_id). Their texts stay in the tasks: counts of stretches come from there, and the driver gets at most
+POSITIVES positive, 2 * POOL clean ones and five numbers for each row. Scoring reads every stretch of every whole text.
+Neither labels, lang, source nor doc_id is an input of a score.
 
 Defined results: null text counts as empty, and empty texts share one score; a null doc_id stays null and counts as not
-held out; repeated rows give repeated rows; an empty table gives none; without labels of both kinds every score is 0;
-null labels are skipped; extra columns are ignored.
+held out; repeated rows give repeated rows, and labelled ones count once; of a text with several labels the highest counts;
+stretches that tie are taken in order of their letters; very long texts are read whole, piece by piece; an empty table
+gives none; without labels of both kinds every score is 0; null labels are skipped; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +34,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm._common import clean_ids, mix64, powers, spread, table, text_pieces
+from tidewave.llm._common import clean_ids, mix64, powers, spread, table, text_pieces, written
 from tidewave.llm.quality import HELD, held_out
 
-SPAN = 6
+SPAN = 5
 DECAY = 0.7
 LONG = 24
-LANDMARKS = 240
+JOINED = 12
+LANDMARKS = 600
 #: Labelled documents that the machine is fitted on.
 SAMPLE = 5_000
-#: Frequent words, and as many others, of clean texts among which negative ones are looked for.
+#: Bounds of the fit on those documents: positive stretches, and clean ones, half of them the most frequent, to choose negative ones from.
+POSITIVES = 600
 POOL = 30_000
+#: How many clean stretches are negative at first, and how many join after each round.
+STARTERS, HARDEST = 3_000, 1_500
+SEEN, RATIO = 4, 12
+VARIANTS = 20
 CUT = 0.7
 #: Words that a worker remembers the margins of; beyond it the memory starts afresh.
 REMEMBERED = 500_000
@@ -47,6 +59,7 @@ _FLOOR = -2.0
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _HEAD = np.zeros(0x3100, bool)
+_HEAD[0x30:0x3A] = True
 _HEAD[0x61:0x7B] = True
 _HEAD[0xC0:] = True
 _HEAD[[0xD7, 0xF7]] = False
@@ -54,8 +67,11 @@ _HEAD[0x2000:0x2070] = False
 _HEAD[0x3000:0x3040] = False
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all words, and each word's row, first letter, length and hash (windows for words over LONG letters)."""
+def words(texts: list[str], common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all stretches, and each one's row, first letter, length and hash.
+
+    Stretches of two tokens come after all others, and only if the hashes of common words (ascending) are given.
+    """
     joined = "\n".join(texts).lower()
     own = [t.lower() for t in texts]
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -71,17 +87,24 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not len(token):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint32), none, none, none, np.zeros(0, np.uint64)
+    letters = codes[place]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     lengths = np.diff(np.append(first, len(token)))
+    spoken = np.add.reduceat((letters > 0x39).astype(np.int64), first) > 0  # not digits alone
+    token, first, lengths = token[first][spoken], first[spoken], lengths[spoken]
     rows = np.searchsorted(ends, place[first], side="right")
+    last = first + lengths
     single = lengths == 1
     if single.any():  # runs of single letters make one word
-        starts = np.append(True, ~(single[1:] & single[:-1] & (token[first][1:] == token[first][:-1] + 1) & (rows[1:] == rows[:-1])))
+        starts = np.append(True, ~(single[1:] & single[:-1] & (token[1:] == token[:-1] + 1) & (rows[1:] == rows[:-1])))
         group = np.cumsum(starts) - 1
         many = np.bincount(group)[group] >= 3
         keep = starts | ~many
-        first, rows = first[keep], rows[keep]
-        lengths = np.diff(np.append(first, len(token)))
+        final = np.append(keep[1:], True)
+        token, first, rows, last = token[keep], first[keep], rows[keep], last[final]
+        lengths = last - first
+    beside = np.flatnonzero((token[1:] == token[:-1] + 1) & (rows[1:] == rows[:-1]) & (lengths[1:] + lengths[:-1] <= JOINED) & (first[1:] == last[:-1]))
+    whole = first, lengths, rows
     long = lengths > LONG
     if long.any():
         n = np.where(long, -(-(lengths - LONG) // (LONG // 2)) + 1, 1)
@@ -89,16 +112,65 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         rows, first, lengths = (np.repeat(x, n) for x in (rows, first, lengths))
         shift = nth * (LONG // 2)
         first, lengths = first + shift, np.minimum(lengths - shift, LONG)
-    letters = codes[place]
-    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    mixed = mix64(letters[np.repeat(first, lengths) + at].astype(np.uint64) + _A) * powers(LONG)[at]
-    hashes = mix64(np.add.reduceat(mixed, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    hashes = _hashes(letters, first, lengths)
+    if common is not None and len(beside):
+        short = whole[1] <= LONG
+        known = np.zeros(len(short), bool)
+        known[short] = _among(hashes if not long.any() else _hashes(letters, whole[0][short], whole[1][short]), common)
+        beside = beside[~(known[beside] & known[beside + 1])]
+        more = whole[0][beside], whole[1][beside] + whole[1][beside + 1]
+        first, lengths, rows = np.append(first, more[0]), np.append(lengths, more[1]), np.append(rows, whole[2][beside])
+        hashes = np.append(hashes, _hashes(letters, *more))
     return letters, rows, first, lengths, hashes
 
 
+def _hashes(letters: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(lengths) - lengths
+    at = np.arange(lengths.sum()) - np.repeat(begin, lengths)
+    mixed = mix64(letters[np.repeat(first, lengths) + at].astype(np.uint64) + _A) * powers(LONG)[at]
+    return mix64(np.add.reduceat(mixed, begin) + lengths.astype(np.uint64))
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    at = np.searchsorted(known, hashes)
+    at[at == len(known)] = 0
+    return known[at] == hashes
+
+
+def coded(listed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, first letter and length of stretches given one by one."""
+    lengths = np.asarray([len(x) for x in listed], np.int64)
+    return np.frombuffer("".join(listed).encode("utf-32-le"), "<u4"), np.cumsum(lengths) - lengths, lengths
+
+
+def variants(word: str, n: int, rng: np.random.RandomState) -> list[str]:
+    """n copies of a word with one or, if it is long, two letters put in, left out, doubled or replaced."""
+    alphabet, out = "abcdefghijklmnopqrstuvwxyz0134578", []
+    for k in range(n):
+        made = word
+        for _ in range(1 + (len(word) > 7 and k % 5 == 0)):
+            i = int(rng.randint(1, len(made)))
+            sign = alphabet[rng.randint(len(alphabet))]
+            put, left = made[:i] + sign + made[i:], made[:i] + made[i + 1 :]
+            made = (put, made[:i] + sign + made[i + 1 :], made[:i] + made[i - 1] + made[i:], made[:i] + sign + made[i + 1 :], left if len(made) > 4 else put)[k % 5]
+        out.append(made[:LONG])
+    return out
+
+
 def features(letters: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, subsequence and weight, normalised; none for a word under three letters."""
+    """Stretch, subsequence and weight, normalised. A stretch's two ends count as signs of their own."""
     owner, keys, values = [], [], []
+    sizes = lengths + 2
+    begin = np.cumsum(sizes) - sizes
+    whole = np.full(sizes.sum(), 1, np.uint64)
+    whole[begin + sizes - 1] = 2
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    whole[np.repeat(begin + 1, lengths) + at] = letters[np.repeat(first, lengths) + at]
+    letters, first, lengths = whole, begin, sizes
     for a, b in _STEPS:
         n = np.maximum(lengths - a - b, 0)
         word = np.repeat(np.arange(len(n)), n)
@@ -118,8 +190,9 @@ def features(letters: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tup
 class Machine:
     """Weights of subsequences: margin(word) = sum of weight * feature + bias."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, common: np.ndarray):
         order = np.argsort(keys)
+        self.common = common
         self.keys, self.weights, self.bias = keys[order], weights[order], bias
         self.known: dict[int, float] = {}
 
@@ -131,10 +204,10 @@ class Machine:
         return np.bincount(owner[hit], values[hit] * self.weights[at[hit]], len(first)) + self.bias
 
     def describe(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the three highest margins of different words, the sum of positive ones, log of the number of words."""
+        """Of each text: the three highest margins of different stretches, the sum of positive ones, log of the number of stretches."""
         out = np.full((len(texts), 5), _FLOOR)
         out[:, 3:] = 0
-        letters, rows, first, lengths, hashes = words(texts)
+        letters, rows, first, lengths, hashes = words(texts, self.common)
         if not len(rows):
             return out
         out[:, 4] = np.log1p(np.bincount(rows, minlength=len(texts)))
@@ -161,50 +234,6 @@ class Machine:
         return out
 
 
-def _pieces(texts: list[str], limit: int = 1 << 19):
-    """Slices of the list with about `limit` characters each."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= limit:
-            yield texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
-def _word_list(sides: tuple[list[str], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of the lists of texts: letters, first, lengths; and how often each stands in each list.
-
-    A word counts once for each different word before it, in the first list that has both.
-    """
-    pairs, owners, lists, seen = [], [], [], []
-    letters, hashes, lengths = [], [], []
-    for side, texts in enumerate(sides):
-        for part in _pieces(texts):
-            codes, rows, first, sizes, found = words(part)
-            before = np.append(np.uint64(0), found[:-1])[: len(found)]
-            before[np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))[: len(found)]] = 0
-            keys, once = np.unique(mix64(found) + mix64(before * _A), return_index=True)
-            pairs.append(keys)
-            owners.append(found[once])
-            lists.append(np.full(len(keys), side, np.int8))
-            distinct, at = np.unique(found, return_index=True)
-            n = sizes[at]
-            hashes.append(distinct)
-            lengths.append(n)
-            letters.append(codes[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-    pairs, owners, lists = (np.concatenate(x) for x in (pairs, owners, lists))
-    _, once = np.unique(pairs, return_index=True)
-    owners, lists = owners[once], lists[once]
-    letters, hashes, lengths = (np.concatenate(x) for x in (letters, hashes, lengths))
-    distinct, at = np.unique(hashes, return_index=True)
-    first = (np.cumsum(lengths) - lengths)[at]
-    own = np.searchsorted(distinct, owners)
-    counts = np.stack([np.bincount(own[lists == k], minlength=len(distinct)) for k in range(len(sides))])
-    return letters, first, lengths[at], counts
-
-
 def _dense(rows: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int, table_: np.ndarray) -> np.ndarray:
     at = np.searchsorted(table_, keys)
     at[at == len(table_)] = 0
@@ -234,26 +263,29 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.n
     return w
 
 
-def train_words(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine | None:
-    """The word machine; None if no word is typical of toxic texts. Passages that stand in many copies count once."""
-    bad, good = ([x for x, y in zip(texts, toxic, strict=True) if bool(y) is side] for side in (True, False))
-    letters, first, lengths, (n, t) = _word_list((good, bad))
-    share_t, share_n = t / max(t.sum(), 1), (n + 0.5) / max(n.sum(), 1)
-    able = lengths >= 3
-    positive = np.flatnonzero(able & (t >= 4) & (share_t > 12 * share_n))
-    positive = positive[np.lexsort((positive, -t[positive]))][:2_000]
-    if not len(positive):
+def train_words(positive: list[tuple[str, int]], pool: list[str], common: int, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine | None:
+    """The machine of stretches; None if none is typical of toxic texts. The first `common` of the pool are its common words.
+
+    Positive ones come with how often they were seen; the more often, the dearer it is to miss them and their variants.
+    """
+    if not positive:
         return None
-    pool = np.flatnonzero(able & (n > 0) & (share_t < 4 * share_n))
-    pool = pool[np.lexsort((pool, -n[pool]))]
-    pool = np.concatenate([pool[:POOL], np.random.RandomState(5).permutation(pool[POOL:])[:POOL]])
-    negative, hardest = pool[:2_000], np.zeros(0, np.int64)
+    rng = np.random.RandomState(5)
+    clean = set(pool[:common])
+    made = [(v, t) for w, t in positive for v in variants(w, VARIANTS, rng) if v not in clean]
+    sure = np.asarray([8 * t / (t + 10) for _, t in positive] + [3 * t / (t + 10) for _, t in made])
+    positive, copies = [w for w, _ in positive], [v for v, _ in made]
+    n, m = len(positive), len(positive) + len(copies)
+    letters, first, lengths = coded(positive + copies + pool)
+    known = np.sort(_hashes(letters, first[m : m + common], lengths[m : m + common]))
+    every = np.arange(m, m + len(pool))
+    negative, hardest = every[:STARTERS], np.zeros(0, np.int64)
     machine = None
     for _ in range(rounds):
-        chosen = np.concatenate([positive, negative])
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        cost = np.where(y > 0, 2.0, 1.0)
-        marks = np.concatenate([positive[: landmarks // 2], hardest[: landmarks // 4], negative[: landmarks // 4]])
+        chosen = np.concatenate([np.arange(m), negative])
+        y = np.where(chosen < m, 1.0, -1.0)
+        cost = np.concatenate([sure, np.full(len(negative), 2.0)])
+        marks = np.concatenate([np.arange(n)[: landmarks // 4], n + rng.permutation(m - n)[: landmarks // 4], hardest[: landmarks // 4], negative[: landmarks // 4]])
         z_rows, z_keys, z_values = features(letters, first[marks], lengths[marks])
         vocabulary = np.unique(z_keys)
         z = _dense(z_rows, z_keys, z_values, len(marks), vocabulary).astype(np.float64)
@@ -263,23 +295,21 @@ def train_words(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS,
         blocks = [chosen[i : i + 1_000] for i in range(0, len(chosen), 1_000)]
         x = np.concatenate([_dense(*features(letters, first[c], lengths[c]), len(c), vocabulary) @ z.T for c in blocks]) @ root
         w = svm(x, y, cost)
-        machine = Machine(vocabulary, z.T @ (root @ w[:-1]), float(w[-1]))
-        margins = np.concatenate([machine.margins(letters, first[pool[i : i + 20_000]], lengths[pool[i : i + 20_000]]) for i in range(0, len(pool), 20_000)])
-        hardest = pool[np.lexsort((pool, -margins))[:1_000]]
+        machine = Machine(vocabulary, z.T @ (root @ w[:-1]), float(w[-1]), known)
+        margins = np.concatenate([machine.margins(letters, first[every[i : i + 20_000]], lengths[every[i : i + 20_000]]) for i in range(0, len(every), 20_000)])
+        hardest = every[np.lexsort((every, -margins))[:HARDEST]]
         negative = np.concatenate([negative, np.setdiff1d(hardest, negative)])
     return machine
 
 
 class Detector:
-    """Score of a text: logistic function of what Machine.describe tells."""
+    """Score of a text: logistic function of what Machine.describe tells. Without a machine every score is 0."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
-        distinct = dict(zip(texts, toxic.tolist(), strict=True))  # copies count once
-        texts, toxic = [*distinct], np.asarray(list(distinct.values()), np.int64)
-        self.machine = train_words(texts, toxic) if 0 < toxic.sum() < len(toxic) else None
-        if self.machine is None:
+    def __init__(self, machine: Machine | None = None, told: np.ndarray | None = None, toxic: np.ndarray | None = None):
+        self.machine = machine
+        if machine is None:
             return
-        x = self.inputs(np.concatenate([self.machine.describe(part) for part in _pieces(texts)]))
+        x = self.inputs(told)
         w = np.zeros(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
@@ -288,11 +318,11 @@ class Detector:
             if np.abs(step).max() < 1e-6:
                 break
         self.weights = w
-        self.machine.known = {}
+        machine.known = {}
 
     @staticmethod
     def inputs(x: np.ndarray) -> np.ndarray:
-        positive = np.clip(x[:, :3], -1, 1)
+        positive = np.clip(x[:, :3], -1, 2)
         density = np.minimum(x[:, 3] / np.maximum(np.expm1(x[:, 4]), 1), 0.5) * 4
         return np.column_stack([positive, np.minimum(x[:, 3], 6) / 2, density, (positive[:, 0] > 0) * (x[:, 4] - 5), x[:, 4] - 5, np.ones(len(x))])
 
@@ -302,12 +332,60 @@ class Detector:
         return 1 / (1 + np.exp(-np.clip(self.inputs(self.machine.describe(texts)) @ self.weights, -40, 40)))
 
 
+def counted_words(rows: DataFrame) -> DataFrame:
+    """Of each stretch of the rows (text, label): how often it stands in texts of label 0 (n) and of label 1 (t).
+
+    It counts once for each different one before it, in the texts of label 0 if both kinds have the two, so that copies of
+    a passage don't make its words look typical.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in text_pieces([batch], 1 << 19):
+                letters, own, first, lengths, found = words(part.column("text").to_pylist())
+                before = np.append(np.uint64(0), found[:-1])[: len(found)]
+                before[np.flatnonzero(np.append(True, own[1:] != own[:-1]))[: len(found)]] = 0
+                label = part.column("label").to_numpy()[own]
+                _, once = np.unique(mix64(found) + mix64(before * _A) + label.astype(np.uint64), return_index=True)
+                text = letters.astype("<u4").tobytes().decode("utf-32-le")
+                listed = [text[i : i + k] for i, k in zip(first[once].tolist(), lengths[once].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array(before[once].view(np.int64)), pa.array(label[once].astype(np.int32))], ["word", "before", "label"])
+
+    pairs = rows.mapInArrow(run, "word string, before long, label int").groupBy("word", "before").agg(F.min("label").alias("label"))
+    return pairs.groupBy("word").agg(F.sum(F.expr("1 - label")).alias("n"), F.sum("label").alias("t"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Detector:
     """A detector from the labelled rows that aren't held out, at most `limit` of them."""
     known = labels.select(F.col("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where(f"label is not null and doc_id is not null and not ({HELD})")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    rows = docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label", "text").select("text", "label").toPandas()
-    return Detector(rows["text"].fillna("").tolist(), rows["label"].to_numpy(np.int64))
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("label").alias("label"))
+    rows = written(spread(texts), "labelled")
+    if rows.agg(F.countDistinct("label")).first()[0] < 2:
+        return Detector()
+    counts = written(counted_words(rows), "counts")
+    sums = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    share_t, share_n = F.col("t") / max(sums.t or 0, 1), (F.col("n") + 0.5) / max(sums.n or 0, 1)
+    able = counts.where(F.length("word") >= 3)
+    positive = able.where((F.col("t") >= SEEN) & (share_t > RATIO * share_n)).orderBy(F.desc("t"), "word").limit(POSITIVES).collect()
+    positive = sorted(((r.word, r.t) for r in positive), key=lambda x: (-x[1], x[0]))
+    clean = able.where((F.col("n") > 0) & (share_t < 4 * share_n))
+    common = [r.word for r in sorted(clean.orderBy(F.desc("n"), "word").limit(POOL).collect(), key=lambda r: (-r.n, r.word))]
+    others = {r.word for r in clean.orderBy(F.xxhash64("word"), "word").limit(POOL).collect()}
+    machine = train_words(positive, common + sorted(others - set(common)), len(common))
+    if machine is None:
+        return Detector()
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def describe(batches):
+        for batch in batches:
+            for part in text_pieces([batch], 1 << 19):
+                told = shared.value.describe(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in told.T), part.column("label")], [*"abcde", "label"])
+
+    told = np.asarray([tuple(r) for r in rows.mapInArrow(describe, "a double, b double, c double, d double, e double, label int").collect()])
+    told = told[np.lexsort(told.T)]  # the same sums whatever order the rows come in
+    return Detector(machine, told[:, :5], told[:, 5])
 
 
 def scores(docs: DataFrame, detector: Detector) -> DataFrame:
