@@ -39,14 +39,33 @@ def test_repeats_equal_brute_force(spark, small, odd, none):
     made = spark.createDataFrame([(i, " ".join(rng.choice(chunks) for _ in range(rng.randint(0, 5)))) for i in range(120)], "doc_id long, text string")
     for docs in (small, made, odd):
         want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
-        for hot in (substrings.HOT, 3):  # long prefixes by trees, and by grouping
-            got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs, hot=hot).collect())
+        for limits in ({}, {"hot": 30}, {"hot": 10**9, "in_memory": 5}):  # by trees, by lengthened prefixes, by trees with few prefixes at a time
+            got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs, **limits).collect())
             assert got == want
     assert substrings.remove_repeats(none).count() == 0
     kept = substrings.without_repeats(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_suffixes_are_sorted_by_their_words():
+    rng = random.Random(8)
+    for depth in (5, 8, 50):
+        words = np.asarray([rng.choice([3, 5, 9]) for _ in range(400)] + [7] * 120, np.uint64)
+        at = np.arange(len(words) - depth + 1)
+        ranks = substrings.word_ranks(words, 1 << (depth.bit_length() - 1))
+        order = substrings.suffix_order(ranks, at, np.zeros(len(at), np.int64), at, depth)
+        listed = [tuple(words[i : i + depth].tolist()) for i in at[order]]
+        assert listed == sorted(listed)
+        shared = [next((k for k in range(depth) if a[k] != b[k]), depth) for a, b in zip(listed, listed[1:])]
+        assert substrings.common_prefixes(ranks, at[order], depth).tolist() == [0, *shared]
+
+
+def test_texts_of_one_repeated_word(spark):
+    rows = [(1, "so " * 300), (2, "so " * 100_000 + "end"), (3, "so " * 40), (4, "so " * 300), (5, "what " + "so " * 60 + "now")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (300, 0), 2: (100_001, 100_000), 3: (40, 0), 4: (300, 300), 5: (62, 60)}
+
+
 def brute_classes(rows, common=neardup.COMMON):
     sets, df = {}, Counter()
     texts = [(i, t or "") for i, t in rows]

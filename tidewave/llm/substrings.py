@@ -1,17 +1,22 @@
 """Repeated passages, found with prefix-partitioned suffix trees over words.
 
 The suffixes are the word positions of all texts, cut off after WINDOW words, since only repeats of at least that length
-count: an inner node that deep is a window that stands at several places. Every window is filed under the smallest
-(by hash) of the PREFIX-word sequences inside it, so equal windows share that prefix and neighbouring windows mostly do
-too, and one record holds a run of them. Prefixes that occur in a single document need no tree. The others are dealt out
-by prefix: each task reads its prefixes in order, builds the subtree of as many as fit its memory by sorting the suffixes
-below each prefix, and every node at depth WINDOW gives the smallest document under it. A prefix with more than HOT records
-is lengthened instead: its suffixes are grouped by all their WINDOW words, which Spark aggregates before it shuffles.
-
-Prefixes and windows go by 64-bit hashes, a window always together with its prefix.
+count: an inner node that deep is a window that stands at several places. Every window is filed under the smallest (by
+hash) of the PREFIX-word sequences inside it, so equal windows share that prefix and neighbouring windows mostly do too,
+and one record holds a run of them, at most RUN. Prefixes that occur in a single document need no tree. The others are
+dealt out by prefix, and the records carry the words themselves: each task reads its prefixes in order, sorts the suffixes
+below as many as fit its memory by their words (ranks of 1, 2, 4 and up to 32 words by doubling), takes the common
+prefixes of neighbours, and every node at depth WINDOW gives the smallest document under it; neighbouring flagged windows
+make a maximal repeat. Prefixes have two lengths: one with more than HOT suffixes is lengthened to all WINDOW words, where
+each group is a node of its own that needs its smallest document only, which Spark aggregates before it shuffles.
+
+Equal texts have one tree place: the smallest doc_id's row stands for all, and in the others every window is repeated.
+Prefixes and the windows of lengthened ones go by 64-bit hashes, a window always together with its prefix; within a tree
+words are told apart by 64-bit hashes among the words of one task.
 
 Defined results: null text has no words; a null doc_id is neither smaller nor larger than any, so its row stays whole; rows
-with one doc_id are one document; repeated rows are cut alike; an empty table gives no rows; extra columns are ignored.
+with one doc_id are one document; repeated rows are cut alike; very long texts are cut into runs, whatever they repeat; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from tidewave.llm._common import _BASE, clean_ids, marked, mix64, powers, spread
 
 WINDOW = 50
 PREFIX = 16
-#: Records of one prefix that a task may gather.
-HOT = 5_000
+#: Suffixes of one prefix that a task may gather.
+HOT = 4_000
+#: Windows of one record.
+RUN = 256
 #: Suffixes whose subtrees a task builds at a time.
-IN_MEMORY = 1_000_000
+IN_MEMORY = 500_000
 _PIECE = 1 << 18
 _INVERSE = np.ones(1, np.uint64)
 
@@ -72,6 +79,8 @@ def windows(hashes: np.ndarray, firsts: np.ndarray, window: int, prefix: int) ->
     least, whole = least[at], whole[at]
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
+    begun = np.flatnonzero(new)
+    new |= (np.arange(len(at)) - np.repeat(begun, np.diff(np.append(begun, len(at))))) % RUN == 0
     run = np.flatnonzero(new)
     return rows[run], within[run], np.diff(np.append(run, len(at))), whole, least, run
 
@@ -97,16 +106,16 @@ def prefix_runs(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
     return docs.mapInArrow(run, "prefix long, doc_id long, th long, start int, n int")
 
 
-def _suffix_records(joined: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Records of the runs wanted of each document: prefix, doc_id, th, start, windows (their hashes in order)."""
+def _suffix_records(joined: DataFrame, window: int, prefix: int, lengthened: bool) -> DataFrame:
+    """Records of the runs wanted of each document: prefix, doc_id, th, start, n and their words, or if lengthened their windows' hashes."""
 
     def run(batches):
         for part in text_pieces(batches, _PIECE):
-            wanted = part.column("wanted")
-            part = part.filter(wanted.is_valid())
+            part = part.filter(part.column("wanted").is_valid())
             if not part.num_rows:
                 continue
-            _, _, hashes, firsts = _words_of(part)
+            data, offsets = utf8_view(part.column("text"))
+            begins, ends, hashes, firsts = word_view(data, offsets)
             rows, starts, n, whole, least, first = windows(hashes, firsts, window, prefix)
             lists = part.column("wanted").combine_chunks() if hasattr(part.column("wanted"), "combine_chunks") else part.column("wanted")
             asked = lists.flatten().to_numpy(zero_copy_only=False)
@@ -115,13 +124,25 @@ def _suffix_records(joined: DataFrame, window: int, prefix: int) -> DataFrame:
             keep = np.flatnonzero(np.isin(rows * width + starts, owner * width + asked))
             if not len(keep):
                 continue
-            sizes = n[keep]
-            flat = np.repeat(first[keep] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(whole[flat].view(np.int64)))
+            if lengthened:
+                sizes = n[keep]
+                flat = whole[_places(first[keep], sizes)].view(np.int64)
+            else:
+                word = firsts[:-1][rows[keep]] + starts[keep]
+                begin = begins[word]
+                sizes = ends[word + n[keep] + window - 2] - begin
+                flat = data[_places(begin, sizes)]
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)) if lengthened else pa.LargeStringArray.from_buffers(len(keep), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)).cast(pa.string())
             take = pa.array(rows[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(least[first[keep]].view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array(starts[keep].astype(np.int32)), values], ["prefix", "doc_id", "th", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(least[first[keep]].view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array(starts[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), values], ["prefix", "doc_id", "th", "start", "n", "windows" if lengthened else "text"])
+
+    return joined.mapInArrow(run, f"prefix long, doc_id long, th long, start int, n int, {'windows array<long>' if lengthened else 'text string'}")
 
-    return joined.mapInArrow(run, "prefix long, doc_id long, th long, start int, windows array<long>")
+
+def _places(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, ..., sizes[k] of them, for all k."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _spans(start: np.ndarray, flagged: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,26 +157,62 @@ def _spans(start: np.ndarray, flagged: np.ndarray, row: np.ndarray, window: int)
     return row[at[first]], start[at[first]], start[at[last]] + window
 
 
-def subtrees(records: DataFrame, window: int = WINDOW) -> DataFrame:
+def word_ranks(words: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """For each power of two up to `longest`, the rank of as many words from each place on, in the order of the words.
+
+    Places nearer to the end than that rank as if a smallest word followed.
+    """
+    ranks = {1: np.unique(words, return_inverse=True)[1].astype(np.int64) + 1}
+    k = 1
+    while 2 * k <= longest:
+        behind = np.zeros(len(words), np.int64)
+        behind[: max(len(words) - k, 0)] = ranks[k][k:]
+        ranks[2 * k] = np.unique(ranks[k] * (len(words) + 2) + behind, return_inverse=True)[1].astype(np.int64) + 1
+        k *= 2
+    return ranks
+
+
+def suffix_order(ranks: dict[int, np.ndarray], at: np.ndarray, group: np.ndarray, tie: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes at `at`, cut off after `depth` words, by group, words and tie."""
+    top = max(ranks)
+    return np.lexsort((tie, ranks[top][at + depth - top], ranks[top][at], group))
+
+
+def common_prefixes(ranks: dict[int, np.ndarray], at: np.ndarray, depth: int) -> np.ndarray:
+    """Words (at most `depth`) that each suffix shares with the one before it in the list; 0 for the first."""
+    shared = np.zeros(len(at), np.int64)
+    a, b = at[:-1], at[1:]
+    for k in sorted(ranks, reverse=True):  # depth is under twice the longest
+        have = shared[1:]
+        fits = have + k <= depth
+        step = np.where(fits, have, 0)
+        have += np.where(fits & (ranks[k][a + step] == ranks[k][b + step]), k, 0)
+    return shared
+
+
+def subtrees(records: DataFrame, window: int = WINDOW, in_memory: int = IN_MEMORY) -> DataFrame:
     """Spans of words covered by windows that also start in a smaller document: doc_id, th, start, end.
 
-    Each task gathers prefixes up to IN_MEMORY suffixes, sorts the suffixes of each and reads the nodes of that depth off
-    the sorted order: neighbours that agree in all words are one node.
+    Each task gathers prefixes up to in_memory suffixes, sorts the suffixes of each and reads the nodes of that depth off
+    the common prefixes of neighbours.
     """
+    longest = 1 << (window.bit_length() - 1)
 
     def resolve(held: list[pa.RecordBatch]):
         part = pa.Table.from_batches(held).combine_chunks()
-        lists = part.column("windows").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(part.num_rows), sizes)
-        inside = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        prefix, doc, start = (part.column(c).to_numpy() for c in ("prefix", "doc_id", "start"))
-        suffix = lists.flatten().to_numpy(zero_copy_only=False)
-        order = np.lexsort((doc[row], suffix, prefix[row]))
-        p, s = prefix[row][order], suffix[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
+        text = part.column("text").cast(pa.large_string()).combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        _, _, hashes, firsts = word_view(*utf8_view(text))
+        prefix, doc, start, n = (part.column(c).to_numpy() for c in ("prefix", "doc_id", "start", "n"))
+        row = np.repeat(np.arange(part.num_rows), n)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = firsts[row] + inside
+        ranks = word_ranks(hashes, longest)
+        order = suffix_order(ranks, at, prefix[row], doc[row], window)
+        p = prefix[row][order]
+        new = common_prefixes(ranks, at[order], window) < window
+        new[1:] |= p[1:] != p[:-1]
+        new[:1] = True
         node = np.cumsum(new) - 1
         least = doc[row][order][new]
         repeated = np.zeros(len(order), bool)
@@ -168,21 +225,17 @@ def subtrees(records: DataFrame, window: int = WINDOW) -> DataFrame:
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += len(batch.column("windows").flatten())
-            if n < IN_MEMORY:
-                continue
-            # the last prefix may go on in the next batch
-            prefixes = batch.column("prefix").to_numpy()
-            last = np.flatnonzero(prefixes != prefixes[-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut or (len(held) > 1 and held[-2].column("prefix")[-1].as_py() != prefixes[-1]):
-                held[-1] = batch.slice(0, cut)
-                yield resolve([b for b in held if b.num_rows])
-                held = [batch.slice(cut)]
-                n = len(held[0].column("windows").flatten())
+            for at in range(0, batch.num_rows, 1_000):
+                some = batch.slice(at, 1_000)
+                prefixes = some.column("prefix").to_numpy()
+                if n >= in_memory:  # the last prefix may go on in this batch
+                    last = held[-1].column("prefix")[-1].as_py()
+                    goes_on = int(np.searchsorted(prefixes, last, side="right"))
+                    if goes_on < len(prefixes):
+                        yield resolve([*held, some.slice(0, goes_on)] if goes_on else held)
+                        some, held, n = some.slice(goes_on), [], 0
+                held.append(some)
+                n += int(some.column("n").to_numpy().sum())
         if held:
             yield resolve(held)
 
@@ -190,29 +243,44 @@ def subtrees(records: DataFrame, window: int = WINDOW) -> DataFrame:
     return records.repartition(n, "prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, th long, start int, end int")
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT) -> DataFrame:
-    """Word spans, of each (doc_id, th), covered by windows that also start in a document with a smaller doc_id."""
+def copied(keyed: DataFrame) -> DataFrame:
+    """(doc_id, th) of the rows whose whole text also is that of a smaller doc_id."""
+    ids = written(keyed.where("doc_id is not null and text is not null").select("doc_id", "th", F.xxhash64(F.lit(7), "text").alias("t2")), "ids")
+    least = ids.groupBy("th", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("th", "t2", "low")
+    return written(ids.join(least, ["th", "t2"]).where("doc_id > low").select("doc_id", "th").distinct(), "copies")
+
+
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, in_memory: int = IN_MEMORY) -> DataFrame:
+    """Word spans, of each (doc_id, th), covered by windows that also start in a document with a smaller doc_id.
+
+    keyed holds no two equal texts of different doc_id (`copied` tells which to leave out).
+    """
     runs = written(prefix_runs(keyed.where("doc_id is not null"), window, prefix), "runs")
-    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("records")).where("low < high")
-    wanted = written(runs.join(shared.select("prefix", "records"), "prefix").groupBy("doc_id", "th", (F.col("records") > hot).alias("hot")).agg(F.sort_array(F.collect_set("start")).alias("wanted")), "wanted")
+    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("suffixes")).where("low < high")
+    wanted = written(runs.join(shared.select("prefix", "suffixes"), "prefix").groupBy("doc_id", "th", (F.col("suffixes") > hot).alias("hot")).agg(F.sort_array(F.collect_set("start")).alias("wanted")), "wanted")
 
-    def records(part: DataFrame) -> DataFrame:
+    def records(part: DataFrame, lengthened: bool) -> DataFrame:
         texts = marked(keyed, part, "doc_id", "th").where("marked").drop("marked")
-        return _suffix_records(texts.join(part.select("doc_id", "th", "wanted"), ["doc_id", "th"]), window, prefix)
+        return _suffix_records(texts.join(part.select("doc_id", "th", "wanted"), ["doc_id", "th"]), window, prefix, lengthened)
 
-    found = subtrees(records(wanted.where("not hot")), window)
+    found = subtrees(records(wanted.where("not hot"), False), window, in_memory)
     if wanted.where("hot").limit(1).count():
-        each = records(wanted.where("hot")).select("prefix", "doc_id", "th", F.posexplode("windows").alias("i", "w"), "start").select("prefix", "w", "doc_id", "th", (F.col("start") + F.col("i")).alias("start"))
-        least = each.groupBy("prefix", "w").agg(F.min("doc_id").alias("low"))
+        each = records(wanted.where("hot"), True).select("prefix", "doc_id", "th", F.posexplode("windows").alias("i", "w"), "start").select("prefix", "w", "doc_id", "th", (F.col("start") + F.col("i")).alias("start"))
+        least = each.groupBy("prefix", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
         long = each.join(least, ["prefix", "w"]).where("doc_id > low").select("doc_id", "th", "start", (F.col("start") + window).alias("end"))
         found = found.unionByName(long)
     return found
 
 
-def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, extra: list[str], keep: bool) -> DataFrame:
+def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, in_memory: int, extra: list[str], keep: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, the columns `extra` of keyed, and with keep the text that is left."""
-    spans = repeated_spans(keyed.select("doc_id", "text", "th"), window, prefix, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = written(spans, "spans")
+    plain = keyed.select("doc_id", "text", "th")
+    copies = copied(plain)
+    known = marked(plain, copies, "doc_id", "th")
+    firsts = known.where("not marked").drop("marked").unionByName(known.where("marked").drop("marked").join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "text", "th"))
+    spans = repeated_spans(firsts, window, prefix, hot, in_memory).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end")))  # every window of a copy is repeated
+    spans = written(spans.unionByName(copies.select("doc_id", "th", whole.alias("spans"))), "spans")
 
     def run(batches):
         for part in text_pieces(batches):
@@ -220,7 +288,7 @@ def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, extra: list[str],
             for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 words = text.encode("utf-8").split()  # bytes.split() cuts at exactly the white space of the definition
                 kept = words
-                if found:
+                if found and len(words) >= window:
                     stays = np.ones(len(words), bool)
                     for x in found:
                         stays[x["start"] : x["end"]] = False
@@ -237,17 +305,17 @@ def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, extra: list[str],
     return cut.unionByName(whole).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, keep: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, in_memory: int = IN_MEMORY, keep: bool = True) -> DataFrame:
     """Documents without the words that repeated_spans covers: n_words, n_removed, and the rest's digest (keep: its text)."""
     keyed = spread(clean_ids(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text"))
-    return _cut(keyed, window, prefix, hot, [], keep)
+    return _cut(keyed, window, prefix, hot, in_memory, [], keep)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, in_memory: int = IN_MEMORY) -> DataFrame:
     """docs, all columns, whose texts (and n_chars) are without those words; a text that loses none stays as it is."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = spread(docs.select("doc_id", "text", row.alias("row"))).withColumn("th", F.xxhash64("text"))
-    cut = _cut(keyed, window, prefix, hot, ["row"], True)
+    cut = _cut(keyed, window, prefix, hot, in_memory, ["row"], True)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     fixed = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
     return cut.select(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`") for c in docs.columns])
