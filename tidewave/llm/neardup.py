@@ -3,7 +3,8 @@
 A document is the weighted set of its five-word shingles (all its words, if fewer than five): weight = occurrences times
 idf, where idf = 1 + ln(1 / max(share of documents with the shingle, COMMON)). Shingles rarer than COMMON weigh alike, so
 only the common ones need counting: at most mean shingles per document / COMMON of them can exist, which bounds what is
-collected and broadcast. They are found exactly in two passes: a shingle that common overall is at least half as common in
+collected and broadcast whatever the size of the input. What stands in every tenth document weighs less than half of what
+is rare. (Counting every shingle's documents would take a shuffle of all shingles and another to bring the counts back.) They are found exactly in two passes: a shingle that common overall is at least half as common in
 some task's share of the documents (or would not reach half of it in all), then candidates are counted over all documents.
 
 Each document gets BANDS * ROWS samples (Ioffe's scheme: r and c from Gamma(2, 1), beta uniform, all from hashes of shingle
@@ -13,7 +14,11 @@ the bucket that are in different components are compared, in blocks of pairs, so
 links if its weighted Jaccard similarity, computed from the full texts, is at least THRESHOLD; classes are the connected
 components. Identical texts are one node from the start.
 
-Defined results: null text counts as empty; equal texts are one class; a null doc_id joins its text's class but links no
+Texts of equal words are copies at similarity 1; of a near copy whose words differ in a share p, here and there, about
+(1 - 5 p) / (1 + 5 p) stays: THRESHOLD links up to one changed word in 45.
+
+Defined results: null text counts as empty; equal texts are one class, and so are all texts without words; of documents
+that tie the smallest doc_id names the class; very long texts are read whole; a null doc_id joins its text's class but links no
 further (its class is null if no other row has its text); rows with one doc_id are one document; an empty table gives no
 rows; extra columns are ignored.
 """
@@ -31,7 +36,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS = 3
 BANDS = 10
-COMMON = 0.05
+COMMON = 0.002
+#: A text with more than this share of the rows has its class broadcast: there are at most 1 / HOT such texts.
+HOT = 1 / 1024
 #: Texts that are compared with one other in one task's group; a larger bucket is split into salted parts.
 GROUP = 256
 _PIECE = 1 << 18
@@ -145,7 +152,7 @@ def samples(rows: np.ndarray, hashes: np.ndarray, log_weights: np.ndarray, n: in
 
 
 def sketches(docs: DataFrame, weights: Weights, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
-    """The band keys of each text; none for a text without words."""
+    """The band keys of each text; all texts without words share theirs."""
 
     def run(batches):
         for part in text_pieces(batches, _PIECE):
@@ -157,9 +164,7 @@ def sketches(docs: DataFrame, weights: Weights, bands: int = BANDS, rows_per_ban
                 for c in codes[:, k * rows_per_band : (k + 1) * rows_per_band].T:
                     key = mix64(key * _ODD[0] + c)
                 keys[own, k] = key
-            n = np.zeros(part.num_rows, np.int64)
-            n[own] = bands
-            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(keys[own].reshape(-1).view(np.int64)))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "t1", "t2")), values], ["doc_id", "t1", "t2", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, bands array<long>")
@@ -313,7 +318,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     n = docs.count()
     weights = Weights(*common_shingles(keyed, n, common), n, common)
     sketched = written(sketches(keyed, weights, bands, rows_per_band), "sketches")
-    texts = sketched.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    texts = written(sketched.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "texts")
     buckets = texts.where("rep is not null").select("rep", "bands", F.posexplode("bands").alias("band", "key"))
     sizes = buckets.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, ["band", "key"]), "buckets")
@@ -323,8 +328,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = written(open_members(shared, roots, group), "members")
     more = written(verified_blocks(keyed, members, weights, threshold), "links")
     roots = components(links.unionByName(more))
-    classed = texts.select("t1", "t2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("t1", "t2", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
-    return sketched.select("doc_id", "t1", "t2").join(classed, ["t1", "t2"]).select("doc_id", "class_id", "copy_of")
+    classed = written(texts.select("t1", "t2", "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("t1", "t2", "copies", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id")), "classed")
+    hot = F.col("copies") > HOT * n
+    known = F.broadcast(classed.where(hot).select("t1", "t2", F.struct("class_id", "copy_of").alias("of")))
+    rows = sketched.select("doc_id", "t1", "t2").join(known, ["t1", "t2"], "left")
+    found = rows.where("of is not null").select("doc_id", "of.class_id", "of.copy_of")
+    rest = rows.where("of is null").join(classed.where(~hot), ["t1", "t2"]).select("doc_id", "class_id", "copy_of")
+    return found.unionByName(rest)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
