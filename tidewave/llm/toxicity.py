@@ -55,7 +55,10 @@ CUT = 0.7
 #: Words that a worker remembers the margins of; beyond it the memory starts afresh.
 REMEMBERED = 500_000
 ROUNDS = 4
+#: Margins below it count as it; a text with fewer than three different stretches has it in the missing places.
 _FLOOR = -2.0
+#: Bits that tell subsequences apart.
+_HASH = 42
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _HEAD = np.zeros(0x3100, bool)
@@ -162,29 +165,28 @@ def variants(word: str, n: int, rng: np.random.RandomState) -> list[str]:
 
 
 def features(letters: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretch, subsequence and weight, normalised. A stretch's two ends count as signs of their own."""
-    owner, keys, values = [], [], []
+    """Stretch (of at most 500,000), subsequence and weight, normalised. A stretch's two ends count as signs of their own."""
     sizes = lengths + 2
     begin = np.cumsum(sizes) - sizes
     whole = np.full(sizes.sum(), 1, np.uint64)
     whole[begin + sizes - 1] = 2
     at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     whole[np.repeat(begin + 1, lengths) + at] = letters[np.repeat(first, lengths) + at]
-    letters, first, lengths = whole, begin, sizes
+    one, two, three = whole * _A, whole * _B, whole * _C
+    last = np.repeat(begin + sizes, sizes)
+    place, owner = np.arange(len(whole)), np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) << np.uint64(_HASH + 3)
+    found = []
     for a, b in _STEPS:
-        n = np.maximum(lengths - a - b, 0)
-        word = np.repeat(np.arange(len(n)), n)
-        at = first[word] + np.arange(len(word)) - (np.cumsum(n) - n)[word]
-        owner.append(word)
-        keys.append(mix64(letters[at] * _A + letters[at + a] * _B + letters[at + a + b] * _C))
-        values.append(np.full(len(word), DECAY ** (a + b + 1)))
-    owner, keys, values = np.concatenate(owner), np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(mix64(owner.astype(np.uint64)) ^ keys, kind="stable") if len(owner) else owner
-    owner, keys, values = owner[order], keys[order], values[order]
-    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))) if len(owner) else owner
-    owner, keys, values = owner[new], keys[new], np.add.reduceat(values, new) if len(new) else values
+        at = place[: len(place) - a - b][(place + a + b < last)[: len(place) - a - b]] if len(place) > a + b else place[:0]
+        found.append(owner[at] | (mix64(one[at] + two[at + a] + three[at + a + b]) >> np.uint64(64 - _HASH) << np.uint64(3)) | np.uint64(a + b - 2))
+    found = np.sort(np.concatenate(found))  # stretch, subsequence, span
+    values = DECAY ** np.arange(3, 11)[(found & np.uint64(7)).astype(np.int64)]
+    found >>= np.uint64(3)
+    new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+    found, values = found[new], np.add.reduceat(values, new) if len(new) else values
+    owner = (found >> np.uint64(_HASH)).astype(np.int64)
     norm = np.sqrt(np.bincount(owner, values * values, len(first)))
-    return owner, keys, values / norm[owner]
+    return owner, found & np.uint64((1 << _HASH) - 1), values / norm[owner]
 
 
 class Machine:
