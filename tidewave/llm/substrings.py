@@ -35,7 +35,7 @@ from tidewave.llm._common import _BASE, clean_ids, marked, mix64, powers, spread
 WINDOW = 50
 PREFIX = 16
 #: Suffixes of one prefix that a task may gather.
-HOT = 4_000
+HOT = 10_000
 #: Windows of one record.
 RUN = 256
 #: Suffixes whose subtrees a task builds at a time.
@@ -250,8 +250,23 @@ def copied(keyed: DataFrame) -> DataFrame:
     return written(ids.join(least, ["th", "t2"]).where("doc_id > low").select("doc_id", "th").distinct(), "copies")
 
 
+def _whole_windows(records: DataFrame, window: int) -> DataFrame:
+    """Of each record whose prefixes are lengthened to whole windows, the spans of its windows that a smaller document has.
+
+    Copies of a passage have the same list of windows, so lists are grouped first; what is joined are lists and records.
+    """
+    listed = records.withColumn("lid", F.xxhash64("windows"))
+    lists = written(listed.groupBy("prefix", "lid").agg(F.min("doc_id").alias("low"), F.first("windows").alias("windows")), "lists")
+    each = lists.select("prefix", "lid", "low", F.posexplode("windows").alias("i", "w"))
+    least = each.groupBy("prefix", "w").agg(F.min("low").alias("low"))
+    lows = each.drop("low").join(least, ["prefix", "w"]).groupBy("prefix", "lid").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("lows"))  # at most RUN
+    beyond = F.filter(F.col("lows"), lambda x: x["low"] < F.col("doc_id"))
+    spans = F.transform(beyond, lambda x: F.struct((F.col("start") + x["i"]).alias("start"), (F.col("start") + x["i"] + window).alias("end")))
+    return listed.select("prefix", "lid", "doc_id", "th", "start").join(lows, ["prefix", "lid"]).select("doc_id", "th", spans.alias("spans")).where(F.size("spans") > 0)
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX, hot: int = HOT, in_memory: int = IN_MEMORY) -> DataFrame:
-    """Word spans, of each (doc_id, th), covered by windows that also start in a document with a smaller doc_id.
+    """Arrays of word spans, of each (doc_id, th), covered by windows that also start in a document with a smaller doc_id.
 
     keyed holds no two equal texts of different doc_id (`copied` tells which to leave out).
     """
@@ -264,11 +279,9 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         return _suffix_records(texts.join(part.select("doc_id", "th", "wanted"), ["doc_id", "th"]), window, prefix, lengthened)
 
     found = subtrees(records(wanted.where("not hot"), False), window, in_memory)
+    found = found.select("doc_id", "th", F.array(F.struct("start", "end")).alias("spans"))
     if wanted.where("hot").limit(1).count():
-        each = records(wanted.where("hot"), True).select("prefix", "doc_id", "th", F.posexplode("windows").alias("i", "w"), "start").select("prefix", "w", "doc_id", "th", (F.col("start") + F.col("i")).alias("start"))
-        least = each.groupBy("prefix", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-        long = each.join(least, ["prefix", "w"]).where("doc_id > low").select("doc_id", "th", "start", (F.col("start") + window).alias("end"))
-        found = found.unionByName(long)
+        found = found.unionByName(_whole_windows(written(records(wanted.where("hot"), True), "lengthened"), window))
     return found
 
 
@@ -278,7 +291,7 @@ def _cut(keyed: DataFrame, window: int, prefix: int, hot: int, in_memory: int, e
     copies = copied(plain)
     known = marked(plain, copies, "doc_id", "th")
     firsts = known.where("not marked").drop("marked").unionByName(known.where("marked").drop("marked").join(copies, ["doc_id", "th"], "left_anti").select("doc_id", "text", "th"))
-    spans = repeated_spans(firsts, window, prefix, hot, in_memory).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(firsts, window, prefix, hot, in_memory).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end")))  # every window of a copy is repeated
     spans = written(spans.unionByName(copies.select("doc_id", "th", whole.alias("spans"))), "spans")
 
