@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the grading rules: least shares within 5, 10 and 15 for the grades A to C; the bound of mean and deviation.
@@ -43,3 +43,38 @@ def mae_corr_loss(x: DataFrame, keys: list[str], weight: float = 0.5, true: str
 
 def ensemble_mean(x: DataFrame, keys: list[str], fold: str = "fold", pred: str = "p") -> DataFrame:
     return x.groupBy(*keys).agg(F.avg(pred).alias("mean"), F.stddev_pop(pred).alias("spread"), F.count_distinct(fold).alias("folds"))
+
+
+def window_losses(x: DataFrame, keys: list[str], weight: str, true: str = "y", pred: str = "p", eps: float = 1e-8) -> DataFrame:
+    """Training losses of each window: mean absolute error plain and weighted, 1 - r^2 plain and weighted, and the plain ones' sum."""
+    e, w = F.abs(F.col(pred) - F.col(true)), F.col(weight)
+    share = F.greatest(F.sum(w), F.lit(eps))
+    raw = x.groupBy(*keys).agg(
+        F.avg(e).alias("mae"), (F.sum(w * e) / share).alias("weighted_mae"), F.covar_pop(pred, true).alias("c"), F.var_pop(pred).alias("vp"), F.var_pop(true).alias("vt"),
+        *((F.sum(w * v) / share).alias(n) for n, v in {"wp": F.col(pred), "wt": F.col(true), "wpp": F.col(pred) ** 2, "wtt": F.col(true) ** 2, "wpt": F.col(pred) * F.col(true), "w1": F.lit(1.0)}.items()),
+    )
+    c = F.col
+    root = lambda v: F.sqrt(F.greatest(v, F.lit(eps)))
+    weighted = (c("wpt") - (2 - c("w1")) * c("wp") * c("wt")) / (root(c("wpp") - (2 - c("w1")) * c("wp") ** 2) * root(c("wtt") - (2 - c("w1")) * c("wt") ** 2) + eps)
+    told = raw.select(*keys, "mae", "weighted_mae", (1 - (c("c") / (root(c("vp")) * root(c("vt")) + eps)) ** 2).alias("corr"), (1 - weighted**2).alias("weighted_corr"))
+    return told.withColumn("mae_and_corr", c("mae") + c("corr"))
+
+
+def weight_penalties(x: DataFrame, keys: list[str], weight: str, order: str, goal: float = 0.6) -> DataFrame:
+    """Squared distance of the mean weight from the goal, and the mean step between neighbouring weights, over all windows."""
+    step = F.abs(F.lead(weight).over(Window.partitionBy(*keys).orderBy(order)) - F.col(weight))
+    return x.select(weight, step.alias("_step")).agg(((F.avg(weight) - goal) ** 2).alias("cover"), F.avg("_step").alias("variation"))
+
+
+def mean_over_files(x: DataFrame, keys: list[str], true: str = "y", pred: str = "p") -> DataFrame:
+    """Both signals z-scored (sample deviation) in each file, their errors, and the mean over files: one row."""
+    w = Window.partitionBy(*keys)
+    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))
+    per = errors(x.select(*keys, z(true).alias(true), z(pred).alias(pred)), keys, true, pred)
+    return per.agg(F.count(F.lit(1)).alias("files"), *(F.avg(c).alias(c) for c in ("mae", "rmse", "r")))
+
+
+def over_windows(x: DataFrame, keys: list[str], true: str = "y", pred: str = "p") -> DataFrame:
+    """Mean and population deviation over windows of correlation and root mean square error: one row."""
+    per = errors(x, keys, true, pred)
+    return per.agg(F.count(F.lit(1)).alias("windows"), *(f(c).alias(f"{c}_{n}") for c in ("r", "rmse") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))

@@ -12,8 +12,8 @@ def in_all(sources: DataFrame, wanted: list[str], key: str = "sid", source: str
 
 
 def missing_sources(sources: DataFrame, wanted: list[str], key: str = "sid", source: str = "source") -> DataFrame:
-    """Keys that lack some wanted source, with the sorted names of those, joined by commas."""
-    have = sources.where(F.col(source).isin(wanted)).groupBy(key).agg(F.collect_set(source).alias("have"))
+    """Keys that lack some wanted source, those that have none of them too, with the sorted names of what they lack, joined by commas."""
+    have = sources.groupBy(key).agg(F.collect_set(F.when(F.col(source).isin(wanted), F.col(source))).alias("have"))  # as many names as are wanted, at most
     lack = F.array_sort(F.array_except(F.array(*map(F.lit, wanted)), F.col("have")))
     return have.select(key, F.array_join(lack, ",").alias("missing")).where("missing <> ''")
 
@@ -73,3 +73,67 @@ def every_kth(frames: DataFrame, rate: float, target: float, limit: float, frame
     """Frames (from 0) of `limit` seconds thinned from one rate to another."""
     step = max(1, round(rate / target))
     return frames.where((F.col(frame) % step == 0) & (F.col(frame) / rate <= limit))
+
+
+def with_prefix(x: DataFrame, prefixes: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """The keys and the columns whose names start with one of the prefixes."""
+    return x.select(*keys, *(c for c in x.columns if c.startswith(prefixes) and c not in keys))
+
+
+def in_range(x: DataFrame, column: str, low: int, high: int, omit: tuple[int, ...] = ()) -> DataFrame:
+    """Rows whose id is from low to high and not among those left out."""
+    return x.where(F.col(column).between(low, high) & ~F.col(column).isin(*omit))
+
+
+def complete(x: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without nulls or NaN in the columns."""
+    return x.dropna(subset=columns)
+
+
+def has_columns(x: DataFrame, required: list[str]) -> bool:
+    return set(required) <= set(x.columns)
+
+
+def each_with(x: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """Every row once for each of a few given values: an explode, no join."""
+    return x.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+
+
+def stacked(frames: list[DataFrame]) -> DataFrame:
+    """All rows of frames by column name; what a frame lacks is null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def leaked(train: DataFrame, test: DataFrame, subject: str) -> DataFrame:
+    """Subjects on both sides of a split."""
+    return train.select(subject).intersect(test.select(subject))
+
+
+def members(x: DataFrame, key: str, row_id: str) -> DataFrame:
+    """The rows of each key in order, a row each with its place (from 0) instead of one list that a large key would fill."""
+    return x.select(key, row_id, (F.row_number().over(Window.partitionBy(key).orderBy(row_id)) - 1).cast("long").alias("place"))
+
+
+def melted(x: DataFrame, keys: list[str], columns: list[str], name: str = "channel", value: str = "v") -> DataFrame:
+    """A row for each of the columns."""
+    return x.unpivot(keys, columns, name, value)
+
+
+def global_rank(x: DataFrame, key: Column, name: str = "rank", parts: int = 64, per_part: int = 32) -> DataFrame:
+    """Each row's place (from 0) in the order of a key without ties, and no task with all rows.
+
+    A bounded sample of keys (those with the smallest hashes) bounds ranges; each is ranked by itself and shifted by the
+    rows before it.
+    """
+    keyed = x.withColumn("_key", key)
+    sample = sorted(r[0] for r in keyed.where("_key is not null").select("_key").orderBy(F.xxhash64("_key"), "_key").limit(parts * per_part).collect())
+    bounds = sorted(set(sample[per_part::per_part]))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    dealt = keyed.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
+    shifts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
+    return ranked.join(F.broadcast(shifts), "_part").withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_key", "_part", "_shift")

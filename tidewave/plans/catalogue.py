@@ -352,7 +352,7 @@ def multi_intersect(spark, d):
     return relational.in_all(_sources(spark, d), SOURCES)
 
 
-@query(f"WITH h AS (SELECT * FROM {_KINDS} WHERE source IN ({_LIST})), a AS (SELECT DISTINCT sid FROM h), m AS (SELECT a.sid, s.source FROM a, (SELECT unnest([{_LIST}]) AS source) s ANTI JOIN h ON a.sid = h.sid AND s.source = h.source) SELECT sid, string_agg(source, ',' ORDER BY source) AS missing FROM m GROUP BY sid")
+@query(f"WITH h AS (SELECT * FROM {_KINDS} WHERE source IN ({_LIST})), a AS (SELECT DISTINCT sid FROM {_KINDS}), m AS (SELECT a.sid, s.source FROM a, (SELECT unnest([{_LIST}]) AS source) s ANTI JOIN h ON a.sid = h.sid AND s.source = h.source) SELECT sid, string_agg(source, ',' ORDER BY source) AS missing FROM m GROUP BY sid")
 def multi_missing(spark, d):
     return relational.missing_sources(_sources(spark, d), SOURCES)
 
@@ -420,10 +420,8 @@ def pw_parse(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS n FROM part")
 def natural_sort(spark, d):
-    from pyspark.sql import Window
-
     named = table(spark, d, "part").select("p_partkey", F.concat(F.lit("img"), F.col("p_size").cast("string"), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"))
-    return named.select("p_partkey", F.row_number().over(Window.orderBy(relational.natural_key(F.col("name")))).cast("long").alias("n"))
+    return relational.global_rank(named, relational.natural_key(F.col("name")), "n").select("p_partkey", (F.col("n") + 1).alias("n"))
 
 
 @query(f"WITH {EV} SELECT k, t FROM ev WHERE (t - 1) % 3 = 0 AND (t - 1) / 30.0 <= 1.5")
