@@ -93,7 +93,7 @@ def common_shingles(docs: DataFrame, n: int, common: float = COMMON) -> tuple[np
             yield flush()
 
     likely = docs.mapInArrow(gather, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n).select("shingle")
-    found = np.sort(np.asarray([r.shingle for r in likely.collect()], np.int64).view(np.uint64))  # at most 2 / common times the mean number
+    found = np.sort(likely.toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))  # at most 2 / common times the mean number
     if not len(found):
         return found, np.zeros(0, np.int64)
 
@@ -107,8 +107,8 @@ def common_shingles(docs: DataFrame, n: int, common: float = COMMON) -> tuple[np
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(times)), pa.array(times[times > 0])], ["at", "n"])
 
     totals = np.zeros(len(found), np.int64)
-    for r in docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        totals[r["at"]] = r.n
+    counted = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    totals[counted["at"].to_numpy()] = counted["n"].to_numpy()
     keep = totals >= common * n
     return found[keep], totals[keep]
 
