@@ -1,6 +1,7 @@
-"""True recurrences on each series, in one grouped pandas UDF for a whole chain of steps; and distances of two series.
+"""True recurrences on series, run over many series at once; and distances of two series.
 
-A series is a recording (minutes, not years), so one group fits a task whatever the number of recordings.
+A series is packed into one row (a recording: minutes, not years), rows go to Python in Arrow batches, and every step works
+on a matrix of the batch's series: the loop over time is Python's, the series are numpy's.
 """
 
 from __future__ import annotations
@@ -9,39 +10,59 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Step = Callable[[np.ndarray], np.ndarray]
+#: Samples of a matrix that a task works on at a time; one longer series is a matrix of its own.
+SAMPLES = 1 << 20
+
+
+class Step:
+    """A step on the rows of a matrix, of which each has its own length; what is beyond it is padding. Called, it takes one series."""
+
+    def __init__(self, rows: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.rows = rows
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        return self.rows(np.asarray(v, float)[None, :], np.asarray([len(v)]))[0]
 
 
 def detrend(rate: float) -> Step:
     """Smoothness priors with lambda = 12 * rate, by elimination in five diagonals; the end is repeated for two seconds and cut off."""
 
-    def run(v: np.ndarray) -> np.ndarray:
-        n = len(v)
-        if n < 5:
-            return v - v.mean()
-        p = np.concatenate([v, v[-min(n, int(2 * rate)) :]])
-        m, w = len(p), (12 * rate) ** 2
-        main, one, two = np.ones(m), np.zeros(m), np.zeros(m)
-        for i, c in enumerate((1.0, -2.0, 1.0)):
-            main[i : m - 2 + i] += w * c * c
-        one[: m - 2] += -2 * w
-        one[1 : m - 1] += -2 * w
-        two[: m - 2] += w
-        d, a, b, z = np.zeros(m), np.zeros(m), np.zeros(m), p.astype(float).copy()
-        for i in range(m):  # L D L'
-            d[i] = main[i] - (a[i - 1] ** 2 * d[i - 1] if i else 0) - (b[i - 2] ** 2 * d[i - 2] if i > 1 else 0)
-            a[i] = (one[i] - (a[i - 1] * d[i - 1] * b[i - 1] if i else 0)) / d[i]
+    def run(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+        more = np.minimum(n, int(2 * rate))
+        size = n + more
+        m, w = int(size.max(initial=0)), (12 * rate) ** 2
+        at = np.arange(m)
+        inside = at < size[:, None]
+        p = np.where(inside, np.take_along_axis(v, np.clip(np.where(at < n[:, None], at, at - more[:, None]), 0, v.shape[1] - 1), 1), 0.0)
+        last = at < size[:, None] - 2  # rows of the second difference, which starts at the place
+        main, one, two = np.ones(p.shape), np.zeros(p.shape), np.zeros(p.shape)
+        for i, c in enumerate((1.0, 4.0, 1.0)):
+            main[:, i:] += w * c * last[:, : m - i]
+        one += -2 * w * last
+        one[:, 1:] += -2 * w * last[:, : m - 1]
+        two += w * last
+        d, a, b, z = np.ones((m + 2, len(v))), np.zeros((m + 2, len(v))), np.zeros((m + 2, len(v))), np.zeros((m + 2, len(v)))
+        main, one, two, p = main.T, one.T, two.T, p.T
+        for i in range(m):  # L D L', the places before the first are 0
+            d[i] = main[i] - a[i - 1] ** 2 * d[i - 1] - b[i - 2] ** 2 * d[i - 2]
+            a[i] = (one[i] - a[i - 1] * d[i - 1] * b[i - 1]) / d[i]
             b[i] = two[i] / d[i]
-            z[i] -= (a[i - 1] * z[i - 1] if i else 0) + (b[i - 2] * z[i - 2] if i > 1 else 0)
+            z[i] = p[i] - a[i - 1] * z[i - 1] - b[i - 2] * z[i - 2]
         z /= d
         for i in range(m - 2, -1, -1):
-            z[i] -= a[i] * z[i + 1] + (b[i] * z[i + 2] if i + 2 < m else 0)
-        return (p - z)[:n]
+            z[i] -= a[i] * z[i + 1] + b[i] * z[i + 2]
+        out = (p - z[:m]).T[:, : v.shape[1]]
+        short = n < 5
+        if short.any():
+            mean = np.nansum(np.where(np.arange(v.shape[1]) < n[:, None], v, 0), 1) / np.maximum(n, 1)
+            out[short] = (v - mean[:, None])[short]
+        return out
 
-    return run
+    return Step(run)
 
 
 def _butterworth(order: int, low: float, high: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -57,30 +78,58 @@ def _butterworth(order: int, low: float, high: float, rate: float) -> tuple[np.n
     return b * abs(np.polyval(a, mid) / np.polyval(b, mid)), a
 
 
+def _lowpass(order: int, cutoff: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    w = 2 * rate * np.tan(np.pi * cutoff / rate)
+    poles = w * np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    a = np.real(np.poly((2 * rate + poles) / (2 * rate - poles)))
+    b = np.real(np.poly(-np.ones(order)))
+    return b * a.sum() / b.sum(), a
+
+
 def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Direct form II transposed, from the state that a constant first sample would have left."""
+    """Direct form II transposed along the last axis, from the state that a constant first sample would have left."""
     n = len(a) - 1
     m = np.eye(n) - np.column_stack([-a[1:], np.eye(n)[:, :-1]])
-    state = np.linalg.solve(m, b[1:] - a[1:] * b[0]) * x[0]
-    y = np.empty(len(x))
-    for i, v in enumerate(x):
+    one = x.ndim == 1
+    x = np.atleast_2d(x)
+    state = np.vstack([np.linalg.solve(m, b[1:] - a[1:] * b[0])[:, None] * x[:, 0], np.zeros(len(x))])
+    y = np.empty(x.T.shape)
+    ahead, back = b[1:, None], a[1:, None]
+    for i, v in enumerate(np.ascontiguousarray(x.T)):
         y[i] = b[0] * v + state[0]
-        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y[i]
-    return y
+        state[:-1] = state[1:] + ahead * v - back * y[i]
+    return y[:, 0] if one else y.T
 
 
-def bandpass(low: float, high: float, rate: float, order: int = 1) -> Step:
+def _both_ways(b: np.ndarray, a: np.ndarray) -> Step:
     """Forward and backward over the series with its ends reflected; NaN if it is no longer than the reflection."""
-    b, a = _butterworth(order, low, high, rate)
     pad = 3 * len(a)
 
-    def run(v: np.ndarray) -> np.ndarray:
-        if len(v) <= pad:
-            return np.full(len(v), np.nan)
-        x = np.concatenate([2 * v[0] - v[pad:0:-1], v, 2 * v[-1] - v[-2 : -pad - 2 : -1]])
-        return _filter(b, a, _filter(b, a, x)[::-1])[::-1][pad:-pad]
+    def run(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.full(v.shape, np.nan)
+        able = n > pad
+        if not able.any():
+            return out
+        x, k = v[able], n[able][:, None]
+        at = np.arange(int(k.max()) + 2 * pad) - pad
+        pick = lambda i: np.take_along_axis(x, np.clip(i, 0, x.shape[1] - 1), 1)
+        places = np.broadcast_to(at, (len(x), len(at)))
+        long = np.where(places < 0, 2 * x[:, :1] - pick(-places), np.where(places >= k, 2 * pick(k - 1) - pick(2 * (k - 1) - places), pick(places)))
+        turned = np.clip(k + 2 * pad - 1 - np.arange(len(at)), 0, len(at) - 1)
+        y = _filter(b, a, np.take_along_axis(_filter(b, a, long), turned, 1))
+        y = np.take_along_axis(y, turned, 1)[:, pad:-pad]
+        out[able] = np.pad(y, ((0, 0), (0, v.shape[1] - y.shape[1])))
+        return out
+
+    return Step(run)
 
-    return run
+
+def bandpass(low: float, high: float, rate: float, order: int = 1) -> Step:
+    return _both_ways(*_butterworth(order, low, high, rate))
+
+
+def lowpass(cutoff: float, rate: float, order: int = 4) -> Step:
+    return _both_ways(*_lowpass(order, cutoff, rate))
 
 
 def savitzky_golay(rate: float, degree: int = 5) -> Step:
@@ -92,42 +141,97 @@ def savitzky_golay(rate: float, degree: int = 5) -> Step:
     basis = np.vander(x, degree + 1, increasing=True)
     smooth = basis @ np.linalg.pinv(basis)
 
-    def run(v: np.ndarray) -> np.ndarray:
-        if len(v) < n:
-            return v.astype(float)
-        inner = np.lib.stride_tricks.sliding_window_view(v, n) @ smooth[h]
-        return np.concatenate([(smooth @ v[:n])[:h], inner, (smooth @ v[-n:])[h + 1 :]])
+    def run(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = v.astype(float)
+        able = np.flatnonzero(size >= n)
+        if not len(able):
+            return out
+        x, k = v[able], size[able][:, None]
+        inner = np.zeros(x.shape)
+        for i, c in enumerate(smooth[h]):
+            inner[:, h : x.shape[1] - h] += c * x[:, i : x.shape[1] - n + 1 + i]
+        inner[:, :h] = x[:, :n] @ smooth[:h].T
+        final = k - n + np.arange(n)
+        np.put_along_axis(inner, final[:, h + 1 :], np.take_along_axis(x, final, 1) @ smooth[h + 1 :].T, 1)
+        out[able] = inner
+        return out
 
-    return run
+    return Step(run)
+
+
+def envelope(v: np.ndarray) -> np.ndarray:
+    """Magnitude of the analytic signal of one series."""
+    n = len(v)
+    gain = np.zeros(n)
+    gain[:1] = 1
+    gain[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        gain[n // 2 : n // 2 + 1] = 1
+    return np.abs(np.fft.ifft(np.fft.fft(v) * gain)) if n else v
+
+
+def each(f: Callable[[np.ndarray], np.ndarray]) -> Step:
+    """A function of one series as a step."""
+
+    def run(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.full(v.shape, np.nan)
+        for i, k in enumerate(n):
+            out[i, :k] = f(v[i, :k])
+        return out
+
+    return Step(run)
 
 
 def by_envelope() -> Step:
     """Divided by the magnitude of the analytic signal."""
 
     def run(v: np.ndarray) -> np.ndarray:
-        n = len(v)
-        gain = np.zeros(n)
-        gain[0] = 1
-        gain[1 : (n + 1) // 2] = 2
-        if n % 2 == 0:
-            gain[n // 2] = 1
-        size = np.abs(np.fft.ifft(np.fft.fft(v) * gain))
+        size = envelope(v)
         return v / np.where(size == 0, 1e-8, size)
 
-    return run
+    return each(run)
+
+
+def packed(x: DataFrame, keys: tuple[str, ...] = ("k",), order: str = "t", value: str = "v") -> DataFrame:
+    """A row for each series: keys, t (its places in order) and v (its samples there)."""
+    rows = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("v")))).alias("_s"))
+    return rows.select(*keys, F.col("_s.t").alias("t"), F.col("_s.v").alias("v"))
+
+
+def matrices(batches, column: str = "v"):
+    """Slices of the batches of about SAMPLES samples, each with its series as a padded matrix and their lengths."""
+    for batch in batches:
+        lists = batch.column(column)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        while start < batch.num_rows:
+            stop, widest = start, 0
+            while stop < batch.num_rows and (stop == start or max(widest, sizes[stop]) * (stop + 1 - start) <= SAMPLES):
+                widest = max(widest, int(sizes[stop]))
+                stop += 1
+            part, n = batch.slice(start, stop - start), sizes[start:stop]
+            flat = part.column(column).flatten().to_numpy(zero_copy_only=False).astype(float)
+            v = np.zeros((len(n), widest))
+            v[np.arange(widest) < n[:, None]] = flat
+            yield part, v, n
+            start = stop
 
 
 def apply_chain(x: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("k",), order: str = "t", value: str = "v") -> DataFrame:
     """All steps on each series in one pass: one exchange on the keys. Nulls inside a series become null results."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        v = pdf[value].to_numpy(float)
-        for step in steps:
-            v = step(v)
-        return pdf.assign(**{value: pd.Series(v, index=pdf.index).where(np.isfinite(v), None)})
+    def run(batches):
+        for part, v, n in matrices(batches):
+            for step in steps:
+                v = step.rows(v, n)
+            flat = v[np.arange(v.shape[1]) < n[:, None]]
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat, mask=~np.isfinite(flat)))
+            yield pa.RecordBatch.from_arrays([*(values if c == "v" else part.column(c) for c in part.schema.names)], part.schema.names)
 
-    return x.select(*keys, order, value).groupBy(*keys).applyInPandas(run, x.select(*keys, order, F.col(value).cast("double")).schema)
+    rows = packed(x, keys, order, value)
+    done = rows.mapInArrow(run, rows.schema)
+    told = done.select(*keys, F.explode(F.arrays_zip("t", "v")).alias("_s"))
+    return told.select(*keys, F.col("_s.t").alias(order), F.col("_s.v").alias(value))
 
 
 def onsets(x: DataFrame, rate: float) -> DataFrame:
@@ -152,25 +256,36 @@ def onsets(x: DataFrame, rate: float) -> DataFrame:
     return x.select("k", "t", "v").groupBy("k").applyInPandas(run, "k long, beat long, t long")
 
 
-def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None) -> float:
-    """Root of the least summed squared difference along a warping path."""
+def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None, normalise: str | None = None) -> float:
+    """Root of the least summed squared difference along a warping path.
+
+    normalise: "len" divides the sum by the longer length, "path" by the steps of the path (of equal ones the one that goes
+    up rather than left rather than both).
+    """
     n, m = len(a), len(b)
     reach = max(window if window is not None else max(n, m), abs(n - m))
-    above = np.full(m + 1, np.inf)
+    above, steps = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
     above[0] = 0
     for i in range(1, n + 1):
-        row = np.full(m + 1, np.inf)
-        for j in range(max(1, i - reach), min(m, i + reach) + 1):
-            row[j] = (a[i - 1] - b[j - 1]) ** 2 + min(above[j], row[j - 1], above[j - 1])
-        above = row
-    return float(np.sqrt(above[m]))
-
-
-def pair_distances(pairs: DataFrame, window: int | None = None) -> DataFrame:
+        row, taken = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        low, high = max(1, i - reach), min(m, i + reach)
+        cost = (a[i - 1] - b[low - 1 : high]) ** 2
+        best = np.minimum(above[low : high + 1], above[low - 1 : high]).tolist()
+        left = float(row[low - 1])
+        for j, (c, over) in enumerate(zip(cost.tolist(), best, strict=True), low):  # the left neighbour is a recurrence
+            least = min(over, left)
+            taken[j] = 1 + (steps[j] if above[j] == least else taken[j - 1] if left == least else steps[j - 1])
+            left = row[j] = c + least
+        above, steps = row, taken
+    total = above[m] / {None: 1, "len": max(n, m), "path": max(int(steps[m]), 1)}[normalise]
+    return float(np.sqrt(total))
+
+
+def pair_distances(pairs: DataFrame, window: int | None = None, normalise: str | None = None) -> DataFrame:
     """pairs (k, t, a, b): the warping distance of each series' two signals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "dtw": [dtw(pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), window)]})
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "dtw": [dtw(pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), window, normalise)]})
 
     return pairs.groupBy("k").applyInPandas(run, "k long, dtw double")
