@@ -52,24 +52,36 @@ def chrom(rgb: DataFrame) -> DataFrame:
 
 
 def pos(rgb: DataFrame, fps: float = 30.0) -> DataFrame:
-    """Each window of 1.6 s gives a projection; a sample is the sum over the windows that hold it: two window passes."""
+    """Each window of 1.6 s gives a projection; a sample is the sum over the windows that hold it: two window passes.
+
+    Sums over a window are differences of running sums, so the work doesn't grow with its length. Colours are taken from
+    their series' mean first; variances that the running sums' rounding would give alone count as 0.
+    """
     n = max(3, round(1.6 * fps))
     w = series(K, ORDER)
-    ahead, behind = w.rowsBetween(0, n - 1), w.rowsBetween(-(n - 1), 0)
-    mean = {c: F.avg(c).over(ahead) for c in "rgb"}
-    own = rgb.select(K, ORDER, "r", "g", "b", F.count(F.lit(1)).over(ahead).alias("n"), *(mean[c].alias(f"m{c}") for c in "rgb"), *(F.var_pop(c).over(ahead).alias(f"v{c}") for c in "rgb"), *(F.covar_pop(*p).over(ahead).alias(f"c{p}") for p in ("gb", "rg", "rb")))
-    own = own.select("*", *((1 / (F.col(f"m{c}") + EPS)).alias(f"k{c}") for c in "rgb"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     c = F.col
+    products = ("rr", "gg", "bb", "gb", "rg", "rb")
+    flat = rgb.select(K, ORDER, "r", "g", "b", *(F.avg(x).over(whole(K)).alias(f"o{x}") for x in "rgb"))
+    flat = flat.select("*", *((c(x) - c(f"o{x}")).alias(f"d{x}") for x in "rgb"))
+    sums = flat.select("*", *(F.sum(f"d{x}").over(upto).alias(f"s{x}") for x in "rgb"), *(F.sum(c(f"d{x}") * c(f"d{y}")).over(upto).alias(f"s{x}{y}") for x, y in products), *(F.sum(c(f"d{x}") * c(f"d{x}")).over(whole(K)).alias(f"all{x}") for x in "rgb"))
+    ahead = {x: (F.lead(f"s{x}", n - 1).over(w) - F.coalesce(F.lag(f"s{x}").over(w), F.lit(0.0))) / n for x in (*"rgb", *products)}
+    own = sums.select(K, ORDER, "r", "g", "b", "or", "og", "ob", "allr", "allg", "allb", *(v.alias(f"m{x}") for x, v in ahead.items()))
+    own = own.select(K, ORDER, "r", "g", "b", *(c(f"all{x}") for x in "rgb"), *((c(f"m{x}") + c(f"o{x}")).alias(f"m{x}") for x in "rgb"), *((c(f"m{x}{y}") - c(f"m{x}") * c(f"m{y}")).alias(f"c{x}{y}") for x, y in products))
+    own = own.select("*", *((1 / (c(f"m{x}") + EPS)).alias(f"k{x}") for x in "rgb"))
     kr, kg, kb = c("kr"), c("kg"), c("kb")
-    first = kg * kg * c("vg") + kb * kb * c("vb") - 2 * kg * kb * c("cgb")
-    second = 4 * kr * kr * c("vr") + kg * kg * c("vg") + kb * kb * c("vb") - 4 * kr * kg * c("crg") - 4 * kr * kb * c("crb") + 2 * kg * kb * c("cgb")
-    alpha = F.sqrt(F.greatest(first, F.lit(0.0))) / (F.sqrt(F.greatest(second, F.lit(0.0))) + EPS)
-    own = own.select(K, ORDER, "r", "g", "b", "n", "mr", "mg", "mb", "kr", "kg", "kb", alpha.alias("alpha"))
-    a1, a2, a3 = -2 * c("alpha") * kr, kg * (1 + c("alpha")), kb * (c("alpha") - 1)
-    full = c("n") == n
-    own = own.select(K, ORDER, "r", "g", "b", *(F.when(full, x).alias(name) for name, x in (("a1", a1), ("a2", a2), ("a3", a3), ("a4", a1 * c("mr") + a2 * c("mg") + a3 * c("mb")))))
-    total = {x: F.coalesce(F.sum(x).over(behind), F.lit(0.0)) for x in ("a1", "a2", "a3", "a4")}
-    return own.select(K, ORDER, (c("r") * total["a1"] + c("g") * total["a2"] + c("b") * total["a3"] - total["a4"]).alias("v"))
+    least = 1e-13 * (kg * kg * c("allg") + kb * kb * c("allb"))
+    first = kg * kg * c("cgg") + kb * kb * c("cbb") - 2 * kg * kb * c("cgb")
+    second = 4 * kr * kr * c("crr") + kg * kg * c("cgg") + kb * kb * c("cbb") - 4 * kr * kg * c("crg") - 4 * kr * kb * c("crb") + 2 * kg * kb * c("cgb")
+    root = lambda v, least: F.when(v <= least, F.lit(0.0)).otherwise(F.sqrt(v))
+    alpha = root(first, least) / (root(second, least + 4e-13 * kr * kr * c("allr")) + EPS)
+    own = own.select(K, ORDER, "r", "g", "b", "mr", "mg", "mb", "kr", "kg", "kb", alpha.alias("alpha"))
+    own = own.select(K, ORDER, "r", "g", "b", "mr", "mg", "mb", (-2 * c("alpha") * kr).alias("a1"), (kg * (1 + c("alpha"))).alias("a2"), (kb * (c("alpha") - 1)).alias("a3"))
+    own = own.select(K, ORDER, "r", "g", "b", "a1", "a2", "a3", (c("a1") * c("mr") + c("a2") * c("mg") + c("a3") * c("mb")).alias("a4"))
+    names = ("a1", "a2", "a3", "a4")
+    run = own.select(K, ORDER, "r", "g", "b", *(F.coalesce(F.sum(x).over(upto), F.lit(0.0)).alias(x) for x in names))
+    total = {x: c(x) - F.coalesce(F.lag(x, n).over(w), F.lit(0.0)) for x in names}
+    return run.select(K, ORDER, (c("r") * total["a1"] + c("g") * total["a2"] + c("b") * total["a3"] - total["a4"]).alias("v"))
 
 
 def omit(rgb: DataFrame) -> DataFrame:
