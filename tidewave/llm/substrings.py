@@ -35,7 +35,7 @@ from tidewave.llm._common import _BASE, clean_ids, marked, mix64, powers, spread
 WINDOW = 50
 PREFIX = 16
 #: Suffixes of one prefix that a task may gather.
-HOT = 10_000
+HOT = 200_000
 #: Windows of one record.
 RUN = 256
 #: Suffixes whose subtrees a task builds at a time.
