@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import gradient, is_extreme, series
+from tidewave.operators.filters import bandpass, matrices, packed
+from tidewave.operators.waves import to_length, upsampled
 
 LEVELS = (10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90)
 
@@ -87,8 +91,9 @@ def contour(beats: DataFrame) -> DataFrame:
     rest = F.greatest(c("n") - c("rising"), F.lit(1))
     return found.select(
         "k", "beat", c("rising").alias("t1"), rest.alias("t2"), F.abs(c("rising") - rest).alias("t_sub"), F.try_divide(c("rising"), rest).alias("t_div"), "systolic", "diastolic",
-        F.try_divide(c("systolic"), c("diastolic")).alias("area_ratio"), F.try_divide(c("top") - c("first"), c("rising")).alias("slope_up"), F.try_divide(c("last") - c("top"), c("n") - c("rising")).alias("slope_down"),
-        *((c(f"r{p}") - c(f"l{p}")).alias(f"width{p}") for p in LEVELS),
+        F.try_divide(c("systolic"), c("diastolic")).alias("area_ratio"), (c("systolic") + c("diastolic")).alias("total"),
+        *(F.try_divide(c(x), c("systolic") + c("diastolic")).alias(f"{x}_share") for x in ("systolic", "diastolic")), F.try_divide(c("top") - c("first"), c("rising")).alias("slope_up"), F.try_divide(c("last") - c("top"), c("n") - c("rising")).alias("slope_down"),
+        *((c(f"r{p}") - c(f"l{p}")).alias(f"width{p}") for p in LEVELS), *(c(f"{x}{p}").alias(f"{n}{p}") for x, n in (("l", "up"), ("r", "down")) for p in (25, 50, 75)),
     )
 
 
@@ -98,3 +103,146 @@ def derivative_ratios(points: DataFrame) -> DataFrame:
     over = lambda x, y: F.try_divide(x, y)
     ageing = F.when(c("e").isNotNull(), over(c("b") - c("c") - c("d") - c("e"), c("a"))).otherwise(over(c("b") - c("c") - c("d"), c("a")))
     return points.select("*", *(over(c(x), c("a")).alias(f"{x}_a") for x in "bcde"), ageing.alias("ageing"), over(c("d") - c("b"), c("a")).alias("wi1"), over(c("c") - c("b"), c("a")).alias("wi2"), over(c("a") - c("b"), c("a") - c("d")).alias("ab_ad"))
+
+
+def turns(beats: DataFrame) -> DataFrame:
+    """k, beat, pos, v, peak of every local maximum (peak) and minimum of each beat: runs of equal samples count at their middle, ends never."""
+    w = series(["k", "beat"], "pos")
+    new = F.coalesce((F.lag("v").over(w) != F.col("v")).cast("long"), F.lit(0))
+    runs = beats.select("k", "beat", "pos", "v", new.alias("new")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flat = runs.groupBy("k", "beat", "run").agg(F.first("v").alias("v"), F.min("pos").alias("a"), F.max("pos").alias("b"))
+    r = series(["k", "beat"], "run")
+    before, after = F.lag("v").over(r), F.lead("v").over(r)
+    kind = F.when((F.col("v") > before) & (F.col("v") > after), F.lit(True)).when((F.col("v") < before) & (F.col("v") < after), F.lit(False))
+    found = flat.withColumn("peak", kind).where("peak is not null")
+    return found.select("k", "beat", F.floor((F.col("a") + F.col("b")) / 2).cast("long").alias("pos"), "v", "peak")
+
+
+def check_pulse(beats: DataFrame) -> DataFrame:
+    """k, beat, good: at most four turns, a rise no more than two samples longer than the rest, and no second peak above the first. A beat without a peak isn't good."""
+    points = turns(beats)
+    nth = F.row_number().over(Window.partitionBy("k", "beat", "peak").orderBy("pos"))
+    told = points.withColumn("nth", nth).groupBy("k", "beat").agg(
+        F.count(F.lit(1)).alias("turns"),
+        *(F.max(F.when(F.col("peak") & (F.col("nth") == i), F.col(c))).alias(f"{c}{i}") for c, i in (("pos", 1), ("v", 1), ("v", 2))),
+    )
+    sizes = beats.groupBy("k", "beat").agg(F.count(F.lit(1)).alias("n"))
+    c = F.col
+    good = (c("turns") <= 4) & (c("pos1") <= c("n") - c("pos1") + 2) & (c("v2").isNull() | (c("v2") <= c("v1")))
+    return sizes.join(told, ["k", "beat"], "left").select("k", "beat", F.coalesce(good, F.lit(False)).alias("good"))
+
+
+def check_second_derivative(beats: DataFrame, least: float = 0.03) -> DataFrame:
+    """k, beat, good for beats of second differences: five turns or more, of the first five the first is highest and the second lowest, and each at least `least` of the length after the one before."""
+    points = turns(beats).withColumn("nth", F.row_number().over(series(["k", "beat"], "pos"))).where("nth <= 5")
+    gap = (F.col("pos") - F.lag("pos").over(series(["k", "beat"], "pos"))).alias("gap")
+    points = points.select("k", "beat", "nth", "v", gap)
+    told = points.groupBy("k", "beat").agg(F.count(F.lit(1)).alias("turns"), F.max("v").alias("top"), F.min("v").alias("low"), F.min("gap").alias("gap"), *(F.max(F.when(F.col("nth") == i, F.col("v"))).alias(c) for i, c in ((1, "a"), (2, "b"))))
+    sizes = beats.groupBy("k", "beat").agg(F.count(F.lit(1)).alias("n"))
+    c = F.col
+    good = (c("turns") == 5) & (c("a") == c("top")) & (c("b") == c("low")) & (c("gap") >= least * c("n"))
+    return sizes.join(told, ["k", "beat"], "left").select("k", "beat", F.coalesce(good, F.lit(False)).alias("good"))
+
+
+def second_differences(beats: DataFrame) -> DataFrame:
+    """The forward differences of second order of each beat, its chord taken off first."""
+    w = series(["k", "beat"], "pos")
+    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last, n = F.first("v").over(ends), F.last("v").over(ends), F.count(F.lit(1)).over(ends)
+    flat = beats.select("k", "beat", "pos", (F.col("v") - (first + (last - first) * F.col("pos") / F.greatest(n - 1, F.lit(1)))).alias("v"))
+    d = F.lead("v", 2).over(w) - 2 * F.lead("v").over(w) + F.col("v")
+    return flat.select("k", "beat", "pos", d.alias("v")).where("v is not null")
+
+
+def accepted(beats: DataFrame) -> DataFrame:
+    """k, beat of the beats that both checks pass and whose statistics are usual."""
+    good = check_pulse(beats).where("good").join(check_second_derivative(second_differences(beats)).where("good"), ["k", "beat"], "left_semi")
+    return good.select("k", "beat").join(usual(statistics(beats)), ["k", "beat"], "left_semi")
+
+
+def representative(beats: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """k, pos, v: the mean of each series' chosen beats (k, beat), each over its highest sample and on `size` points of its spline, less the chord, scaled 0 to 2."""
+    own = beats.join(chosen, ["k", "beat"], "left_semi")
+    top = F.max("v").over(Window.partitionBy("k", "beat"))
+    even = upsampled(own.select("k", "beat", "pos", F.try_divide("v", top).alias("v")), size, ("k", "beat"), "pos")
+    mean = even.groupBy("k", "i").agg(F.avg("v").alias("v"))
+    w = series("k", "i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    flat = mean.select("k", "i", (F.col("v") - (F.first("v").over(w) + (F.last("v").over(w) - F.first("v").over(w)) * F.col("i") / max(size - 1, 1))).alias("v"))
+    whole = Window.partitionBy("k")
+    low, span = F.min("v").over(whole), F.max("v").over(whole) - F.min("v").over(whole)
+    return flat.select("k", F.col("i").alias("pos"), F.when(span <= 1e-8, F.lit(0.0)).otherwise((F.col("v") - low) / F.nullif(span, F.lit(0.0)) * 2).alias("v"))
+
+
+WAVES = ["a_at", "b_at", "c_at", "d_at", "e_at", "a", "b", "c", "d", "e", "b_a", "c_a", "d_a", "e_a", "ageing", "wi1", "wi2", "ab_ad", "area_bd", "v_top", "r_slope", "c_slope", "e_found"]
+
+
+def wide_peaks(v: np.ndarray, distance: int = 5, width: float = 5.0) -> np.ndarray:
+    """Places of local maxima that are `distance` apart (the highest stay) and `width` wide at half of their prominence."""
+    new = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
+    last = np.append(new[1:], len(v)) - 1
+    level = v[new]
+    inner = np.arange(1, len(new) - 1)
+    inner = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])] if len(inner) else inner
+    at = (new[inner] + last[inner]) // 2
+    keep = np.ones(len(at), bool)
+    for i in np.argsort(v[at], kind="stable")[::-1]:
+        if keep[i]:
+            near = (np.abs(at - at[i]) < distance) & (np.arange(len(at)) != i)
+            keep[near] = False
+    out = []
+    for p in at[keep]:
+        left, right = np.flatnonzero(v[:p] > v[p]), np.flatnonzero(v[p + 1 :] > v[p])
+        i, j = (left[-1] + 1 if len(left) else 0), (p + right[0] if len(right) else len(v) - 1)
+        height = v[p] - 0.5 * (v[p] - max(v[i : p + 1].min(), v[p : j + 1].min()))
+        a, b = p, p
+        while a > i and v[a] > height:
+            a -= 1
+        while b < j and v[b] > height:
+            b += 1
+        start = a + (height - v[a]) / (v[a + 1] - v[a]) if v[a] < height else float(a)
+        stop = b - (height - v[b]) / (v[b - 1] - v[b]) if v[b] < height else float(b)
+        if stop - start >= width:
+            out.append(p)
+    return np.asarray(out, int)
+
+
+def derivative_waves(y: np.ndarray, rate: float) -> list[float] | None:
+    """The 23 features of a pulse's derivatives (WAVES); None if the second one has fewer than four wide turns, or the third fewer than two peaks."""
+    one = np.diff(y)
+    two = np.diff(one)
+    three = bandpass(0.4, 12.0, rate)(np.diff(two))
+    at = np.sort(np.concatenate([wide_peaks(two), wide_peaks(-two)]))
+    reach = max(int(rate / 20), 1)
+    inner = np.arange(1, max(len(three) - 1, 1))
+    tops = [i for i in inner if i < len(three) and (three[i] > np.delete(three[max(0, i - reach) : i + reach + 1], min(i, reach))).all()]
+    if len(at) < 4 or len(tops) < 2:
+        return None
+    a, b, c, d = two[at[:4]]
+    found = len(at) > 4
+    e = two[at[4]] if found else np.nan
+    r = tops[1] if 40 <= tops[1] <= 60 else 50
+    over = lambda x, z: float(x / z) if z else np.nan
+    top = one.max()
+    return [*map(float, at[:4]), float(at[4]) if found else -1.0, a, b, c, d, e, over(b, a), over(c, a), over(d, a), over(e, a), over(b - c - d - (e if found else 0), a), over(d - b, a), over(c - b, a), over(a - b, a - d), float(two[at[1] : at[3] + 1].sum()), top, float(one[r]) if r < len(one) else np.nan, over(one[at[2]], top), float(found)]
+
+
+def derivative_features(beats: DataFrame, size: int, keys: tuple[str, ...] = ("k", "beat")) -> DataFrame:
+    """The features of WAVES for each beat, on `size` points of its spline; no row for a beat without them."""
+    rows = packed(beats, keys, "pos").drop("t")
+    kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c in keys)
+
+    def run(batches):
+        for part, v, n in matrices(batches):
+            found = [derivative_waves(y, float(size)) for y in to_length(v, n, size)]
+            keep = [i for i, x in enumerate(found) if x is not None]
+            take = pa.array(keep, pa.int64())
+            columns = np.asarray([found[i] for i in keep], float).reshape(-1, len(WAVES)).T
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keys), *(pa.array(x, mask=~np.isfinite(x)) for x in columns)], [*keys, *WAVES])
+
+    return rows.mapInArrow(run, f"{kinds}, {', '.join(f'{c} double' for c in WAVES)}")
+
+
+def mean_features(features: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of every numeric feature over the beats of each key; nulls don't count."""
+    names = [c for c, kind in features.dtypes if c not in (*keys, "beat") and kind in ("double", "bigint", "int")]
+    return features.groupBy(*keys).agg(F.count(F.lit(1)).alias("beats"), *(F.avg(c).alias(c) for c in names))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import filled, series, whole
+from tidewave.operators.filters import apply_chain, bandpass
 
 EPS = 1e-6
 #: Fixed values of the skin model: absorbance directions of melanin and haemoglobin in red, green, blue.
@@ -159,7 +161,109 @@ def pca(rgb: DataFrame, component: int = 1) -> DataFrame:
     return x.select(K, ORDER, (F.col("er") * F.col("r") + F.col("eg") * F.col("g") + F.col("eb") * F.col("b")).alias("v"))
 
 
-METHODS = {"GREEN": green, "CHROM": chrom, "POS": pos, "LGI": lgi, "OMIT": omit, "PBV": pbv, "PCA": pca, "HEMO": hemo}
+def pca_both(rgb: DataFrame) -> DataFrame:
+    """The first two principal components, weighted by their share of the variance of both."""
+    one, two = (pca(rgb, i).withColumnRenamed("v", f"v{i}") for i in (0, 1))
+    w = whole(K)
+    var = [F.var_samp(f"v{i}").over(w) for i in (0, 1)]
+    mixed = F.try_divide(var[0] * F.col("v0") + var[1] * F.col("v1"), var[0] + var[1])
+    return one.join(two, [K, ORDER]).select(K, ORDER, mixed.alias("v"))
+
+
+def fast_ica(x: np.ndarray, rounds: int = 400, tolerance: float = 1e-4, seed: int = 0) -> np.ndarray:
+    """Three independent components of a trace (3, T): whitening, then fixed-point steps on all of them (log cosh), from a seeded start; zeros if it can't be whitened."""
+    x = x - x.mean(1, keepdims=True)
+    values, vectors = np.linalg.eigh(x @ x.T / x.shape[1])
+    if x.shape[1] < 4 or values[0] <= 1e-12 * max(values[-1], 1e-300):
+        return np.zeros(x.shape)
+    z = (vectors / np.sqrt(values)).T @ x
+
+    def apart(w: np.ndarray) -> np.ndarray:
+        s, u = np.linalg.eigh(w @ w.T)
+        return (u / np.sqrt(np.maximum(s, 1e-300))) @ u.T @ w
+
+    w = apart(np.random.RandomState(seed).normal(size=(3, 3)))
+    for _ in range(rounds):
+        g = np.tanh(w @ z)
+        new = apart(g @ z.T / z.shape[1] - (1 - g * g).mean(1)[:, None] * w)
+        moved = np.abs(np.abs((new * w).sum(1)) - 1).max()
+        w = new
+        if moved < tolerance:
+            break
+    return w @ z
+
+
+def ica(rgb: DataFrame, component: int | None = 1) -> DataFrame:
+    """An independent component of the trace (from 0), or with None all three, weighted by their variances.
+
+    Components have no order or sign of their own: they are sorted by how much they take of green, of which their part is positive.
+    """
+    keyed = rgb.select(K, F.struct(ORDER, "r", "g", "b").alias("_s")).groupBy(K).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("_s")
+            out = []
+            for i in range(batch.num_rows):
+                values = rows[i].values
+                x = np.stack([values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "rgb"])
+                s = fast_ica(x)
+                share = s @ (x[1] - x[1].mean())
+                s = (s * np.where(share < 0, -1, 1)[:, None])[np.argsort(-np.abs(share), kind="stable")]
+                var = s.var(1, keepdims=True) + 1e-6
+                out.append((s[component] if component is not None else (s * var).sum(0) / var.sum()).tolist())
+            t = pa.array([rows[i].values.field(ORDER).to_pylist() for i in range(batch.num_rows)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(K), t, pa.array(out, pa.list_(pa.float64()))], [K, "t", "v"])
+
+    done = keyed.mapInArrow(run, f"{K} long, t array<long>, v array<double>").select(K, F.explode(F.arrays_zip("t", "v")).alias("_s"))
+    return done.select(K, F.col("_s.t").alias(ORDER), F.col("_s.v").alias("v"))
+
+
+def skin_flat(rgb: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """Densities of each colour without shading (r, g, b), and the haemoglobin part (hemo). The range is told by the largest value of all series."""
+    m, h, one = np.asarray(MELANIN), np.asarray(HEMOGLOBIN), np.ones(3)
+    normal = np.cross(m, h)
+    shade = [float(x) for x in normal / (normal @ one + eps)]
+    top = rgb.agg(F.max(F.greatest("r", "g", "b")).alias("top"))
+    scale = F.when(F.col("top") > 1.5, 255.0).otherwise(1.0)
+    density = [-F.log(F.least(F.greatest(F.col(c) / scale, F.lit(eps)), F.lit(1.0))) for c in "rgb"]
+    x = rgb.join(F.broadcast(top)).select(K, ORDER, *(d.alias(c) for d, c in zip(density, "rgb", strict=True)))  # one row
+    light = sum((w * F.col(c) for w, c in zip(shade, "rgb", strict=True)), F.lit(0.0))
+    value = sum((w * F.col(c) for w, c in zip(hemo_weights(eps), "rgb", strict=True)), F.lit(0.0))
+    return x.select(K, ORDER, *((F.col(c) - light).alias(c) for c in "rgb"), value.alias("hemo"))
+
+
+def lgi_global(rgb: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """Every series' z-scored green without the strongest direction of the mean trace over all series."""
+    w = whole(K)
+    z = rgb.select(K, ORDER, *(((F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + eps)).alias(c) for c in "rgb"))
+    mean = z.groupBy(ORDER).agg(*(F.avg(c).alias(c) for c in "rgb")).withColumn(K, F.lit(0).cast("long"))
+    one = _directions(mean, False, 0).select("er", "eg", "eb")
+    dot = F.col("er") * F.col("r") + F.col("eg") * F.col("g") + F.col("eb") * F.col("b")
+    return z.join(F.broadcast(one)).select(K, ORDER, (F.col("g") - F.col("eg") * dot).alias("v"))  # one row
+
+
+def robust(rgb: DataFrame, rate: float, low: float = 0.7, high: float = 3.0) -> DataFrame:
+    """Shading removed, the common direction of all series removed, and the band of pulses (third order)."""
+    return apply_chain(lgi_global(skin_flat(rgb)), [bandpass(low, high, rate, 3)])
+
+
+def box_means(pixels: DataFrame, boxes: DataFrame, colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Mean colours of pixels (frame, x, y and colours) in each of a few boxes (roi, x0, x1, y0, y1; ends exclusive), by frame.
+
+    Boxes are a broadcast of a few dozen; without a pixel in a box its means are null and its row is still there.
+    """
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    means = [F.avg(F.when(inside, F.col(c))).alias(c) for c in colours]
+    return pixels.join(F.broadcast(boxes)).groupBy("frame", "roi").agg(*means)
+
+
+def mask_means(pixels: DataFrame, mask: DataFrame, colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Mean colours of the pixels in each region's mask (roi, x, y), by frame."""
+    return pixels.join(mask, ["x", "y"]).groupBy("frame", "roi").agg(*(F.avg(c).alias(c) for c in colours))
+
+
+METHODS = {"GREEN": green, "CHROM": chrom, "POS": pos, "LGI": lgi, "OMIT": omit, "PBV": pbv, "PCA": pca, "HEMO": hemo, "ICA": ica}
 
 
 def extract_pulse(rgb: DataFrame, method: str) -> DataFrame:
