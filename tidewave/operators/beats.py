@@ -144,14 +144,14 @@ def check_second_derivative(beats: DataFrame, least: float = 0.03) -> DataFrame:
     return sizes.join(told, ["k", "beat"], "left").select("k", "beat", F.coalesce(good, F.lit(False)).alias("good"))
 
 
-def second_differences(beats: DataFrame) -> DataFrame:
-    """The forward differences of second order of each beat, its chord taken off first."""
+def second_differences(beats: DataFrame, digits: int = 6) -> DataFrame:
+    """The forward differences of second order of each beat, its chord taken off first, rounded so that flat stretches are flat."""
     w = series(["k", "beat"], "pos")
     ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last, n = F.first("v").over(ends), F.last("v").over(ends), F.count(F.lit(1)).over(ends)
     flat = beats.select("k", "beat", "pos", (F.col("v") - (first + (last - first) * F.col("pos") / F.greatest(n - 1, F.lit(1)))).alias("v"))
     d = F.lead("v", 2).over(w) - 2 * F.lead("v").over(w) + F.col("v")
-    return flat.select("k", "beat", "pos", d.alias("v")).where("v is not null")
+    return flat.select("k", "beat", "pos", F.round(d, digits).alias("v")).where("v is not null")
 
 
 def accepted(beats: DataFrame) -> DataFrame:

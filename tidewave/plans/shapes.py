@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewave.operators import beats, colour, filters, signal, waves
@@ -133,7 +135,7 @@ def roi_mask_grey(spark, d):
 
 # beats: few samples, so that some pass
 
-_EASY = "eb AS (SELECT k, beat, pos // 8 AS pos, floor(avg(v) * 40) / 40 AS v FROM bt GROUP BY k, beat, pos // 8)"
+_EASY = "eb AS (SELECT k, beat, pos // 6 AS pos, floor(round(avg(v) * 10, 9)) / 10 AS v FROM bt GROUP BY k, beat, pos // 6)"
 _TURNS = """rn AS (SELECT *, coalesce(CAST(lag(v) OVER w <> v AS BIGINT), 0) AS new FROM {0} WINDOW w AS (PARTITION BY k, beat ORDER BY pos)), ru AS (SELECT *, sum(new) OVER (PARTITION BY k, beat ORDER BY pos) AS run FROM rn),
  fl AS (SELECT k, beat, run, first(v) AS v, (min(pos) + max(pos)) // 2 AS pos FROM ru GROUP BY k, beat, run), nb AS (SELECT *, lag(v) OVER (PARTITION BY k, beat ORDER BY run) AS p, lead(v) OVER (PARTITION BY k, beat ORDER BY run) AS q FROM fl),
  tn AS (SELECT k, beat, pos, v, v > p AS peak FROM nb WHERE (v > p AND v > q) OR (v < p AND v < q)), sz AS (SELECT k, beat, count(*) AS n FROM {0} GROUP BY k, beat)"""
@@ -146,11 +148,7 @@ _CHECK2 = """p5 AS (SELECT * FROM (SELECT *, row_number() OVER w AS nth, pos - l
 
 
 def _easy(spark, d):
-    x = cut_beats(spark, d).withColumn("pos", F.floor(F.col("pos") / 8)).groupBy("k", "beat", "pos").agg((F.floor(F.round(F.avg("v") * 40, 9)) / 40).alias("v"))
-    return x
-
-
-_EASY = _EASY.replace("floor(avg(v) * 40)", "floor(round(avg(v) * 40, 9))")
+    return cut_beats(spark, d).withColumn("pos", F.floor(F.col("pos") / 6)).groupBy("k", "beat", "pos").agg((F.floor(F.round(F.avg("v") * 10, 9)) / 10).alias("v"))
 
 
 @query(f"WITH {BT}, {_EASY}, {_TURNS.format('eb')}, {_CHECK1} SELECT k, beat, good FROM ok1")
@@ -159,14 +157,22 @@ def beat_check_ppg(spark, d):
 
 
 _STEPS = "sr AS (SELECT k, beat, pos, round(v, 6) AS v FROM sd)"
+_USUAL = """fb AS (SELECT k, beat, v - (first_value(v) OVER a + (last_value(v) OVER a - first_value(v) OVER a) * pos / greatest(count(*) OVER a - 1, 1)) AS v FROM eb WINDOW a AS (PARTITION BY k, beat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ st AS (SELECT k, beat, round(sum(v), 9) AS area, count(*) AS duration, max(v) AS amplitude FROM fb GROUP BY k, beat), us AS (SELECT k, beat FROM (SELECT k, beat, """ + " AND ".join(f"round(abs({c} - avg({c}) OVER (PARTITION BY k)), 9) <= round(stddev_pop({c}) OVER (PARTITION BY k), 9)" for c in ("area", "duration", "amplitude")) + """ AS near FROM st) WHERE near)"""
+
+
+def _tagged(sql: str, tag: str) -> str:
+    """The turns' tables under names of their own."""
+    return re.sub(r"\b(rn|ru|fl|nb|tn|sz)\b", rf"\1{tag}", sql)
 
 
 @query(f"WITH {BT}, {_EASY}, {_SECOND}, {_STEPS}, {_TURNS.format('sr')}, {_CHECK2} SELECT k, beat, good FROM ok2")
 def beat_check_sdppg(spark, d):
-    return beats.check_second_derivative(beats.second_differences(_easy(spark, d)).withColumn("v", F.round("v", 6)))
+    return beats.check_second_derivative(beats.second_differences(_easy(spark, d)))
 
 
-@query()
+@query(f"""WITH {BT}, {_EASY}, {_SECOND}, {_STEPS}, {_tagged(_TURNS.format('eb'), '1')}, {_tagged(_CHECK1, '1')}, {_tagged(_TURNS.format('sr'), '2')}, {_tagged(_CHECK2, '2')}, {_USUAL}
+SELECT k, beat FROM ok1 WHERE good INTERSECT SELECT k, beat FROM ok2 WHERE good INTERSECT SELECT k, beat FROM us""")
 def beat_accepted(spark, d):
     return beats.accepted(_easy(spark, d))
 
