@@ -163,7 +163,7 @@ _USUAL = """fb AS (SELECT k, beat, v - (first_value(v) OVER a + (last_value(v) O
 
 def _tagged(sql: str, tag: str) -> str:
     """The turns' tables under names of their own."""
-    return re.sub(r"\b(rn|ru|fl|nb|tn|sz)\b", rf"\1{tag}", sql)
+    return re.sub(r"\b(rn|ru|fl|nb|tn|sz)\b", rf"\g<1>{tag}", sql)
 
 
 @query(f"WITH {BT}, {_EASY}, {_SECOND}, {_STEPS}, {_TURNS.format('sr')}, {_CHECK2} SELECT k, beat, good FROM ok2")
