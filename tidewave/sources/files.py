@@ -5,9 +5,10 @@ Every reader keeps the file's name in `file`; values that can't be read become n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Column names that files in the field carry, by preference.
 TIME_NAMES = ("time_sec", "time", "t", "timestamp")
 VALUE_NAMES = ("pulse", "ppg", "lgi", "rppg", "signal", "value", "y")
 MANIFEST = "subject_id string, roi_name string, paths map<string,string>, meta struct<fs_rppg:int,fs_ppg_src:int,bp:array<double>,detrend:boolean>"
@@ -102,3 +103,51 @@ def find_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = (),
 def write_signal(df: DataFrame, path: str, by: tuple[str, ...] = ("method", "roi"), form: str = "parquet") -> None:
     """One folder for each value of the partition columns, so readers of few of them skip the rest."""
     df.write.partitionBy(*by).format(form).option("header", True).mode("overwrite").save(path)
+
+
+def find_folders(spark: SparkSession, path: str, any_of: tuple[str, ...] = (), none_of: tuple[str, ...] = ()) -> DataFrame:
+    """Folders below a path that hold files at any depth, by words that their own names hold or don't, whatever the case."""
+    root = F.length(F.regexp_extract(F.lit(path), r"^(?:file:)?(.*?)/*$", 1))
+    below = find_files(spark, path).select(F.regexp_replace("path", "^file:/*", "/").alias("path")).select(F.split(F.substring(F.col("path"), root + 2, F.length("path")), "/").alias("parts"))
+    each = below.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("folder")).where(F.col("folder") != "").distinct()
+    name = F.lower(F.regexp_extract("folder", r"([^/]+)$", 1))
+    if any_of:
+        each = each.where(sum((name.contains(w.lower()).cast("int") for w in any_of), F.lit(0)) > 0)
+    for w in none_of:
+        each = each.where(~name.contains(w.lower()))
+    return each
+
+
+def write_predictions(x: DataFrame, path: str, by: str, time: str | None = "time_sec", order: str = "t") -> None:
+    """True and predicted values with seven decimals as CSV, one folder for each value of `by`; without a time its place from 0.
+
+    Rows of one series are written together and in order.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    axis = F.format_string("%.7f", F.col(time).cast("double")).alias("time_sec") if time else F.format_string("%.7f", (F.row_number().over(w) - 1).cast("double")).alias("index")
+    rows = x.select(by, order, axis, *(F.format_string("%.7f", F.col(c).cast("double")).alias(c) for c in ("y_true", "y_pred")))
+    rows.repartition(by).sortWithinPartitions(by, order).drop(order).write.partitionBy(by).option("header", True).mode("overwrite").csv(path)
+
+
+def new_manifests(template: DataFrame, subjects: DataFrame, roi: str, base: str = "deep-learning-dataset") -> DataFrame:
+    """A manifest for each subject (column subject_id) from one template (read_manifests): paths of its own in the folders of its region.
+
+    The template's path up to the folder `base`, else its parent, is kept; the reference signal has no region of its own.
+    """
+    upto = F.regexp_extract("path", rf"^(.*/{base})(?:/|$)", 1)
+    kept = F.when(upto != "", upto).otherwise(F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    paths = template.select("fs_rppg", "fs_ppg_src", "bp", "detrend", F.explode("paths").alias("method", "path")).withColumn("kept", kept)
+    folder = F.concat(F.upper("method"), F.when(F.lower("method") == "ppg", F.lit("_before")).otherwise(F.lit(f"_{roi}")))
+    own = subjects.select("subject_id").join(F.broadcast(paths)).withColumn("path", F.concat_ws("/", "kept", folder, F.concat("subject_id", F.lit(".csv"))))  # a few paths of one manifest
+    grouped = own.groupBy("subject_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "path")))).alias("paths"), *(F.first(c).alias(c) for c in ("fs_rppg", "fs_ppg_src", "bp", "detrend")))
+    return grouped.select("subject_id", F.lit(roi).alias("roi_name"), "paths", F.struct("fs_rppg", "fs_ppg_src", "bp", "detrend").alias("meta"))
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    """JSON lines, a folder for each region."""
+    manifests.write.partitionBy("roi_name").mode("overwrite").json(path)
+
+
+def log_rows(spark: SparkSession, path: str, rows: list[dict], schema: str) -> None:
+    """Append rows of a run (epochs, folds, errors) to a log table."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").option("header", True).csv(path)
