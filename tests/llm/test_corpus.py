@@ -403,3 +403,31 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     text = kept[1001].replace(" " + passage, "").replace("x.y@mail.example.com", "[EMAIL]")
     assert sum(r.length for r in result if r.doc_id == 1001) == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, odd, none):
+    """Every stage keeps the columns, whatever their names; empty tables, null texts and null labels go through."""
+    labels = spark.createDataFrame([(3, 1, None), (None, None, 1)], "doc_id long, quality int, toxic int")
+    cases = {"odd": (odd, labels), "none": (none, labels.limit(0)), "null": (spark.createDataFrame([(None, None), (1, None)], "doc_id long, text string"), labels)}
+    for name, (docs, known) in cases.items():
+        top = tmp_path / name
+        docs.write.parquet(f"{top}/documents.parquet")
+        known.write.parquet(f"{top}/labels.parquet")
+        at = spark.read.parquet(f"{top}/documents.parquet")
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, at, str(top)).write.parquet(f"{top}/{step}")
+            at = spark.read.parquet(f"{top}/{step}")
+            assert at.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, str(top)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in at.collect()} and (name != "none" or not packed)
+
+
+def test_scores_of_long_texts_and_repeated_labels(spark):
+    docs, labels = labelled(spark, 300)
+    long = spark.createDataFrame([(5000, "the er stupid worthless moron " * 20_000), (5001, "x" * 300_000), (5002, "the er in an " * 50_000)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(long)
+    again = labels.unionByName(labels).unionByName(labels)
+    once, more = ({r.doc_id: r for r in toxicity.score_toxicity(both, x).collect() if r.doc_id is not None} for x in (labels, again))
+    assert once == more and once[5000].predicted == 1 and once[5002].predicted == 0
+    scored = {r.doc_id: r.score for r in quality.score_quality(both, again).collect() if r.doc_id is not None}
+    assert all(0 <= scored[i] <= 1 for i in (5000, 5001, 5002))

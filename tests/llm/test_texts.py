@@ -156,6 +156,38 @@ def test_fingerprints_follow_the_next_document(small, odd, none):
     assert fingerprints.fingerprints(odd).count() == len(ODD) and fingerprints.fingerprints(none).count() == 0
 
 
+def plain_fingerprint(text):
+    """The smallest hashes of all spans, each hashed by itself with whole numbers."""
+    codes, out = [ord(c) for c in text], set()
+    n = min(fingerprints.SPAN, len(codes))
+    for i in range(len(codes) - n + 1) if codes else ():
+        whole = 0
+        for base in fingerprints.BASES:
+            whole = whole << 31 | sum((c + 1) * pow(base, k, fingerprints.PRIME) for k, c in enumerate(codes[i : i + n])) % fingerprints.PRIME
+        x = whole
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        out.add((x ^ x >> 31) >> 32)
+    return sorted(out)[: fingerprints.KEPT]
+
+
+def test_fingerprints_equal_spans_hashed_one_by_one(spark, odd):
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([0, 1, 7, 8, 9, 60, 400, 3000])))) for i in range(14)] + [(20, None), (21, "ab" * 700)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        texts = sorted((r.doc_id, r.text or "") for r in docs.collect())
+        got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+        assert len(got) == len(texts)
+        for (doc_id, text), (_, other) in zip(texts, texts[1:] + texts[:1], strict=True):
+            half = len(text) // 2
+            edited = text[: len(text) - half] + other[:half]
+            own, its, next_ = (plain_fingerprint(x) for x in (text, edited, other))
+            alike = lambda a, b: float(len(a) == len(b)) if not a or not b else (lambda both: len(set(a) & set(b) & set(both)) / len(both))(sorted({*a, *b})[: fingerprints.KEPT])
+            r = got[doc_id]
+            assert r.fingerprint == b"".join(h.to_bytes(4, "big") for h in own).hex() and r.edited_fingerprint == b"".join(h.to_bytes(4, "big") for h in its).hex()
+            assert r.edited_sha256 == sha(edited) and r.n_chars == len(text) and abs(r.near_edited - alike(own, its)) < 1e-12 and abs(r.near_next - alike(own, next_)) < 1e-12
+
+
 def test_spans_and_extensions():
     a, b = (fingerprints.PrefixHash(fingerprints.code_points(x)) for x in ("the cat sat", "a cat sat down"))
     assert a.equal(4, b, 2, 7) and not a.equal(3, b, 2, 7) and a.extension(4, b, 2) == 7 and a.extension(0, b, 0) == 0

@@ -312,6 +312,7 @@ class Detector:
         self.machine = machine
         if machine is None:
             return
+        self.sizes = float(told[:, 4].min()), float(told[:, 4].max())
         x = self.inputs(told)
         w = np.zeros(x.shape[1])
         for _ in range(50):
@@ -323,11 +324,12 @@ class Detector:
         self.weights = w
         machine.known = {}
 
-    @staticmethod
-    def inputs(x: np.ndarray) -> np.ndarray:
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What the logistic fit sees; lengths beyond those it was fitted on count as the nearest of them."""
         positive = np.clip(x[:, :3], -1, 2)
         density = np.minimum(x[:, 3] / np.maximum(np.expm1(x[:, 4]), 1), 0.5) * 4
-        return np.column_stack([positive, np.minimum(x[:, 3], 6) / 2, density, (positive[:, 0] > 0) * (x[:, 4] - 5), x[:, 4] - 5, np.ones(len(x))])
+        size = np.clip(x[:, 4], *self.sizes) - 5
+        return np.column_stack([positive, np.minimum(x[:, 3], 6) / 2, density, (positive[:, 0] > 0) * size, size, np.ones(len(x))])
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.machine is None:
