@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents to packed training sequences, one operator a stage."""
+"""The corpus pipeline: documents to packed training sequences, one operator a stage.
+
+Defined results, each stage's operator saying more: every stage but the last returns the columns of its documents under
+their names, whatever these are, with n_chars, where there is one, told anew for changed texts. A null text goes through as
+null up to packing, where it counts as empty; rows without a doc_id pass toxicity and personal data as any, stay whole in
+repeats, and of those with one text that no named row has, one stays in near_duplicates; repeated rows count once there,
+ties going to the smallest doc_id. Without labels of both kinds no document is toxic. Very long texts are read whole in all
+stages; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
