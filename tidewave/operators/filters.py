@@ -132,14 +132,18 @@ def lowpass(cutoff: float, rate: float, order: int = 4) -> Step:
     return _both_ways(*_lowpass(order, cutoff, rate))
 
 
+def smoothing(n: int, degree: int) -> np.ndarray:
+    """Row i: the weights of n samples that give the least-squares polynomial at the i-th of them."""
+    basis = np.vander(np.arange(n) - (n - 1) / 2, degree + 1, increasing=True)
+    return basis @ np.linalg.pinv(basis)
+
+
 def savitzky_golay(rate: float, degree: int = 5) -> Step:
     """Least-squares polynomial in a window of half a second (made odd); at the ends the first and last window's polynomial."""
     n = int(rate / 2) + 1
     n += 1 - n % 2
     h = n // 2
-    x = np.arange(-h, h + 1.0)
-    basis = np.vander(x, degree + 1, increasing=True)
-    smooth = basis @ np.linalg.pinv(basis)
+    smooth = smoothing(n, degree)
 
     def run(v: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = v.astype(float)

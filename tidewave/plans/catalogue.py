@@ -526,12 +526,35 @@ def filt_detrend(spark, d):
     return _values(filters.apply_chain(event_signals(spark, d), [filters.detrend(6.0)]))
 
 
-@query()
+_CHROM = f"""{RGB}, xy AS (SELECT k, t, 3 * r - 2 * g AS x, 1.5 * r + g - 1.5 * b AS y FROM rgb), ev AS (SELECT k, t, -(x - stddev_pop(x) {ALL} / (stddev_pop(y) {ALL} + 1e-6) * y) AS v FROM xy), n AS (SELECT k, max(t) AS n FROM ev GROUP BY k)"""
+
+
+def _both_ways(b, a) -> str:
+    """A filter of second order forward and backward over each series, its ends reflected by nine samples, by recursion over the samples."""
+    b, a = ([f"CAST({x!r} AS DOUBLE)" for x in map(float, c)] for c in (b, a))
+    zero = f"(({b[1]} + {b[2]}) - ({a[1]} + {a[2]}) * {b[0]}) / (1 + {a[1]} + {a[2]})"
+    one = f"({b[2]} - {a[2]} * {b[0]} - {a[2]} * ({zero}))"
+
+    def through(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT k, j, {b[0]} * x + ({zero}) * x AS y, ({one}) * x + {b[1]} * x - {a[1]} * ({b[0]} * x + ({zero}) * x) AS s0, {b[2]} * x - {a[2]} * ({b[0]} * x + ({zero}) * x) AS s1 FROM {source} WHERE j = 0
+ UNION ALL SELECT c.k, e.j, {b[0]} * x + s0, s1 + {b[1]} * x - {a[1]} * ({b[0]} * x + s0), {b[2]} * x - {a[2]} * ({b[0]} * x + s0) FROM {name} c JOIN {source} e ON e.k = c.k AND e.j = c.j + 1)"""
+
+    return f"""ext AS MATERIALIZED (SELECT ev.k, t + 8 AS j, v AS x FROM ev UNION ALL SELECT f.k, 9 - (ev.t - 1), 2 * f.v - ev.v FROM ev JOIN ev f ON ev.k = f.k AND f.t = 1 WHERE ev.t BETWEEN 2 AND 10
+ UNION ALL SELECT l.k, n + 8 + (n - ev.t), 2 * l.v - ev.v FROM ev JOIN n ON ev.k = n.k JOIN ev l ON l.k = n.k AND l.t = n.n WHERE ev.t BETWEEN n - 9 AND n - 1), {through('one', 'ext')},
+ turned AS MATERIALIZED (SELECT one.k, n + 17 - j AS j, y AS x FROM one JOIN n ON one.k = n.k), {through('two', 'turned')}
+ SELECT two.k, n + 9 - j AS t, {R6('y')} AS v FROM two JOIN n ON two.k = n.k WHERE j BETWEEN 9 AND n + 8"""
+
+
+@query(f"WITH RECURSIVE {_CHROM}, {_both_ways(*filters._butterworth(1, 0.75, 3.0, 30.0))}")
 def filt_bandpass(spark, d):
     return _values(filters.apply_chain(colour.chrom(colour_traces(spark, d)), [filters.bandpass(0.75, 3.0, 30.0)]))
 
 
-@query()
+_SG = ", ".join(f"({i}, {j}, CAST({float(w)!r} AS DOUBLE))" for i, row in enumerate(filters.smoothing(17, 5)) for j, w in enumerate(row))
+
+
+@query(f"""WITH {_CHROM}, c(i, j, w) AS (VALUES {_SG}), p AS (SELECT ev.k, t, greatest(1, least(t - 8, n - 16)) AS a FROM ev JOIN n ON ev.k = n.k WHERE n >= 17)
+SELECT p.k, p.t, {R6('sum(w * v)')} AS v FROM p JOIN c ON c.i = p.t - a JOIN ev ON ev.k = p.k AND ev.t = a + c.j GROUP BY p.k, p.t UNION ALL SELECT ev.k, t, {R6('v')} FROM ev JOIN n ON ev.k = n.k WHERE n < 17""")
 def filt_sg(spark, d):
     return _values(filters.apply_chain(colour.chrom(colour_traces(spark, d)), [filters.savitzky_golay(30.0)]))
 
