@@ -521,7 +521,14 @@ def split_602020(spark, d):
 # recurrences
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, n AS (SELECT k, max(t) AS n, least(max(t), 12) AS more FROM ev GROUP BY k),
+ p AS (SELECT ev.k, t - 1 AS i, n + more AS m, n, v AS p FROM ev JOIN n ON ev.k = n.k UNION ALL SELECT ev.k, t - 1 + more, n + more, n, v FROM ev JOIN n ON ev.k = n.k WHERE t > n - more),
+ q AS MATERIALIZED (SELECT k, i, m, n, p, 1 + 5184.0::DOUBLE * (CAST(i <= m - 3 AS INT) + 4 * CAST(i BETWEEN 1 AND m - 2 AS INT) + CAST(i >= 2 AS INT)) AS main, -2 * 5184.0::DOUBLE * (CAST(i <= m - 3 AS INT) + CAST(i BETWEEN 1 AND m - 2 AS INT)) AS one, 5184.0::DOUBLE * CAST(i <= m - 3 AS INT) AS two FROM p),
+ f AS (SELECT k, i, main AS d, one / main AS a, two / main AS b, p AS z, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS z1 FROM q WHERE i = 0
+  UNION ALL SELECT k, i, d, (one - a0 * d0 * b0) / d, two / d, z, d0, b0, z0 FROM (SELECT q.k, q.i, one, two, f.a AS a0, f.b AS b0, f.d AS d0, f.z AS z0, main - f.a * f.a * f.d - f.b1 * f.b1 * f.d1 AS d, p - f.a * f.z - f.b1 * f.z1 AS z FROM f JOIN q ON q.k = f.k AND q.i = f.i + 1)),
+ h AS MATERIALIZED (SELECT f.k, m - 1 - f.i AS j, z / d AS z, a, b FROM f JOIN (SELECT DISTINCT k, m FROM q) m ON f.k = m.k),
+ g AS (SELECT k, j, z AS y, 0.0::DOUBLE AS y1 FROM h WHERE j = 0 UNION ALL SELECT h.k, h.j, h.z - h.a * g.y - h.b * g.y1, g.y FROM g JOIN h ON h.k = g.k AND h.j = g.j + 1)
+SELECT q.k, i + 1 AS t, {R6('p - y')} AS v FROM q JOIN g ON g.k = q.k AND g.j = m - 1 - i WHERE i < n""")
 def filt_detrend(spark, d):
     return _values(filters.apply_chain(event_signals(spark, d), [filters.detrend(6.0)]))
 
