@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidewave.operators import beats, colour, filters, waves
+from tidewave.operators import beats, colour, filters, networks, waves
 
 
 def test_splines_give_cubics_back():
@@ -72,3 +72,28 @@ def test_wide_peaks_and_derivative_waves():
 def test_path_length_of_a_warping():
     a = np.array([0.0, 1, 2, 3])
     assert filters.dtw(a, a, None, "path") == 0 and np.isclose(filters.dtw(a, a + 1, 0, "path"), 1) and np.isclose(filters.dtw(a, a + 1, 0, "len"), 1)
+
+
+def test_networks_equal_plain_loops():
+    rng = np.random.RandomState(2)
+    w = networks.seeded(networks.recurrent_shapes(2, (3,), True), 1)
+    x = rng.randn(2, 5, 2)
+    got = networks.recurrent(x, w, "layer0")
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for b in range(2):
+        h = c = np.zeros(3)
+        for t in range(5):
+            i, f, g, o = np.split(w["layer0.weight_ih"] @ x[b, t] + w["layer0.weight_hh"] @ h + w["layer0.bias"], 4)
+            c = sig(f) * c + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(c)
+            assert np.allclose(got[b, t], h)
+    assert networks.recurrent_net(1, True)(x, w).shape == (2, 5)
+    y, kernel = rng.randn(2, 3, 9), rng.randn(4, 3, 5)
+    padded = np.pad(y, ((0, 0), (0, 0), (2, 2)))
+    plain = [[[sum(kernel[o, c, j] * padded[b, c, t + j] for c in range(3) for j in range(5)) for t in range(9)] for o in range(4)] for b in range(2)]
+    assert np.allclose(networks.convolved(y, kernel), plain)
+    assert np.allclose(networks.stretched(np.array([0.0, 1, 2]), 6), [0, 0.25, 0.75, 1.25, 1.75, 2])
+    weights = networks.seeded(networks.down_up_shapes(3, 4))
+    z = rng.randn(3, 18, 1)
+    assert networks.down_up_net(3)(z, weights).shape == (3, 18)
+    assert np.allclose(networks.down_up_net(3)(z, weights)[1:2], networks.down_up_net(3)(z[1:2], weights))
