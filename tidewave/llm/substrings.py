@@ -258,7 +258,7 @@ def _whole_windows(records: DataFrame, window: int) -> DataFrame:
     listed = records.withColumn("lid", F.xxhash64("windows"))
     lists = written(listed.groupBy("prefix", "lid").agg(F.min("doc_id").alias("low"), F.first("windows").alias("windows")), "lists")
     each = lists.select("prefix", "lid", "low", F.posexplode("windows").alias("i", "w"))
-    least = each.groupBy("prefix", "w").agg(F.min("low").alias("low"))
+    least = written(each.groupBy("prefix", "w").agg(F.min("low").alias("low")), "least")  # apart, so that the join may split a hot window
     lows = each.drop("low").join(least, ["prefix", "w"]).groupBy("prefix", "lid").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("lows"))  # at most RUN
     beyond = F.filter(F.col("lows"), lambda x: x["low"] < F.col("doc_id"))
     spans = F.transform(beyond, lambda x: F.struct((F.col("start") + x["i"]).alias("start"), (F.col("start") + x["i"] + window).alias("end")))
