@@ -247,20 +247,33 @@ def _dense(rows: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int, table
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Weights (the last one the bias) that minimise |w|^2 / 2 + sum of cost * max(0, 1 - y f)^2, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Weights (the last one the bias, whose column of x is 1) that minimise |w|^2 / 2 + sum of cost * max(0, 1 - y f)^2, by Newton steps.
+
+    x may be of single precision; sums over its rows go block by block in double.
+    """
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x.shape[1])
-    loss = lambda w: w @ ridge @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    blocks = [slice(i, i + 2_000) for i in range(0, len(x), 2_000)]
+    gaps = lambda w: np.concatenate([np.maximum(0, 1 - y[b] * (x[b].astype(np.float64) @ w)) for b in blocks])
+    gap = gaps(w)
+    loss = w @ ridge @ w / 2 + (cost * gap**2).sum()
     for _ in range(steps):
-        gap = np.maximum(0, 1 - y * (x @ w))
-        on = gap > 0
-        step = np.linalg.solve(ridge + 2 * (x[on].T * cost[on]) @ x[on], ridge @ w - 2 * x.T @ (cost * gap * y))
-        size = 1.0
-        while size > 1e-4 and loss(w - size * step) > loss(w):
+        slope, bend = ridge @ w, ridge.copy()
+        for b in blocks:
+            on = gap[b] > 0
+            part, weight = x[b][on].astype(np.float64), cost[b][on]
+            bend += 2 * (part.T * weight) @ part
+            slope -= 2 * part.T @ (weight * gap[b][on] * y[b][on])
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while True:
+            new = w - size * step
+            new_gap = gaps(new)
+            new_loss = new @ ridge @ new / 2 + (cost * new_gap**2).sum()
+            if new_loss <= loss or size <= 1e-4:
+                break
             size /= 2
-        w = w - size * step
+        w, gap, loss = new, new_gap, new_loss
         if np.abs(size * step).max() < 1e-6:
             break
     return w
@@ -295,8 +308,10 @@ def train_words(positive: list[tuple[str, int]], pool: list[str], common: int, l
         values, vectors = np.linalg.eigh(z @ z.T)
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        blocks = [chosen[i : i + 1_000] for i in range(0, len(chosen), 1_000)]
-        x = np.concatenate([_dense(*features(letters, first[c], lengths[c]), len(c), vocabulary) @ z.T for c in blocks]) @ root
+        x = np.ones((len(chosen), root.shape[1] + 1), np.float32)
+        for i in range(0, len(chosen), 500):
+            c = chosen[i : i + 500]
+            x[i : i + len(c), :-1] = _dense(*features(letters, first[c], lengths[c]), len(c), vocabulary) @ z.T @ root
         w = svm(x, y, cost)
         machine = Machine(vocabulary, z.T @ (root @ w[:-1]), float(w[-1]), known)
         margins = np.concatenate([machine.margins(letters, first[every[i : i + 20_000]], lengths[every[i : i + 20_000]]) for i in range(0, len(every), 20_000)])
