@@ -11,6 +11,7 @@ from tidewave.llm.pieces import op5_sentencepiece_codec
 from tidewave.llm.private import op9_disclosure_pii
 from tidewave.llm.quality import op8_random_indexing_quality
 from tidewave.llm.substrings import op4_repeated_passages
+from tidewave.llm.suffixarrays import op11_suffix_array_family
 from tidewave.llm.toxicity import op10_subsequence_kernel_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_random_indexing_quality,
         op9_disclosure_pii,
         op10_subsequence_kernel_toxicity,
+        op11_suffix_array_family,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
