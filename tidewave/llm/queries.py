@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewave.llm import codes
+from tidewave.llm.codes import op12_part_codebooks
 from tidewave.llm.extraction import op1_main_text
 from tidewave.llm.fingerprints import op7_prefix_fingerprints
 from tidewave.llm.neardup import op3_weighted_minhash
@@ -28,6 +30,7 @@ QUERIES = {
         op9_disclosure_pii,
         op10_subsequence_kernel_toxicity,
         op11_suffix_array_family,
+        op12_part_codebooks,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_part_codebooks": codes.SQL}
