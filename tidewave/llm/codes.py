@@ -80,7 +80,7 @@ class VantageTree:
         self.entries = entries
         self.visited = 0  # distances computed, for tests
         apart = np.sqrt(squared_distances(entries, entries).astype(np.float64))
-        self.root = self._built(np.arange(len(entries)), apart, leaf)
+        self.root = self._built(np.arange(len(entries)), apart, max(leaf, 2))
 
     def _built(self, members: np.ndarray, apart: np.ndarray, leaf: int):
         if len(members) <= leaf:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewave.llm import codes
+from tidewave.llm import codes, negatives
 from tidewave.llm.codes import op12_part_codebooks
 from tidewave.llm.extraction import op1_main_text
 from tidewave.llm.fingerprints import op7_prefix_fingerprints
 from tidewave.llm.neardup import op3_weighted_minhash
+from tidewave.llm.negatives import op13_annulus_negatives
 from tidewave.llm.ogg import op6_ogg_media
 from tidewave.llm.packing import op2_best_fit_packing
 from tidewave.llm.pieces import op5_sentencepiece_codec
@@ -31,6 +32,7 @@ QUERIES = {
         op10_subsequence_kernel_toxicity,
         op11_suffix_array_family,
         op12_part_codebooks,
+        op13_annulus_negatives,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op12_part_codebooks": codes.SQL}
+ORACLE_SQL: dict[str, str] = {"op12_part_codebooks": codes.SQL, "op13_annulus_negatives": negatives.SQL}
