@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import gradient, is_extreme, series
-from tidewave.operators.filters import bandpass, matrices, packed
+from tidewave.operators.filters import apply_chain, bandpass, matrices, onsets, packed
+from tidewave.operators.signal import peaks
 from tidewave.operators.waves import to_length, upsampled
 
+#: The least quality index of a good beat.
+THRESHOLDS = {"conservative": 0.796, "non-conservative": 0.3}
 LEVELS = (10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90)
 
 
@@ -22,6 +25,85 @@ def cut(x: DataFrame, reach: int) -> DataFrame:
     return ids.where("beat > 0 and beat < beats").select("k", "beat", (F.row_number().over(series(["k", "beat"], "t")) - 1).cast("long").alias("pos"), "t", "v")
 
 
+def cut_with_margin(x: DataFrame, reach: int, margin: int) -> DataFrame:
+    """k, beat, pos (from 0), t, v: beats that begin `margin` samples before their valley, which is at pos = margin, so neighbours overlap.
+
+    Every sample goes to its own beat and to those whose valley comes within the margin; all from one sort. A beat whose
+    margin would begin before the series is left out, as is what follows the last valley.
+    """
+    w = series("k", "t")
+    marked = x.select("k", "t", "v", is_extreme("v", w, reach, low=True).cast("long").alias("low"))
+    ids = marked.select("k", "t", "v", F.sum("low").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("own"), F.sum("low").over(w.rangeBetween(Window.unboundedPreceding, margin)).alias("last"), F.sum("low").over(Window.partitionBy("k")).alias("beats"))
+    rows = ids.where("last > 0").select("k", "t", "v", "own", "beats", F.explode(F.sequence(F.greatest("own", F.lit(1)), "last")).alias("beat")).where("beat < beats")
+    placed = rows.select("k", "beat", (F.row_number().over(series(["k", "beat"], "t")) - 1).cast("long").alias("pos"), "t", "v", F.count(F.when(F.col("own") < F.col("beat"), 1)).over(Window.partitionBy("k", "beat")).alias("ahead"))
+    return placed.where(F.col("ahead") == margin).drop("ahead")
+
+
+def without_margin_chord(beats: DataFrame, margin: int) -> DataFrame:
+    """Beats less the line from their valley to their last sample; the margin before the valley stays."""
+    every = Window.partitionBy("k", "beat")
+    valley, last, n = F.max(F.when(F.col("pos") == margin, F.col("v"))).over(every), F.max_by("v", "pos").over(every), F.max("pos").over(every)
+    line = valley + (last - valley) * (F.col("pos") - margin) / F.greatest(n - margin, F.lit(1))
+    return beats.select("k", "beat", "pos", F.when(F.col("pos") < margin, F.col("v")).otherwise(F.col("v") - line).alias("v"))
+
+
+def margin_statistics(beats: DataFrame, margin: int, digits: int = 6) -> DataFrame:
+    """k, beat, area, duration, amplitude of what follows the valley, and good: whether the second differences, margin included, have the order of waves a to e."""
+    own = beats.where(F.col("pos") >= margin).groupBy("k", "beat").agg(F.sum("v").alias("area"), F.count(F.lit(1)).alias("duration"), F.max("v").alias("amplitude"))
+    w = series(["k", "beat"], "pos")
+    twice = (F.lead("v", 2).over(w) - F.lead("v").over(w)) - (F.lead("v").over(w) - F.col("v"))
+    second = without_margin_chord(beats, margin).select("k", "beat", "pos", F.round(twice, digits).alias("v")).where("v is not null")
+    return own.join(check_second_derivative(second), ["k", "beat"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+
+
+def representative_with_margin(beats: DataFrame, chosen: DataFrame, size: int, margin: int) -> DataFrame:
+    """k, pos, v: the mean of each series' chosen beats, margin included, each over its amplitude and on `size` points of its spline; from its
+    first valley on less the line from there to the end, moved to where the valley was, so that the pieces meet; scaled 0 to 2.
+
+    A mean without an inner valley is corrected from its first point on.
+    """
+    own = beats.join(chosen, ["k", "beat"], "left_semi")
+    top = F.max(F.when(F.col("pos") >= margin, F.col("v"))).over(Window.partitionBy("k", "beat"))
+    even = upsampled(own.select("k", "beat", "pos", F.try_divide("v", top).alias("v")), size, ("k", "beat"), "pos")
+    mean = even.groupBy("k", "i").agg(F.avg("v").alias("v"))
+    valley = peaks(mean.withColumnRenamed("i", "t"), low=True).groupBy("k").agg(F.min("t").alias("at"))
+    rows = mean.join(valley, "k", "left").withColumn("at", F.coalesce("at", F.lit(0)))
+    every = Window.partitionBy("k")
+    rows = rows.select("k", "i", "v", "at", F.max(F.when(F.col("i") == F.col("at"), F.col("v"))).over(every).alias("from"), F.max_by("v", "i").over(every).alias("to"))
+    line = F.col("from") + (F.col("to") - F.col("from")) * (F.col("i") - F.col("at")) / F.greatest(size - 1 - F.col("at"), F.lit(1))
+    flat = rows.select("k", "i", F.when(F.col("i") < F.col("at"), F.col("v")).otherwise(F.col("v") - line + F.col("from")).alias("v"))
+    low, span = F.min("v").over(every), F.max("v").over(every) - F.min("v").over(every)
+    return flat.select("k", F.col("i").alias("pos"), F.when(span <= 1e-8, F.lit(0.0)).otherwise((F.col("v") - low) / F.nullif(span, F.lit(0.0)) * 2).alias("v"))
+
+
+def between_onsets(x: DataFrame, starts: DataFrame) -> DataFrame:
+    """k, beat, pos, t, v: rows from each onset (k, t) to the next."""
+    w = series("k", "t")
+    marked = x.select("k", "t", "v").join(starts.select("k", "t", F.lit(1).alias("low")), ["k", "t"], "left")
+    ids = marked.select("k", "t", "v", F.coalesce(F.count("low").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("beat"), F.count("low").over(Window.partitionBy("k")).alias("beats"))
+    return ids.where("beat > 0 and beat < beats").select("k", "beat", (F.row_number().over(series(["k", "beat"], "t")) - 1).cast("long").alias("pos"), "t", "v")
+
+
+def waveform_quality(x: DataFrame, rate: float, points: int = 30, mode: str = "non-conservative") -> DataFrame:
+    """k, beat, start, end (seconds), sqi, good: the beats of a band-passed signal between its onsets, and how alike each is to the next.
+
+    The index is the correlation of the second derivatives of both on `points` points of their splines; the last beat has
+    none and isn't good.
+    """
+    flat = apply_chain(x, [bandpass(0.4, 10.0, rate, 5)])
+    cuts = between_onsets(flat, onsets(flat, rate))
+    even = upsampled(cuts, points, ("k", "beat"), "pos").withColumnRenamed("i", "pos")
+    ends = cuts.groupBy("k", "beat").agg(((F.min("t") - 1) / rate).alias("start"), (F.max("t") / rate).alias("end"))
+    return good(ends.join(quality(even), ["k", "beat"], "left"), THRESHOLDS[mode])
+
+
+def good_times(marked: DataFrame) -> DataFrame:
+    """k, start, end of each run of good beats of waveform_quality."""
+    w = series("k", "beat")
+    runs = marked.where("good").withColumn("run", F.col("beat") - F.row_number().over(w))
+    return runs.groupBy("k", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
 def statistics(beats: DataFrame) -> DataFrame:
     """Area, duration and amplitude of each beat above the line from its first to its last sample."""
     w = series(["k", "beat"], "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -31,17 +31,44 @@ def fill_gaps(rgb: DataFrame) -> DataFrame:
     return rgb.select(K, ORDER, *(filled(c, ORDER, w).alias(c) for c in "rgb"))
 
 
-def normalised(rgb: DataFrame) -> DataFrame:
-    w = whole(K)
-    return rgb.select(K, ORDER, *((F.col(c) / (F.avg(c).over(w) + EPS)).alias(c) for c in "rgb"))
+def _keys(recording: str | None) -> list[str]:
+    return [recording, K] if recording else [K]
+
+
+def by_recording(rgb: DataFrame, recording: str) -> DataFrame:
+    """All rows of a recording in one partition, so that windows over it and over its series share this one exchange."""
+    return rgb.repartition(recording)
+
 
+def normalised(rgb: DataFrame, recording: str | None = None) -> DataFrame:
+    keys = _keys(recording)
+    w = whole(keys)
+    return rgb.select(*keys, ORDER, *((F.col(c) / (F.avg(c).over(w) + EPS)).alias(c) for c in "rgb"))
 
-def to_shortest(rgb: DataFrame) -> DataFrame:
-    """Every series cut to the length of the shortest."""
+
+def to_shortest(rgb: DataFrame, recording: str | None = None) -> DataFrame:
+    """Every series cut to the length of the shortest: of its recording, or without one of all."""
+    if recording:
+        ends = rgb.withColumn("_n", F.max(ORDER).over(whole(_keys(recording))))
+        return ends.withColumn("_m", F.min("_n").over(whole(recording))).where(F.col(ORDER) <= F.col("_m")).drop("_n", "_m")
     least = rgb.groupBy(K).agg(F.max(ORDER).alias("n")).agg(F.min("n").alias("n"))
     return rgb.join(F.broadcast(least), F.col(ORDER) <= F.col("n")).drop("n")  # one row
 
 
+def _with_range(rgb: DataFrame, recording: str | None) -> DataFrame:
+    """rgb with `scale`, the largest possible value (255 or 1), told by the largest one of the recording, or without one of all."""
+    top = F.greatest("r", "g", "b")
+    if recording:
+        found = rgb.withColumn("top", F.max(top).over(whole(recording)))
+    else:
+        found = rgb.join(F.broadcast(rgb.agg(F.max(top).alias("top"))))  # one row
+    return found.withColumn("scale", F.when(F.col("top") > 1.5, 255.0).otherwise(1.0)).drop("top")
+
+
+def _densities(eps: float) -> list[Column]:
+    return [-F.log(F.least(F.greatest(F.col(c) / F.col("scale"), F.lit(eps)), F.lit(1.0))) for c in "rgb"]
+
+
 def green(rgb: DataFrame) -> DataFrame:
     return rgb.select(K, ORDER, (-F.col("g")).alias("v"))
 
@@ -114,22 +141,19 @@ def pbv(rgb: DataFrame, ridge: float = 1e-6) -> DataFrame:
     return held.select(K, ORDER, ((c("r") * c("wr") + c("g") * c("wg") + c("b") * c("wb")) / (c("p") * c("wr") + c("q") * c("wg") + c("s") * c("wb") + EPS)).alias("v"))
 
 
-def hemo(rgb: DataFrame, normalise: bool = True, eps: float = 1e-8) -> DataFrame:
-    """Haemoglobin absorbance. The range (0 to 1 or 0 to 255) is told by the largest value of all series."""
-    x = normalised(rgb) if normalise else rgb
-    top = x.agg(F.max(F.greatest("r", "g", "b")).alias("top"))
-    scale = F.when(F.col("top") > 1.5, 255.0).otherwise(1.0)
-    density = [-F.log(F.least(F.greatest(F.col(c) / scale, F.lit(eps)), F.lit(1.0))) for c in "rgb"]
-    value = sum((w * d for w, d in zip(hemo_weights(), density, strict=True)), F.lit(0.0))
-    return x.join(F.broadcast(top)).select(K, ORDER, F.exp(-F.greatest(value, F.lit(0.0))).alias("v"))  # one row
+def hemo(rgb: DataFrame, normalise: bool = True, eps: float = 1e-8, recording: str | None = None) -> DataFrame:
+    """Haemoglobin absorbance. The range (0 to 1 or 0 to 255) is told by the largest value of the recording, or without one of all series."""
+    x = _with_range(normalised(rgb, recording) if normalise else rgb, recording)
+    value = sum((w * d for w, d in zip(hemo_weights(), _densities(eps), strict=True)), F.lit(0.0))
+    return x.select(*_keys(recording), ORDER, F.exp(-F.greatest(value, F.lit(0.0))).alias("v"))
 
 
-def _gram(rgb: DataFrame) -> DataFrame:
+def _gram(rgb: DataFrame, key: str = K) -> DataFrame:
     """Sums of products and of each colour, one row a series."""
-    return rgb.groupBy(K).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{c}") for c in "rgb"), *(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("rr", "gg", "bb", "rg", "rb", "gb")))
+    return rgb.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{c}") for c in "rgb"), *(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("rr", "gg", "bb", "rg", "rb", "gb")))
 
 
-def _directions(rgb: DataFrame, centred: bool, component: int) -> DataFrame:
+def _directions(rgb: DataFrame, centred: bool, component: int, key: str = K) -> DataFrame:
     """An eigenvector of each series' 3 x 3 matrix, a pandas UDF over one row of sums a series; its green part is positive."""
 
     def solve(batches):
@@ -142,9 +166,9 @@ def _directions(rgb: DataFrame, centred: bool, component: int) -> DataFrame:
                 g = (g - s[:, :, None] * s[:, None, :] / x["n"].to_numpy()[:, None, None]) / np.maximum(x["n"].to_numpy() - 1, 1)[:, None, None]
             v = np.linalg.eigh(g)[1][:, :, ::-1][:, :, component]
             v = v * np.where(v[:, 1:2] < 0, -1, 1)
-            yield pd.DataFrame({K: x[K], "er": v[:, 0], "eg": v[:, 1], "eb": v[:, 2]})
+            yield pd.DataFrame({key: x[key], "er": v[:, 0], "eg": v[:, 1], "eb": v[:, 2]})
 
-    return _gram(rgb).mapInPandas(solve, f"{K} long, er double, eg double, eb double")
+    return _gram(rgb, key).mapInPandas(solve, f"{key} {dict(rgb.dtypes)[key]}, er double, eg double, eb double")
 
 
 def lgi(rgb: DataFrame) -> DataFrame:
@@ -219,43 +243,85 @@ def ica(rgb: DataFrame, component: int | None = 1) -> DataFrame:
     return done.select(K, F.col("_s.t").alias(ORDER), F.col("_s.v").alias("v"))
 
 
-def skin_flat(rgb: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """Densities of each colour without shading (r, g, b), and the haemoglobin part (hemo). The range is told by the largest value of all series."""
+def skin_flat(rgb: DataFrame, eps: float = 1e-8, recording: str | None = None) -> DataFrame:
+    """Densities of each colour without shading (r, g, b), and the haemoglobin part (hemo). The range is told by the largest value of the recording, or without one of all series."""
     m, h, one = np.asarray(MELANIN), np.asarray(HEMOGLOBIN), np.ones(3)
     normal = np.cross(m, h)
     shade = [float(x) for x in normal / (normal @ one + eps)]
-    top = rgb.agg(F.max(F.greatest("r", "g", "b")).alias("top"))
-    scale = F.when(F.col("top") > 1.5, 255.0).otherwise(1.0)
-    density = [-F.log(F.least(F.greatest(F.col(c) / scale, F.lit(eps)), F.lit(1.0))) for c in "rgb"]
-    x = rgb.join(F.broadcast(top)).select(K, ORDER, *(d.alias(c) for d, c in zip(density, "rgb", strict=True)))  # one row
+    keys = _keys(recording)
+    x = _with_range(rgb, recording).select(*keys, ORDER, *(d.alias(c) for d, c in zip(_densities(eps), "rgb", strict=True)))
     light = sum((w * F.col(c) for w, c in zip(shade, "rgb", strict=True)), F.lit(0.0))
     value = sum((w * F.col(c) for w, c in zip(hemo_weights(eps), "rgb", strict=True)), F.lit(0.0))
-    return x.select(K, ORDER, *((F.col(c) - light).alias(c) for c in "rgb"), value.alias("hemo"))
+    return x.select(*keys, ORDER, *((F.col(c) - light).alias(c) for c in "rgb"), value.alias("hemo"))
 
 
-def lgi_global(rgb: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """Every series' z-scored green without the strongest direction of the mean trace over all series."""
-    w = whole(K)
-    z = rgb.select(K, ORDER, *(((F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + eps)).alias(c) for c in "rgb"))
-    mean = z.groupBy(ORDER).agg(*(F.avg(c).alias(c) for c in "rgb")).withColumn(K, F.lit(0).cast("long"))
-    one = _directions(mean, False, 0).select("er", "eg", "eb")
+def lgi_global(rgb: DataFrame, eps: float = 1e-8, recording: str | None = None) -> DataFrame:
+    """Every series' z-scored green without the strongest direction of the mean trace over the recording's series, or without one over all."""
+    keys = _keys(recording)
+    w = whole(keys)
+    z = rgb.select(*keys, ORDER, *(((F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + eps)).alias(c) for c in "rgb"))
     dot = F.col("er") * F.col("r") + F.col("eg") * F.col("g") + F.col("eb") * F.col("b")
-    return z.join(F.broadcast(one)).select(K, ORDER, (F.col("g") - F.col("eg") * dot).alias("v"))  # one row
+    if recording:
+        mean = z.groupBy(recording, ORDER).agg(*(F.avg(c).alias(c) for c in "rgb"))
+        x = z.join(_directions(mean, False, 0, recording), recording)
+    else:
+        mean = z.groupBy(ORDER).agg(*(F.avg(c).alias(c) for c in "rgb")).withColumn(K, F.lit(0).cast("long"))
+        x = z.join(F.broadcast(_directions(mean, False, 0).select("er", "eg", "eb")))  # one row
+    return x.select(*keys, ORDER, (F.col("g") - F.col("eg") * dot).alias("v"))
 
 
-def robust(rgb: DataFrame, rate: float, low: float = 0.7, high: float = 3.0) -> DataFrame:
-    """Shading removed, the common direction of all series removed, and the band of pulses (third order)."""
-    return apply_chain(lgi_global(skin_flat(rgb)), [bandpass(low, high, rate, 3)])
+def robust(rgb: DataFrame, rate: float, low: float = 0.7, high: float = 3.0, recording: str | None = None) -> DataFrame:
+    """Shading removed, the common direction of the recording's series (without one: of all) removed, and the band of pulses (third order)."""
+    flat = lgi_global(skin_flat(rgb, recording=recording), recording=recording)
+    return apply_chain(flat, [bandpass(low, high, rate, 3)], tuple(_keys(recording)))
 
 
-def box_means(pixels: DataFrame, boxes: DataFrame, colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """Mean colours of pixels (frame, x, y and colours) in each of a few boxes (roi, x0, x1, y0, y1; ends exclusive), by frame.
+def box_means(pixels: DataFrame, boxes: list[tuple[str, int, int, int, int]], colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Mean colours of pixels (frame, x, y and colours) in each of a few boxes (name, x0, x1, y0, y1; ends exclusive), by frame.
+
+    Every box is a conditional mean of one aggregation, so no pixel is copied; boxes become rows after it. Without a pixel
+    in a box its means are null and its row is still there.
+    """
+    x, y = F.col("x"), F.col("y")
+    inside = {roi: (x >= x0) & (x < x1) & (y >= y0) & (y < y1) for roi, x0, x1, y0, y1 in boxes}
+    means = [F.struct(F.lit(roi).alias("roi"), *(F.avg(F.when(fits, F.col(c))).alias(c) for c in colours)) for roi, fits in inside.items()]
+    rows = pixels.groupBy("frame").agg(F.array(*means).alias("_boxes"))
+    return rows.select("frame", F.explode("_boxes").alias("_b")).select("frame", "_b.*")
 
-    Boxes are a broadcast of a few dozen; without a pixel in a box its means are null and its row is still there.
+
+def polygon_spans(corners: DataFrame) -> DataFrame:
+    """Scan lines of polygons: (frame, roi, y, x0, x1), the whole pixels x0 to x1 of row y that lie inside or on the border.
+
+    corners: (frame, roi, i, x, y), whole numbers, i the order along the border, the last one joined to the first. Each edge
+    gives its crossing with every row it passes (the lower end counts, the upper one doesn't); crossings of a row, sorted,
+    open and close spans in turn. Rows that only a corner or a level edge touches get spans of their own.
+    """
+    keys = ("frame", "roi")
+    w = Window.partitionBy(*keys).orderBy("i")
+    ends = corners.select(*keys, "x", "y", "i", F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(w)).alias("y2"))
+    steep = ends.where("y <> y2").select(*keys, F.when(F.col("y") < F.col("y2"), F.struct("x", "y", F.col("x2").alias("u"), F.col("y2").alias("v"))).otherwise(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("x").alias("u"), F.col("y").alias("v"))).alias("e"))
+    rows = steep.select(*keys, "e", F.explode(F.sequence(F.col("e.y"), F.col("e.v") - 1)).alias("y"))
+    at = F.col("e.x") + (F.col("y") - F.col("e.y")) * (F.col("e.u") - F.col("e.x")) / (F.col("e.v") - F.col("e.y"))
+    sides = rows.select(*keys, "y", at.alias("at"))
+    order = Window.partitionBy(*keys, "y").orderBy("at")
+    paired = sides.select(*keys, "y", "at", F.row_number().over(order).alias("n"), F.lead("at").over(order).alias("to")).where("n % 2 = 1")
+    spans = paired.select(*keys, "y", F.ceil(F.round("at", 9)).alias("x0"), F.floor(F.round("to", 9)).alias("x1"))
+    level = ends.where("y = y2").select(*keys, "y", F.least("x", "x2").alias("x0"), F.greatest("x", "x2").alias("x1"))
+    points = ends.select(*keys, "y", F.col("x").alias("x0"), F.col("x").alias("x1"))
+    return spans.unionByName(level).unionByName(points).where("x0 <= x1")
+
+
+def polygon_means(pixels: DataFrame, corners: DataFrame, colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Mean colours of the pixels (frame, x, y and colours) in each polygon of their frame, by frame and roi.
+
+    Spans of a row that meet count once. They are joined by frame and row, and the span's ends are a condition on the rows
+    that meet; a row of a frame has few spans.
     """
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    means = [F.avg(F.when(inside, F.col(c))).alias(c) for c in colours]
-    return pixels.join(F.broadcast(boxes)).groupBy("frame", "roi").agg(*means)
+    w = Window.partitionBy("frame", "roi", "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = polygon_spans(corners).select("frame", "roi", "y", F.greatest(F.col("x0"), F.coalesce(reach + 1, F.col("x0"))).alias("x0"), "x1").where("x0 <= x1")
+    meet = pixels.join(cut, ["frame", "y"]).where(F.col("x").between(F.col("x0"), F.col("x1")))
+    return meet.groupBy("frame", "roi").agg(F.count("*").alias("pixels"), *(F.avg(c).alias(c) for c in colours))
 
 
 def mask_means(pixels: DataFrame, mask: DataFrame, colours: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.functions.windows import gradient, series, whole
+
 #: Samples of a matrix that a task works on at a time; one longer series is a matrix of its own.
 SAMPLES = 1 << 20
 
@@ -238,26 +240,37 @@ def apply_chain(x: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("k",),
     return told.select(*keys, F.col("_s.t").alias(order), F.col("_s.v").alias(value))
 
 
+def apply_blocks(x: DataFrame, steps: list[Step], block: int, halo: int, keys: tuple[str, ...] = ("k",), order: str = "t", value: str = "v") -> DataFrame:
+    """apply_chain for series too long for one row: blocks of `block` places (order counts from 1), each with copies of `halo` places on either side.
+
+    A series' blocks are rows of their own, dealt out by (keys, block), so one long series runs in many tasks. Steps see a
+    block as a series that ends at its halo; what they put there is cut off. With a halo beyond the reach of the steps
+    (detrending: some twenty seconds; a band-pass: some periods of its lower edge) the result is that of the whole series.
+    """
+    place = F.col(order) - 1
+    first = F.greatest(F.floor((place - halo) / block), F.lit(0))
+    rows = x.select(*keys, order, value, F.explode(F.sequence(first, F.floor((place + halo) / block))).alias("_block"))
+    done = apply_chain(rows, steps, (*keys, "_block"), order, value)
+    return done.where(F.floor(place / block) == F.col("_block")).select(*keys, order, value)
+
+
 def onsets(x: DataFrame, rate: float) -> DataFrame:
-    """Beat onsets: feet of the steepest rises at upward zero crossings, not nearer to each other than 0.3 s."""
+    """Beat onsets: feet of the steepest rises at upward zero crossings, not nearer to the last one kept than 0.3 s: k, beat, t.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        v, at = pdf["v"].to_numpy(float), []
-        slope = np.gradient(v) if len(v) > 1 else np.zeros(len(v))
-        for i in np.flatnonzero((v[:-1] < 0) & (v[1:] >= 0)):
-            low, high = max(0, i - int(0.2 * rate)), min(len(v), i + int(0.2 * rate) + 1)
-            top = low + int(np.argmax(slope[low:high]))
-            begin = max(0, top - int(0.4 * rate))
-            trough = begin + int(np.argmin(v[begin : top + 1]))
-            if slope[top] <= 1e-6:
-                continue
-            foot = int(np.clip(round(top + (v[trough] - v[top]) / slope[top]), 0, len(v) - 1))
-            if not at or foot - at[-1] >= int(0.3 * rate):
-                at.append(foot)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "beat": np.arange(1, len(at) + 1), "t": pdf["t"].to_numpy()[at] if at else np.zeros(0, int)})
-
-    return x.select("k", "t", "v").groupBy("k").applyInPandas(run, "k long, beat long, t long")
+    The steepest sample lies within 0.2 s of the crossing, the trough in the 0.4 s before it; the foot is where the tangent
+    there meets the trough's level. One window pass; the greedy choice is a fold over a series' few crossings.
+    """
+    near, back, apart = int(0.2 * rate), int(0.4 * rate), int(0.3 * rate)
+    w = series("k", "t")
+    rows = x.select("k", "t", "v", F.lead("v").over(w).alias("next"), gradient("v", w).alias("slope"), F.min("t").over(whole("k")).alias("t0"), F.max("t").over(whole("k")).alias("t1"))
+    top = F.max(F.struct("slope", (-F.col("t")).alias("t"), "v")).over(w.rowsBetween(-near, near))
+    low = F.min(F.struct("v", "t")).over(w.rowsBetween(-back, 0))
+    at = rows.select("k", "t", "v", "next", "t0", "t1", top.alias("top"), low["v"].alias("trough")).where(f"v < 0 and next >= 0 and top.slope * {rate} > 1e-6")
+    foot = F.rint(-F.col("top.t") - F.col("t0") + (F.col("trough") - F.col("top.v")) / F.col("top.slope"))
+    foot = F.least(F.greatest(foot.cast("long"), F.lit(0)), F.col("t1") - F.col("t0")) + F.col("t0")
+    crossings = at.select("k", "t", foot.alias("foot")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", "foot"))).alias("all"))
+    kept = F.aggregate("all", F.expr("cast(array() as array<bigint>)"), lambda have, c: F.when((F.size(have) == 0) | (c["foot"] - F.coalesce(F.try_element_at(have, F.lit(-1)), F.lit(0)) >= apart), F.concat(have, F.array(c["foot"]))).otherwise(have))
+    return crossings.select("k", F.posexplode(kept).alias("beat", "t")).select("k", (F.col("beat") + 1).cast("long").alias("beat"), "t")
 
 
 def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None, normalise: str | None = None) -> float:

@@ -122,8 +122,7 @@ def _pixels(spark, d):
 
 @query(f"""WITH {_PIXELS}, bx(roi, x0, x1, y0, y1) AS (VALUES {', '.join(map(str, _BOXES))}) SELECT frame, roi, {', '.join(f"{R6(f'avg({c}) FILTER (WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1)')} AS {c}" for c in 'rgb')} FROM px, bx GROUP BY frame, roi""")
 def roi_box_means(spark, d):
-    boxes = spark.createDataFrame(_BOXES, "roi string, x0 int, x1 int, y0 int, y1 int")
-    return colour.box_means(_pixels(spark, d), boxes).select("frame", "roi", *(r6(c).alias(c) for c in "rgb"))
+    return colour.box_means(_pixels(spark, d), _BOXES).select("frame", "roi", *(r6(c).alias(c) for c in "rgb"))
 
 
 @query(f"WITH {_PIXELS} SELECT frame, roi, {R6('avg((299 * r + 587 * g + 114 * b) / 1000)')} AS grey FROM px JOIN (SELECT n_name AS roi, n_nationkey % 20 AS x, n_regionkey AS y FROM nation) USING (x, y) GROUP BY frame, roi")

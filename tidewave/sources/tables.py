@@ -17,6 +17,18 @@ def colour_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", F.row_number().over(order).cast("long").alias("t"), F.col("l_quantity").alias("r"), (F.col("l_extendedprice") / 1000).alias("g"), (1 + 100 * F.col("l_discount")).alias("b"))
 
 
+def recording_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec, k, t, r, g, b: the colour traces as regions of three recordings, of which one has its colours in 0 to 1.
+
+    Rows are dealt by the recording once; windows over it and over its regions need no other exchange.
+    """
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_suppkey")).withColumn("rec", F.col("k") % 3).repartition("rec")
+    order = Window.partitionBy("rec", "k").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    scale = F.when(F.col("rec") == 1, 255.0).otherwise(1.0)
+    colours = {"r": F.col("l_quantity"), "g": F.col("l_extendedprice") / 1000, "b": 1 + 100 * F.col("l_discount")}
+    return rows.select("rec", "k", F.row_number().over(order).cast("long").alias("t"), *((v / scale).alias(c) for c, v in colours.items()))
+
+
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, t (from 1), sec, channel, v: an irregular signal for each user."""
     rows = table(spark, sf_dir, "events").withColumn("k", F.col("user_id"))
