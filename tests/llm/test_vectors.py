@@ -173,6 +173,7 @@ def test_negatives_equal_brute_force(spark):
 def test_search_leaves_leaves_out():
     rng = np.random.RandomState(3)
     centres = rng.randint(-200, 200, (40, 16))
+    centres = (centres * 400 / np.linalg.norm(centres, axis=1)[:, None]).astype(np.int64)  # of one norm, as embeddings mostly are
     rows = np.repeat(centres, 100, axis=0) + rng.randint(-3, 4, (4_000, 16))
     space = negatives.Space(int((rows * rows).sum(1).max()))
     labels = np.arange(4_000) % 2

@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import _BYTE_CODE, clean_ids, marked, spread, table, text_pieces, utf8_view, written
+from tidewave.llm._common import _BYTE_CODE, clean_ids, marked, mix64, spread, table, text_pieces, utf8_view, written
 from tidewave.llm.substrings import _places, _whole_windows, copied, windows
 
 WINDOW = 50
 PREFIX = 16
-#: Documents of one anchor whose windows a task may gather.
+#: Places of one anchor whose windows a task may gather.
 HOT = 4_000
 #: Windows of a batch, and anchors that a task holds before it sends them.
-BATCH = 200_000
+BATCH = 500_000
 HELD = 2_000_000
 _PIECE = 1 << 18
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -93,16 +93,13 @@ def _views(batches, window: int, piece: int = _PIECE):
 
 
 def anchors(docs: DataFrame, buckets: int, window: int = WINDOW, prefix: int = PREFIX, held: int = HELD) -> DataFrame:
-    """Anchors of all windows, many texts to a record: bucket, hashes and as many doc_ids, sorted by both and each pair once."""
+    """Anchors of all windows, many texts to a record: bucket, sorted hashes and as many doc_ids."""
 
     def packed(parts):
         hashes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((ids, hashes, bucket))
-        hashes, ids, bucket = hashes[order], ids[order], bucket[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
-        hashes, ids, bucket = hashes[new], ids[new], bucket[new]
+        order = np.argsort(hashes)
+        hashes, ids = hashes[order], ids[order]
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with the hash
         firsts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         bounds = pa.array(np.append(firsts, len(bucket)).astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(ids))], ["bucket", "hashes", "ids"])
@@ -126,7 +123,7 @@ def anchors(docs: DataFrame, buckets: int, window: int = WINDOW, prefix: int = P
 
 
 def recurring(sent: DataFrame, hot: int = HOT) -> DataFrame:
-    """Anchors of several documents: prefix, doc_id once for each, and with a null doc_id once where more than `hot` have it."""
+    """Anchors of several documents: prefix, doc_id, and with a null doc_id once where it stands in more than `hot` places."""
 
     def told(prefix, ids):
         return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), ids], ["prefix", "doc_id"])
@@ -148,8 +145,8 @@ def recurring(sent: DataFrame, hot: int = HOT) -> DataFrame:
                 ids = batch.column("ids")[k].values.to_numpy()
                 first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
                 keys, count = hashes[first], np.diff(np.append(first, len(hashes)))
-                lone, new = ids[first], np.ones(len(first), bool)
-                several = count > 1
+                lone, new = np.minimum.reduceat(ids, first), np.ones(len(first), bool)
+                several = lone < np.maximum.reduceat(ids, first)
                 for level, mine, at in family.find(keys):
                     new[mine] = False
                     several[mine] |= level[2][at] | (level[1][at] != lone[mine])
@@ -161,7 +158,7 @@ def recurring(sent: DataFrame, hot: int = HOT) -> DataFrame:
                 if several.any():
                     flat = np.repeat(several, count)
                     yield told(hashes[flat], pa.array(ids[flat]))
-                family.add(keys[new], lone[new].copy(), several[new], count[new])
+                family.add(keys[new], lone[new], several[new], count[new])
         yield from crowded(family)
 
     n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -180,12 +177,9 @@ def window_records(joined: DataFrame, window: int, prefix: int, lengthened: bool
                 continue
             least = least[first].view(np.int64)
             lists = part.column("wanted")
-            pairs = np.stack([np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)])
-            order = np.lexsort(pairs[::-1])
-            asked, mine = (np.ascontiguousarray(np.stack(x, 1)).view([("r", np.int64), ("h", np.int64)])[:, 0] for x in (pairs[:, order], (rows.astype(np.int64), least)))
-            if not len(asked):
-                continue
-            keep = np.flatnonzero(np.isin(mine, asked))
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            asked = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ mix64(row.astype(np.uint64))  # equal by chance: one run more
+            keep = np.flatnonzero(np.isin(least.view(np.uint64) ^ mix64(rows.astype(np.uint64)), asked))
             if not len(keep):
                 continue
             if lengthened:
