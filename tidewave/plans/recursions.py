@@ -41,8 +41,8 @@ def spline(size: int, source: str, keys: str = "k", tag: str = "") -> str:
     return f"""ro{tag} AS MATERIALIZED (SELECT *, lag(v, 2) OVER {w} AS p2, lag(v) OVER {w} AS p1, lead(v) OVER {w} AS q1, lead(v, 2) OVER {w} AS q2, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
  eq{tag} AS MATERIALIZED (SELECT {keys}, j, n, v, CASE WHEN n < 4 THEN 0.0 WHEN j = 0 THEN 0.0 WHEN j = n - 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS low, CASE WHEN n < 4 OR j IN (0, n - 1) THEN 1.0 ELSE 4.0 END::DOUBLE AS mid, CASE WHEN n < 4 OR j = n - 1 THEN 0.0 WHEN j = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS up,
   CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN coalesce(q1 - v, v - p1) WHEN n = 3 THEN CASE j WHEN 0 THEN 2 * q1 - 1.5 * v - q2 / 2 WHEN 1 THEN (q1 - p1) / 2 ELSE 1.5 * v - 2 * p1 + p2 / 2 END WHEN j = 0 THEN (5 * (q1 - v) + q2 - q1) / 2 WHEN j = n - 1 THEN (p1 - p2 + 5 * (v - p1)) / 2 ELSE 3 * (q1 - p1) END AS b FROM ro{tag}),
- do{tag} AS (SELECT {keys}, j, mid, up, b FROM eq{tag} WHERE j = 0 UNION ALL SELECT {own('e')}, e.j, e.mid - e.low / d.mid * d.up, e.up, e.b - e.low / d.mid * d.b FROM do{tag} d JOIN eq{tag} e ON {same('e', 'd')} AND e.j = d.j + 1),
- re{tag} AS MATERIALIZED (SELECT {own('d')}, e.n - 1 - d.j AS h, d.mid, d.up, d.b FROM do{tag} d JOIN eq{tag} e ON {same('e', 'd')} AND e.j = d.j),
+ dw{tag} AS (SELECT {keys}, j, mid, up, b FROM eq{tag} WHERE j = 0 UNION ALL SELECT {own('e')}, e.j, e.mid - e.low / d.mid * d.up, e.up, e.b - e.low / d.mid * d.b FROM dw{tag} d JOIN eq{tag} e ON {same('e', 'd')} AND e.j = d.j + 1),
+ re{tag} AS MATERIALIZED (SELECT {own('d')}, e.n - 1 - d.j AS h, d.mid, d.up, d.b FROM dw{tag} d JOIN eq{tag} e ON {same('e', 'd')} AND e.j = d.j),
  ba{tag} AS (SELECT {keys}, h, b / mid AS s FROM re{tag} WHERE h = 0 UNION ALL SELECT {own('r')}, r.h, (r.b - r.up * z.s) / r.mid FROM ba{tag} z JOIN re{tag} r ON {same('r', 'z')} AND r.h = z.h + 1),
  kn{tag} AS MATERIALIZED (SELECT {own('r')}, r.j, r.n, r.v, coalesce(r.q1, r.v) AS q1, z.s, coalesce(lead(z.s) OVER (PARTITION BY {own('r')} ORDER BY r.j), z.s) AS s1 FROM ro{tag} r JOIN ba{tag} z ON {same('r', 'z')} AND r.n - 1 - r.j = z.h),
  kx{tag} AS (SELECT {keys}, i, i * (n - 1) / {float(max(size - 1, 1))}::DOUBLE AS x, n FROM (SELECT DISTINCT {keys}, n FROM kn{tag}), range({size}) g(i)),
@@ -70,3 +70,22 @@ def without_strongest(source: str, found: str, key: str = "k") -> str:
     """The matrices without that eigenvector's part."""
     parts = {"rr": "er * er", "gg": "eg * eg", "bb": "eb * eb", "rg": "er * eg", "rb": "er * eb", "gb": "eg * eb"}
     return f"SELECT {key}, {', '.join(f'{p} - lam * {x} AS {p}' for p, x in parts.items())} FROM {source} JOIN {found} USING ({key})"
+
+
+def detrended(rate: float, source: str, tag: str = "", keys: str = "k") -> str:
+    """CTEs that end in `dt{tag}` (keys, t, v): smoothness priors with lambda 12 * rate on each series of `source` (keys, t from 1, v), the end repeated for two seconds."""
+    w, more = _real((12 * rate) ** 2), int(2 * rate)
+    first, second, ends = "CAST(i <= m - 3 AS INT)", "CAST(i BETWEEN 1 AND m - 2 AS INT)", "CAST(i >= 2 AS INT)"
+    return f"""dn{tag} AS (SELECT {keys}, max(t) AS n, least(max(t), {more}) AS more FROM {source} GROUP BY {keys}),
+ dp{tag} AS (SELECT {keys}, t - 1 AS i, n + more AS m, n, v AS p FROM {source} JOIN dn{tag} USING ({keys}) UNION ALL SELECT {keys}, t - 1 + more, n + more, n, v FROM {source} JOIN dn{tag} USING ({keys}) WHERE t > n - more),
+ dq{tag} AS MATERIALIZED (SELECT {keys}, i, m, n, p, 1 + {w} * ({first} + 4 * {second} + {ends}) AS main, -2 * {w} * ({first} + {second}) AS one, {w} * {first} AS two FROM dp{tag}),
+ df{tag} AS (SELECT {keys}, i, main AS d, one / main AS a, two / main AS b, p AS z, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS z1 FROM dq{tag} WHERE i = 0
+  UNION ALL SELECT {keys}, i, d, (one - a0 * d0 * b0) / d, two / d, z, d0, b0, z0 FROM (SELECT {', '.join(f'q.{k}' for k in keys.split(', '))}, q.i, one, two, f.a AS a0, f.b AS b0, f.d AS d0, f.z AS z0, main - f.a * f.a * f.d - f.b1 * f.b1 * f.d1 AS d, p - f.a * f.z - f.b1 * f.z1 AS z FROM df{tag} f JOIN dq{tag} q ON {' AND '.join(f'q.{k} = f.{k}' for k in keys.split(', '))} AND q.i = f.i + 1)),
+ dh{tag} AS MATERIALIZED (SELECT {keys}, m - 1 - f.i AS j, z / d AS z, a, b FROM df{tag} f JOIN (SELECT DISTINCT {keys}, m FROM dq{tag}) USING ({keys})),
+ dg{tag} AS (SELECT {keys}, j, z AS y, 0.0::DOUBLE AS y1 FROM dh{tag} WHERE j = 0 UNION ALL SELECT {', '.join(f'h.{k}' for k in keys.split(', '))}, h.j, h.z - h.a * g.y - h.b * g.y1, g.y FROM dg{tag} g JOIN dh{tag} h ON {' AND '.join(f'h.{k} = g.{k}' for k in keys.split(', '))} AND h.j = g.j + 1),
+ dt{tag} AS MATERIALIZED (SELECT {', '.join(f'q.{k}' for k in keys.split(', '))}, i + 1 AS t, p - y AS v FROM dq{tag} q JOIN dg{tag} g ON {' AND '.join(f'g.{k} = q.{k}' for k in keys.split(', '))} AND g.j = m - 1 - i WHERE i < n)"""
+
+
+def unrounded(sql: str) -> str:
+    """A query of values rounded to six decimals without the rounding, as the source of another."""
+    return sql.replace("round(", "(").replace(", 6) + 0.0", ")")

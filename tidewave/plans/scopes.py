@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.windows import series
 from tidewave.operators import beats, colour, filters
-from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, ORACLE_SQL, R6, RGB, _values, query, r6
-from tidewave.plans.recursions import both_ways, spline, strongest, without_strongest
+from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, _SG, BT, EV, ORACLE_SQL, R6, RGB, _values, query, r6
+from tidewave.plans.recursions import both_ways, detrended, spline, strongest, unrounded, without_strongest
 from tidewave.plans.shapes import _PIXELS, _TURNS, _pixels
 from tidewave.sources.tables import colour_traces, recording_traces
 
@@ -15,6 +15,7 @@ from tidewave.sources.tables import colour_traces, recording_traces
 BAND1 = ([0.19359960593003397, 0.0, -0.19359960593003397], [1.0, -1.5323732325771309, 0.612800788139932])  # first order, 0.75 to 3 Hz
 BAND3 = ([0.009109513841753264, 0.0, -0.027328541525259792, 0.0, 0.027328541525259792, 0.0, -0.009109513841753264], [1.0, -4.809547082890498, 9.84778483709453, -11.011829868945606, 7.102549006081873, -2.5062702088808644, 0.37781126932260856])  # third order, 0.7 to 3 Hz
 BAND5 = ([0.1402808497990749, 0.0, -0.7014042489953745, 0.0, 1.402808497990749, 0.0, -1.402808497990749, 0.0, 0.7014042489953745, 0.0, -0.1402808497990749], [1.0, -3.129411525331972, 2.9411038682635144, -0.7196842288564926, 0.8861399406654336, -1.5654908079247685, 0.3178342187893777, 0.2713004642398351, 0.08223529449609064, -0.06453601953480262, -0.019470205558553597])  # fifth order, 0.4 to 10 Hz
+BANDP = ([0.7482021554936834, 0.0, -0.7482021554936834], [1.0, -0.472146914760073, -0.49640431098736687])  # first order, 0.1 to 12 Hz
 LOW4 = ([0.02607772170109229, 0.10431088680436916, 0.15646633020655373, 0.10431088680436916, 0.02607772170109229], [1.0, -1.306605144101049, 1.0304538354195747, -0.3623690447688578, 0.05576390066780883])  # fourth order, up to 5 Hz
 
 # recordings: series with a recording key, of several lengths and ranges
@@ -201,3 +202,21 @@ _CORNERS = ", ".join(f"('{roi}', {i}, {x}, {y}, {c[(i + 1) % len(c)][0]}, {c[(i
 SELECT frame, roi, count(*) AS pixels, {', '.join(f"{R6(f'avg({c})')} AS {c}" for c in 'rgb')} FROM px JOIN hit USING (frame, x, y) WHERE inside GROUP BY frame, roi""")
 def roi_polygon_means(spark, d):
     return colour.polygon_means(_pixels(spark, d), _corners(spark, d)).select("frame", "roi", "pixels", *(r6(c).alias(c) for c in "rgb"))
+
+# chains and splines, for queries registered elsewhere
+
+_POS = f"ev AS MATERIALIZED ({unrounded(ORACLE_SQL['pulse_pos'])})"
+ORACLE_SQL["filt_chain"] = f"""WITH RECURSIVE {_POS}, {detrended(30, 'ev')}, {both_ways(*BAND1, source='dt')}, c(i, j, w) AS (VALUES {_SG}), p AS (SELECT k, t, v, greatest(1, least(t - 8, n - 16)) AS a FROM y JOIN n USING (k) WHERE n >= 17)
+SELECT p.k, p.t, {R6('sum(w * y.v)')} AS v FROM p JOIN c ON c.i = p.t - a JOIN y ON y.k = p.k AND y.t = a + c.j GROUP BY p.k, p.t"""
+_ONE = _CHROM.rsplit(', n AS', 1)[0]
+ORACLE_SQL["filt_envelope"] = f"""WITH RECURSIVE {_ONE}, {both_ways(*BAND1)}, h AS (SELECT a.k, a.t, max(a.v) AS v, sum(CASE WHEN (a.t - b.t) % 2 = 0 AND n % 2 = 0 OR a.t = b.t THEN 0 WHEN n % 2 = 0 THEN b.v * 2 / n / tan(pi() * (a.t - b.t) / n) ELSE b.v / n * (cos(pi() * (a.t - b.t) / n) - CASE WHEN (a.t - b.t) % 2 = 0 THEN 1 ELSE -1 END) / sin(pi() * (a.t - b.t) / n) END) AS q FROM y a JOIN y b ON a.k = b.k JOIN n ON n.k = a.k GROUP BY a.k, a.t)
+SELECT k, t, {R6('v / CASE WHEN v * v + q * q = 0 THEN 1e-8 ELSE sqrt(v * v + q * q) END')} AS v FROM h"""
+_RESAMPLED = unrounded(ORACLE_SQL["sig_resample_poly"]).replace(EV, f"{RGB}, ev AS (SELECT k, t, -g AS v FROM rgb)")
+ORACLE_SQL["ppg_preprocess"] = f"WITH RECURSIVE rs AS MATERIALIZED (SELECT k, i + 1 AS t, v FROM ({_RESAMPLED})), {detrended(30, 'rs')}, {both_ways(*BANDP, source='dt')} SELECT k, t - 1 AS t, {R6('-v')} AS v FROM y"
+ORACLE_SQL["sig_upsample_cubic"] = f"WITH RECURSIVE {EV}, sr AS (SELECT k, t - 1 AS j, v FROM ev), {spline(120, 'sr')} SELECT k, i, {R6('v')} AS v FROM sp"
+ORACLE_SQL["sig_normal_pulse"] = f"""WITH RECURSIVE {BT}, sr AS (SELECT k, beat, pos AS j, v FROM bt), {spline(100, 'sr', 'k, beat')}, f AS (SELECT k, beat, i, abs(v - (first_value(v) OVER w + (last_value(v) OVER w - first_value(v) OVER w) * i / 99)) AS v FROM sp WINDOW w AS (PARTITION BY k, beat ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ p AS (SELECT *, max(v) OVER w AS top, arg_max(i, row(v, -i)) OVER w AS peak FROM f WINDOW w AS (PARTITION BY k, beat)) SELECT k, beat, i, {R6('CASE WHEN top > 0 THEN v / top ELSE v END')} AS v, peak, peak <= 60 AS usable FROM p"""
+_SUMS = "(SELECT k, beat, sum(v) AS area, count(*) AS duration, max(v) AS amplitude FROM (SELECT k, beat, v - (first_value(v) OVER a + (last_value(v) OVER a - first_value(v) OVER a) * pos / greatest(count(*) OVER a - 1, 1)) AS v FROM bt WINDOW a AS (PARTITION BY k, beat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY k, beat)"
+ORACLE_SQL["beat_representative"] = f"""WITH RECURSIVE {BT}, ch AS (SELECT k, beat FROM (SELECT k, beat, {_NEAR} AS near FROM {_SUMS}) WHERE near), sc AS (SELECT k, beat, pos AS j, v / max(v) OVER (PARTITION BY k, beat) AS v FROM bt JOIN ch USING (k, beat)), {spline(100, 'sc', 'k, beat')}, av AS (SELECT k, i, avg(v) AS v FROM sp GROUP BY k, i),
+ fl AS (SELECT k, i, v - (first_value(v) OVER w + (last_value(v) OVER w - first_value(v) OVER w) * i / 99) AS v FROM av WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT k, i AS pos, {R6('CASE WHEN max(v) OVER (PARTITION BY k) - min(v) OVER (PARTITION BY k) <= 1e-8 THEN 0 ELSE (v - min(v) OVER (PARTITION BY k)) / (max(v) OVER (PARTITION BY k) - min(v) OVER (PARTITION BY k)) * 2 END')} AS v FROM fl"""
