@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.windows import series
 from tidewave.operators import beats, colour, filters
-from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, _SG, BT, EV, ORACLE_SQL, R6, RGB, _values, query, r6
+from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, _SG, BT, EV, ORACLE_SQL, R6, R9, RGB, _values, query, r6
 from tidewave.plans.recursions import both_ways, detrended, spline, strongest, unrounded, without_strongest
 from tidewave.plans.shapes import _PIXELS, _TURNS, _pixels
 from tidewave.sources.tables import colour_traces, recording_traces
@@ -85,8 +85,8 @@ ORACLE_SQL["pulse_pca_both"] = f"""WITH {RGB}, {_CENTRED}, bo AS (SELECT k, t, a
 
 # filters, for queries registered elsewhere
 
-for _name, _taps in (("filt_lowpass", LOW4), ("filt_bandpass3", BAND3), ("filt_bandpass5", BAND5), ("filt_bandpass", BAND1)):
-    ORACLE_SQL[_name] = f"WITH RECURSIVE {_CHROM.rsplit(', n AS', 1)[0]}, {both_ways(*_taps)} SELECT k, t, {R6('v')} AS v FROM y"
+for _name, _taps, _digits in (("filt_lowpass", LOW4, 6), ("filt_bandpass3", BAND3, 6), ("filt_bandpass5", BAND5, 4), ("filt_bandpass", BAND1, 6)):
+    ORACLE_SQL[_name] = f"WITH RECURSIVE {_CHROM.rsplit(', n AS', 1)[0]}, {both_ways(*_taps)} SELECT k, t, round(v, {_digits}) + 0.0 AS v FROM y"
 
 
 # long series in blocks
@@ -155,9 +155,9 @@ def _soft_beats(spark, d):
     return beats.cut_with_margin(colour_traces(spark, d).select("k", "t", soft.alias("v")), _REACH, _MARGIN)
 
 
-@query(f"WITH {_SOFT}, {_CUT} SELECT k, beat, pos, {R6('v')} AS v FROM bm")
+@query(f"WITH {_SOFT}, {_CUT} SELECT k, beat, pos, {R9('v')} AS v FROM bm")
 def beat_margins(spark, d):
-    return _soft_beats(spark, d).select("k", "beat", "pos", r6("v").alias("v"))
+    return _soft_beats(spark, d).select("k", "beat", "pos", r6("v", 9).alias("v"))
 
 
 @query(f"WITH {_SOFT}, {_CUT}, {_FLAT}, {_STATS} SELECT k, beat, {R6('area')} AS area, duration, {R6('amplitude')} AS amplitude, good FROM st")
@@ -199,9 +199,9 @@ _CORNERS = ", ".join(f"('{roi}', {i}, {x}, {y}, {c[(i + 1) % len(c)][0]}, {c[(i
 @query(f"""WITH {_PIXELS}, ed(roi, i, x1, y1, x2, y2) AS (VALUES {_CORNERS}), pt AS (SELECT DISTINCT frame, x, y, x - frame % 4 AS px FROM px),
  hit AS (SELECT frame, x, y, roi, sum(CASE WHEN (y1 <= y) <> (y2 <= y) AND px < x1 + (y - y1) * (x2 - x1) / (y2 - y1)::DOUBLE THEN 1 ELSE 0 END) % 2 = 1
   OR bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (px - x1) AND px BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS inside FROM pt, ed GROUP BY ALL)
-SELECT frame, roi, count(*) AS pixels, {', '.join(f"{R6(f'avg({c})')} AS {c}" for c in 'rgb')} FROM px JOIN hit USING (frame, x, y) WHERE inside GROUP BY frame, roi""")
+SELECT frame, roi, count(*) AS pixels, {', '.join(f"{R9(f'avg({c})')} AS {c}" for c in 'rgb')} FROM px JOIN hit USING (frame, x, y) WHERE inside GROUP BY frame, roi""")
 def roi_polygon_means(spark, d):
-    return colour.polygon_means(_pixels(spark, d), _corners(spark, d)).select("frame", "roi", "pixels", *(r6(c).alias(c) for c in "rgb"))
+    return colour.polygon_means(_pixels(spark, d), _corners(spark, d)).select("frame", "roi", "pixels", *(r6(c, 9).alias(c) for c in "rgb"))
 
 # chains and splines, for queries registered elsewhere
 

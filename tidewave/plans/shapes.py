@@ -69,7 +69,7 @@ def filt_bandpass3(spark, d):
 
 @query()
 def filt_bandpass5(spark, d):
-    return _values(filters.apply_chain(colour.chrom(colour_traces(spark, d)), [filters.bandpass(0.4, 10.0, 30.0, 5)]))
+    return filters.apply_chain(colour.chrom(colour_traces(spark, d)), [filters.bandpass(0.4, 10.0, 30.0, 5)]).select("k", "t", r6("v", 4).alias("v"))
 
 
 @query()
