@@ -122,17 +122,31 @@ def melted(x: DataFrame, keys: list[str], columns: list[str], name: str = "chann
     return x.unpivot(keys, columns, name, value)
 
 
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most the key, by halving: a tree of comparisons.
+
+    It names the key more than once, so Spark computes the key in a projection of its own, once a row.
+    """
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < F.lit(bounds[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(bounds))
+
+
 def global_rank(x: DataFrame, key: Column, name: str = "rank", parts: int = 64, per_part: int = 32) -> DataFrame:
     """Each row's place (from 0) in the order of a key without ties, and no task with all rows.
 
     A bounded sample of keys (those with the smallest hashes) bounds ranges; each is ranked by itself and shifted by the
-    rows before it.
+    rows before it. Rows with a null key come first, in no set order.
     """
     keyed = x.withColumn("_key", key)
     sample = sorted(r[0] for r in keyed.where("_key is not null").select("_key").orderBy(F.xxhash64("_key"), "_key").limit(parts * per_part).collect())
     bounds = sorted(set(sample[per_part::per_part]))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
-    dealt = keyed.withColumn("_part", part)
+    dealt = keyed.withColumn("_part", F.when(F.col("_key").isNotNull(), _range_of(F.col("_key"), bounds)).otherwise(F.lit(0)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
     shifts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     ranked = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
