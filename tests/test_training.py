@@ -60,3 +60,80 @@ def test_training_lowers_the_loss_and_its_weights_are_kept(spark, windows, tmp_p
 def test_the_rate_falls_and_training_stops(windows):
     _, history = training.trained(windows, ["a"], "y", sizes=(2,), attend=False, epochs=12, rate=50.0, patience=0, stop=4, steps=1)
     assert len(history) < 12 and history[-1]["rate"] < 50.0
+
+
+def exact_machine(x, y, C, epsilon, gamma, rounds=400):
+    """The dual by coordinate steps; a constant in the kernel stands for the intercept."""
+    k = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(2)) + 1.0
+    beta = np.zeros(len(y))
+    out = k @ beta
+    for _ in range(rounds):
+        for i in range(len(y)):
+            g = y[i] - out[i] + k[i, i] * beta[i]
+            new = np.clip(np.sign(g) * max(abs(g) - epsilon, 0) / k[i, i], -C, C)
+            out += k[:, i] * (new - beta[i])
+            beta[i] = new
+    return out
+
+
+def test_support_vectors_equal_the_exact_dual(spark):
+    from tidewave.operators import regression
+
+    rng = np.random.RandomState(5)
+    x = rng.uniform(-2, 2, (200, 2))
+    y = np.sin(2 * x[:, 0]) + 0.5 * x[:, 1] + rng.normal(size=200) * 0.05
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "i long, a double, b double, y double")
+    scaled = (x - x.mean(0)) / x.std(0)
+    want = exact_machine(scaled, y, 1.0, 0.1, 0.5)
+    machine = regression.fit_support_vectors(df, ["a", "b"], "y", C=1.0, epsilon=0.1, size=512)
+    got = np.asarray([r.prediction for r in machine.transform(df).orderBy("i").collect()])
+    assert np.abs(got - want).mean() < 0.05 and np.abs(got - y).mean() < 0.12  # random cosines stand for the kernel
+    again = regression.SupportVectors.of(["a", "b"], machine.as_weights())
+    assert np.allclose([r.prediction for r in again.transform(df).orderBy("i").collect()], got)
+
+
+def test_folds_are_stored_and_kept(spark, tmp_path):
+    from tidewave.operators import regression
+
+    rows = [(i, i % 3, float(i % 7) if i % 5 else None, float((i * 3) % 11), float(2 * (i % 7) + (i * 3) % 11)) for i in range(120)]
+    df = spark.createDataFrame(rows, "i long, fold int, a double, b double, y double")
+    for kind, settings in (("linear", {}), ("svr", {"size": 64, "C": 10.0})):
+        store = str(tmp_path / kind)
+        plain = {r.i: r.prediction for r in regression.out_of_fold(df, ["a", "b"], "y", kind, **settings).collect()}
+        kept = regression.out_of_fold(df, ["a", "b"], "y", kind, store=store, **settings)
+        assert len(plain) == 120 and {r.i: round(r.prediction, 6) for r in kept.collect()} == {i: round(p, 6) for i, p in plain.items()}
+        assert kept._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+        again = regression.out_of_fold(df.withColumn("y", F.lit(0.0)), ["a", "b"], "y", kind, store=store, **settings)  # nothing is fitted anew
+        assert {r.i: round(r.prediction, 6) for r in again.collect()} == {i: round(p, 6) for i, p in plain.items()}
+
+
+def test_search_finds_a_planted_optimum_and_goes_on(spark, tmp_path):
+    from tidewave.operators import regression
+
+    space = {"c": ("log", 1e-2, 1e3), "depth": ("int", 1, 30), "how": ("choice", ["a", "b", "c"]), "e": ("float", 0.0, 1.0)}
+    tried = []
+
+    def objective(s):
+        tried.append(s)
+        return (np.log10(s["c"]) - 1) ** 2 + ((s["depth"] - 12) / 10) ** 2 + (s["how"] != "b") + (s["e"] - 0.3) ** 2
+
+    store = str(tmp_path / "trials")
+    regression.searched(spark, objective, space, trials=20, store=store)
+    assert len(tried) == 20
+    settings, loss = regression.searched(spark, objective, space, trials=80, store=store)
+    assert len(tried) == 80 and settings["how"] == "b" and loss < 0.15  # a grid of four values each has 256 points
+    tried.clear()
+    assert regression.searched(spark, objective, space, trials=80, store=store) == (settings, loss) and not tried
+
+
+def test_warping_of_many_pairs_equals_one_by_one():
+    from tidewave.operators import filters
+
+    rng = np.random.RandomState(2)
+    n = np.array([1, 5, 17, 30, 30])
+    a, b = (np.where(np.arange(30) < n[:, None], np.round(rng.normal(size=(5, 30)), 1), 0.0) for _ in range(2))
+    for window in (None, 0, 3, 10):
+        for how in (None, "len", "path"):
+            got = filters.dtw_many(a, b, n, window, how)
+            want = [filters.dtw(a[i, : n[i]], b[i, : n[i]], window, how) for i in range(5)]
+            assert np.allclose(got, want), (window, how)

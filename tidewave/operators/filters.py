@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -298,11 +297,42 @@ def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None, normalise: str
     return float(np.sqrt(total))
 
 
-def pair_distances(pairs: DataFrame, window: int | None = None, normalise: str | None = None) -> DataFrame:
-    """pairs (k, t, a, b): the warping distance of each series' two signals."""
+def dtw_many(a: np.ndarray, b: np.ndarray, n: np.ndarray, window: int | None = None, normalise: str | None = None) -> np.ndarray:
+    """dtw() of the rows of two padded matrices, of which each pair has one length: all pairs and all cells of an anti-diagonal at a time.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "dtw": [dtw(pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), window, normalise)]})
+    A cell (i, j) needs (i, j - 1) and (i - 1, j) of the diagonal before and (i - 1, j - 1) of the one before that.
+    """
+    pairs, longest = a.shape
+    reach = longest if window is None else window
+    one, two = (np.full((pairs, longest + 1), np.inf) for _ in range(2))
+    one_steps, two_steps = (np.zeros((pairs, longest + 1), np.int64) for _ in range(2))
+    one[:, 0] = 0
+    total, taken = np.where(n == 0, 0.0, np.nan), np.zeros(pairs, np.int64)
+    for d in range(1, 2 * longest + 1):
+        low, high = max(1, d - longest, -(-(d - reach) // 2)), min(longest, d - 1, (d + reach) // 2)
+        now, now_steps = np.full(one.shape, np.inf), np.zeros(one_steps.shape, np.int64)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            up, left, both = one[:, i - 1], one[:, i], two[:, i - 1]
+            least = np.minimum(np.minimum(up, left), both)
+            now[:, i] = (a[:, i - 1] - b[:, d - i - 1]) ** 2 + least
+            now_steps[:, i] = 1 + np.where(up == least, one_steps[:, i - 1], np.where(left == least, one_steps[:, i], two_steps[:, i - 1]))
+        done = np.flatnonzero(2 * n == d)
+        total[done], taken[done] = now[done, n[done]], now_steps[done, n[done]]
+        two, two_steps, one, one_steps = one, one_steps, now, now_steps
+    return np.sqrt(total / {None: 1, "len": np.maximum(n, 1), "path": np.maximum(taken, 1)}[normalise])
+
+
+def pair_distances(pairs: DataFrame, window: int | None = None, normalise: str | None = None, keys: tuple[str, ...] = ("k",)) -> DataFrame:
+    """pairs (k, t, a, b): the warping distance of each series' two signals, some pairs at a time."""
+    rows = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))).alias("_s"))
+    rows = rows.select(*keys, F.col("_s.a").alias("a"), F.col("_s.b").alias("b"))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c in keys)
+
+    def run(batches):
+        for part, a, n in matrices(batches, "a"):
+            b = np.zeros(a.shape)
+            b[np.arange(a.shape[1]) < n[:, None]] = part.column("b").flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.array(dtw_many(a, b, n, window, normalise))], [*keys, "dtw"])
 
-    return pairs.groupBy("k").applyInPandas(run, "k long, dtw double")
+    return rows.mapInArrow(run, f"{kinds}, dtw double")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewave.functions.windows import series
+from tidewave.functions.windows import series, whole
 from tidewave.operators import beats, colour, filters
 from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, _SG, BT, EV, ORACLE_SQL, R6, R9, RGB, _values, query, r6
 from tidewave.plans.recursions import both_ways, detrended, spline, strongest, unrounded, without_strongest
 from tidewave.plans.shapes import _PIXELS, _TURNS, _pixels
-from tidewave.sources.tables import colour_traces, recording_traces
+from tidewave.sources.tables import colour_traces, event_signals, recording_traces
 
 #: Butterworth filters at 30 samples a second by the bilinear transform, forward (b) and back (a) weights.
 BAND1 = ([0.19359960593003397, 0.0, -0.19359960593003397], [1.0, -1.5323732325771309, 0.612800788139932])  # first order, 0.75 to 3 Hz
@@ -220,3 +220,27 @@ _SUMS = "(SELECT k, beat, sum(v) AS area, count(*) AS duration, max(v) AS amplit
 ORACLE_SQL["beat_representative"] = f"""WITH RECURSIVE {BT}, ch AS (SELECT k, beat FROM (SELECT k, beat, {_NEAR} AS near FROM {_SUMS}) WHERE near), sc AS (SELECT k, beat, pos AS j, v / max(v) OVER (PARTITION BY k, beat) AS v FROM bt JOIN ch USING (k, beat)), {spline(100, 'sc', 'k, beat')}, av AS (SELECT k, i, avg(v) AS v FROM sp GROUP BY k, i),
  fl AS (SELECT k, i, v - (first_value(v) OVER w + (last_value(v) OVER w - first_value(v) OVER w) * i / 99) AS v FROM av WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT k, i AS pos, {R6('CASE WHEN max(v) OVER (PARTITION BY k) - min(v) OVER (PARTITION BY k) <= 1e-8 THEN 0 ELSE (v - min(v) OVER (PARTITION BY k)) / (max(v) OVER (PARTITION BY k) - min(v) OVER (PARTITION BY k)) * 2 END')} AS v FROM fl"""
+
+
+# warping distances, by recursion over the anti-diagonals of all pairs
+
+
+def _warping(pairs: str, reach: int) -> str:
+    cell = f"CASE WHEN i < 1 OR i > n OR d + 1 - i < 1 OR d + 1 - i > n OR abs(2 * i - d - 1) > {reach} THEN 'inf'::DOUBLE ELSE (a[i] - b[d + 1 - i]) * (a[i] - b[d + 1 - i]) + least(one[i], one[i + 1], two[i]) END"
+    return f"""pk AS MATERIALIZED (SELECT k, count(*) AS n, list(a ORDER BY t) AS a, list(b ORDER BY t) AS b FROM {pairs} GROUP BY k),
+ dg AS (SELECT k, n, a, b, 0 AS d, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END) AS one, list_transform(range(0, n + 1), lambda i: 'inf'::DOUBLE) AS two FROM pk
+  UNION ALL SELECT k, n, a, b, d + 1, list_transform(range(0, n + 1), lambda i: {cell}), one FROM dg WHERE d < 2 * n)
+SELECT k, {R6('sqrt(one[n + 1])')} AS dtw FROM dg WHERE d = 2 * n"""
+
+
+_LAGGED = f"{EV}, z AS (SELECT k, t, CASE WHEN stddev_pop(v) OVER (PARTITION BY k) < 1e-8 THEN 0 ELSE (v - avg(v) OVER (PARTITION BY k)) / (stddev_pop(v) OVER (PARTITION BY k) + 1e-8) END AS a FROM ev), pr AS (SELECT k, t, a, coalesce(lag(a) OVER (PARTITION BY k ORDER BY t), a) AS b FROM z)"
+ORACLE_SQL["dtw"] = f"WITH RECURSIVE {_LAGGED}, {_warping('pr', 10)}"
+
+
+@query(f"WITH RECURSIVE {RGB}, {EV}, jo AS (SELECT rgb.k, rgb.t, g, v FROM rgb JOIN ev ON rgb.k = ev.k AND rgb.t = ev.t), pr AS (SELECT k, t, {', '.join(f'({c} - avg({c}) OVER (PARTITION BY k)) / (stddev_pop({c}) OVER (PARTITION BY k) + 1e-8) AS {n}' for c, n in (('g', 'a'), ('v', 'b')))} FROM jo), {_warping('pr', 12)}")
+def dtw_two_sources(spark, d):
+    """A region's green trace against its subject's reference signal."""
+    both = colour_traces(spark, d).join(event_signals(spark, d).select("k", "t", "v"), ["k", "t"])
+    w = whole("k")
+    scaled = [((F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-8)).alias(n) for c, n in (("g", "a"), ("v", "b"))]
+    return filters.pair_distances(both.select("k", "t", *scaled), 12).select("k", r6("dtw").alias("dtw"))
