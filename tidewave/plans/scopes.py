@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import series, whole
-from tidewave.operators import beats, colour, filters
+from tidewave.operators import beats, colour, filters, studies
 from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, _SG, BT, EV, ORACLE_SQL, R6, R9, RGB, _values, query, r6
 from tidewave.plans.recursions import both_ways, detrended, spline, strongest, unrounded, without_strongest
-from tidewave.plans.shapes import _PIXELS, _TURNS, _pixels
+from tidewave.plans.shapes import _CHECK1, _PIXELS, _TURNS, _pixels
 from tidewave.sources.tables import colour_traces, event_signals, recording_traces
 
 #: Butterworth filters at 30 samples a second by the bilinear transform, forward (b) and back (a) weights.
@@ -244,3 +244,45 @@ def dtw_two_sources(spark, d):
     w = whole("k")
     scaled = [((F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-8)).alias(n) for c, n in (("g", "a"), ("v", "b"))]
     return filters.pair_distances(both.select("k", "t", *scaled), 12).select("k", r6("dtw").alias("dtw"))
+
+
+# tables of a study
+
+_VALLEYS = f"""low AS (SELECT *, coalesce(v < min(v) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AND v < min(v) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING), false) AS valley FROM ev),
+ va AS (SELECT k, t AS a, lead(t) OVER (PARTITION BY k ORDER BY t) AS z, row_number() OVER (PARTITION BY k ORDER BY t) AS beat FROM low WHERE valley),
+ sb AS MATERIALIZED (SELECT ev.k, CAST(beat AS BIGINT) AS beat, ev.t - a AS pos, a, z, z - a AS n, v FROM ev JOIN va ON ev.k = va.k AND ev.t >= a AND ev.t < z)"""
+_ALIKE = """SELECT x.k, x.beat, covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0) AS sqi FROM {0} x JOIN {0} y ON x.k = y.k AND y.beat = x.beat + 1 AND x.i = y.i GROUP BY x.k, x.beat"""
+_SEGMENTS = f"""{_VALLEYS}, sj AS (SELECT k, beat, pos AS j, v FROM sb), {spline(50, 'sj', 'k, beat', 'q')}, d1 AS (SELECT k, beat, i, {_GRADIENT.format('v')} AS v FROM spq WINDOW w AS (PARTITION BY k, beat ORDER BY i)), d2 AS MATERIALIZED (SELECT k, beat, i, {_GRADIENT.format('v')} AS v FROM d1 WINDOW w AS (PARTITION BY k, beat ORDER BY i)),
+ q0 AS ({_ALIKE.format('spq')}), q2 AS ({_ALIKE.format('d2')}), ch AS (SELECT k, beat, pos, v - (first_value(v) OVER w + (last_value(v) OVER w - first_value(v) OVER w) * pos / greatest(n - 1, 1)) AS v FROM sb WINDOW w AS (PARTITION BY k, beat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ {_TURNS.format('ch')}, {_CHECK1}, st AS (SELECT k, beat, max(a) AS a, max(z) AS z, sum(v) AS area, count(*) AS duration, max(v) AS amplitude FROM sb GROUP BY k, beat), us AS (SELECT *, {_NEAR} AS near FROM st),
+ sm AS MATERIALIZED (SELECT us.k, us.beat, (a - 1) / 30.0::DOUBLE AS b0, (z - 1) / 30.0::DOUBLE AS b1, duration AS n, q0.sqi AS sqi_wave, q2.sqi AS sqi, coalesce(q0.sqi >= 0.3 AND q2.sqi >= 0.3, false) AS quality, good AS accepted_ppg, near AS accepted_area FROM us LEFT JOIN q0 ON q0.k = us.k AND q0.beat = us.beat LEFT JOIN q2 ON q2.k = us.k AND q2.beat = us.beat LEFT JOIN ok1 ON ok1.k = us.k AND ok1.beat = us.beat)"""
+_WAVE = f"""{_CHROM.rsplit(', n AS', 1)[0].replace(' ev AS (', ' tr AS (')}, {both_ways(*BAND1, source='tr')}, ev AS MATERIALIZED (SELECT * FROM y)"""
+
+
+def _study(spark, d):
+    return filters.apply_chain(colour.chrom(colour_traces(spark, d)), [filters.bandpass(0.75, 3.0, 30.0)])
+
+
+@query(f"""WITH RECURSIVE {_WAVE}, {_SEGMENTS} SELECT k, beat, {R6('b0')} AS "start", {R6('b1')} AS "end", n, {R6('sqi_wave')} AS sqi_wave, {R6('sqi')} AS sqi, quality, accepted_ppg, accepted_area FROM sm""")
+def study_segments(spark, d):
+    told = studies.segments(_study(spark, d), 30.0, 12)
+    return told.select("k", "beat", r6("start").alias("start"), r6("end").alias("end"), "n", r6("sqi_wave").alias("sqi_wave"), r6("sqi").alias("sqi"), "quality", "accepted_ppg", "accepted_area")
+
+
+_RESIZED = """nx AS (SELECT sb.*, lead(v) OVER (PARTITION BY sb.k, sb.beat ORDER BY pos) AS nv FROM sb JOIN sm ON sb.k = sm.k AND sb.beat = sm.beat WHERE quality AND sb.n >= 5), rz AS (SELECT k, beat, i AS pos, v + (coalesce(nv, v) - v) * (i * (n - 1) / 119.0::DOUBLE - pos) AS v FROM nx JOIN range(120) g(i) ON pos = (i * (n - 1)) // 119),
+ bt AS MATERIALIZED (SELECT k, beat, pos, v - (first_value(v) OVER w + (last_value(v) OVER w - first_value(v) OVER w) * pos / 119) AS v FROM rz WINDOW w AS (PARTITION BY k, beat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+_CN = ["t1", "t2", "t_sub", "t_div", "systolic", "diastolic", "area_ratio", "slope_up", "slope_down", *(f"width{p}" for p in beats.LEVELS)]
+
+
+@query(f"WITH RECURSIVE {_WAVE}, {_SEGMENTS}, {_RESIZED} SELECT k, beat, {', '.join(f'{c} AS cn_{c}' for c in _CN)} FROM ({ORACLE_SQL['beat_contour'].replace('WITH ' + BT + ',', 'WITH')})")
+def study_beat_contours(spark, d):
+    x = _study(spark, d)
+    told = studies.beat_contours(x, studies.segments(x, 30.0, 12).where("quality"), 12, 120)[1]
+    whole_numbers = [c for c in _CN if c in ("t1", "t2", "t_sub") or c.startswith("width")]
+    return told.select("k", "beat", *(F.col(f"cn_{c}") if c in whole_numbers else r6(f"cn_{c}").alias(f"cn_{c}") for c in _CN))
+
+
+@query()
+def study_features(spark, d):
+    mean, _, _ = studies.study_features(_study(spark, d), 30.0, 12, 120)
+    return mean.select("k", "beats", *(r6(c, 4).alias(c) for c in ("cn_t1", "cn_t_div", "cn_systolic_share", "cn_width50", "dr_ageing", "dr_b_a", "dr_v_top")))
