@@ -182,3 +182,52 @@ def test_quality_of_a_steady_wave(spark):
     assert len(told) > 25 and sum(r.good for r in told) > 0.8 * len(told) and not told[-1].good
     assert all(abs(a.end - b.start) < 1e-9 for a, b in zip(told, told[1:]))
     assert len(beats.good_times(beats.waveform_quality(x, 30.0)).collect()) >= 1
+
+
+def test_files_are_laid_out_anew(spark, tmp_path):
+    from tidewave.sources import layout
+
+    top = tmp_path / "old"
+    for name, text in {"ICA/001_before_cheek.csv": "a", "ICA/002-after-chin.csv": "bb", "POS/readme.csv": "c", "POS/003before_nose.csv": "dddd"}.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(text)
+    names = spark.createDataFrame([(str(p.relative_to(top)),) for p in top.rglob("*.csv")], "path string")
+    moves = layout.by_method_and_region(names)
+    assert {r.source: r.target for r in moves.collect()} == {"ICA/001_before_cheek.csv": "ICA_cheek_before/001.csv", "ICA/002-after-chin.csv": "ICA_chin_after/002.csv", "POS/readme.csv": None, "POS/003before_nose.csv": "POS_nose_before/003.csv"}
+    new = tmp_path / "new"
+    for _ in range(2):  # a second run leaves the same files
+        copied = {r.target: r.bytes for r in layout.copy_files(spark, moves, str(top), str(new)).collect()}
+    assert copied == {"ICA_cheek_before/001.csv": 1, "ICA_chin_after/002.csv": 2, "POS_nose_before/003.csv": 4}
+    assert {str(p.relative_to(new)): p.read_text() for p in new.rglob("*.csv")} == {"ICA_cheek_before/001.csv": "a", "ICA_chin_after/002.csv": "bb", "POS_nose_before/003.csv": "dddd"}
+    assert len(list(top.rglob("*.csv"))) == 4
+    two = spark.createDataFrame([("a/1_x_y.csv",), ("a/1-x-y.csv",)], "path string")
+    assert [(r.target, r.n) for r in layout.clashes(layout.by_method_and_region(two)).collect()] == [("a_y_x/1.csv", 2)]
+
+
+def test_three_stages_share_a_time_axis(spark):
+    from tidewave.sources import layout
+
+    x = spark.createDataFrame([("s", 1, None, 1.0, 2.0, 3.0), ("s", 2, None, 4.0, None, 6.0), ("u", 1, 0.5, 7.0, 8.0, None)], "stem string, t long, time_sec double, given double, `true` double, predicted double")
+    got = {(r.stem, r.stage, r.t): (r.time_sec, r.pulse) for r in layout.three_stages(x).collect()}
+    assert got == {("s", "rppg_input", 1): (0.0, 1.0), ("s", "ppg_true", 1): (0.0, 2.0), ("s", "ppg_pred", 1): (0.0, 3.0), ("u", "rppg_input", 1): (0.5, 7.0), ("u", "ppg_true", 1): (0.5, 8.0), ("u", "ppg_pred", 1): (0.5, None)}
+
+
+def test_splines_go_on_to_whole_seconds(spark):
+    from tidewave.operators import waves
+
+    at = [0.4, 1.1, 1.1, 2.0, 3.7, 4.2]
+    x = spark.createDataFrame([(1, t, t**3 - 2 * t + (5.0 if i == 2 else 0.0)) for i, t in enumerate(at)] + [(2, 0.2, 1.0)], "k long, sec double, v double")
+    got = [r.v for r in waves.at_times(x, "sec", 2.0, True).where("k = 1").orderBy("i").collect()]
+    grid = np.linspace(0, 4, 8)
+    assert np.allclose(got, grid**3 - 2 * grid)  # a cubic is its own spline, before the first sample too
+    assert waves.at_times(x, "sec", 2.0, True).where("k = 2").count() == 0
+
+
+def test_envelope_times_normal_is_the_signal(spark):
+    from tidewave.operators import waves
+
+    v = wave(301)
+    x = spark.createDataFrame([(1, i + 1, float(y)) for i, y in enumerate(v)] + [(2, 1, 0.0)], "k long, t long, v double")
+    rows = waves.over_envelope(x).where("k = 1").orderBy("i").collect()
+    assert np.allclose([r.v * r.envelope for r in rows], v) and max(abs(r.v) for r in rows) <= 1 + 1e-9
+    assert [tuple(r) for r in waves.over_envelope(x).where("k = 2").collect()] == [(2, 0, 0.0, 1e-8)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators.filters import pair_distances
+
 #: Fixed values of the grading rules: least shares within 5, 10 and 15 for the grades A to C; the bound of mean and deviation.
 BHS = (("A", 0.60, 0.85, 0.95), ("B", 0.50, 0.75, 0.90), ("C", 0.40, 0.65, 0.85))
 AAMI_MEAN, AAMI_SD = 5.0, 8.0
@@ -78,3 +80,21 @@ def over_windows(x: DataFrame, keys: list[str], true: str = "y", pred: str = "p"
     """Mean and population deviation over windows of correlation and root mean square error: one row."""
     per = errors(x, keys, true, pred)
     return per.agg(F.count(F.lit(1)).alias("windows"), *(f(c).alias(f"{c}_{n}") for c in ("r", "rmse") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+
+
+def both_scales(x: DataFrame, true: str = "y", pred: str = "p", window: int | None = None, eps: float = 1e-8) -> DataFrame:
+    """Scores of standardised predictions (k, t, true, pred) of each series: r_std, rmse_std and dtw_std against the standardised true values, and r, rmse and dtw after the predictions are put in the true values' scale.
+
+    Standardised by the population deviation. Warping distances are over the steps of their path; in the true scale both
+    signals are standardised for it once more.
+    """
+    w = Window.partitionBy("k")
+    mean, sd = F.avg("y").over(w), F.stddev_pop("y").over(w) + eps
+    rows = x.select("k", "t", F.col(true).alias("y"), F.col(pred).alias("p"))
+    rows = rows.select("k", "t", "y", "p", ((F.col("y") - mean) / sd).alias("z"), (F.col("p") * sd + mean).alias("q"))
+    scaled = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + eps)
+    first = errors(rows, ["k"], "z", "p").select("k", "n", F.col("r").alias("r_std"), F.col("rmse").alias("rmse_std"))
+    second = errors(rows, ["k"], "y", "q").select("k", "r", "rmse")
+    near = pair_distances(rows.select("k", "t", F.col("z").alias("a"), F.col("p").alias("b")), window, "path").withColumnRenamed("dtw", "dtw_std")
+    far = pair_distances(rows.select("k", "t", scaled("y").alias("a"), scaled("q").alias("b")), window, "path")
+    return first.join(second, "k").join(near, "k").join(far, "k")

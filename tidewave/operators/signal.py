@@ -34,6 +34,12 @@ def without_outliers(x: DataFrame, fence: float = 3.0) -> DataFrame:
     return x.join(quarter, "k").select("k", "t", F.when(inside, F.col("v")).alias("v"), (~inside).alias("outlier"))
 
 
+def outliers_filled(x: DataFrame, fence: float = 3.0, n: int = 4) -> DataFrame:
+    """Outliers by without_outliers put on the line between their neighbours, at the ends the mean of n samples beside the first (last) good one."""
+    told = without_outliers(x, fence)
+    return edges_filled(told.select("k", "t", "v"), n)
+
+
 def without_chord(x: DataFrame) -> DataFrame:
     """Less the line from the first to the last sample."""
     w = series("k", "t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators.filters import Step, each, matrices, packed
+from tidewave.operators.filters import Step, each, envelope, matrices, packed
 
 
 def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -217,8 +217,13 @@ def interval_spectrum(gaps: DataFrame, rate: float = 2.0) -> DataFrame:
     return _exploded(x, lambda v, n: [[one(v[i, :k]) for i, k in enumerate(n)]], ("k",), "t")
 
 
-def at_times(x: DataFrame, time: str, rate: float) -> DataFrame:
-    """k, i, v: int(rate * span) samples of each series (k, time, v) on the cubic spline through its samples, the first of those with one time."""
+def at_times(x: DataFrame, time: str, rate: float, whole_seconds: bool = False, skip: float = 0.0) -> DataFrame:
+    """k, i, v: samples of each series (k, time, v) on the cubic spline through its samples, the first of those with one time.
+
+    int(rate * span) samples from the first time to the last. With whole_seconds, as for clock times, from the whole second
+    at or before the first time, plus `skip`, to the one at or before the last: what lies before the first sample goes on by
+    the spline's outer piece.
+    """
     from tidewave.operators.signal import first_of_time
 
     rows = first_of_time(x.select("k", F.col(time).cast("double").alias("at"), "v").where("at is not null and v is not null"), "at", ["v"])
@@ -227,9 +232,22 @@ def at_times(x: DataFrame, time: str, rate: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = []
-            for at, v in zip(batch.column("at").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                a = np.asarray(at)
-                lists.append(spline(a, np.asarray(v, float), np.linspace(a[0], a[-1], int(rate * (a[-1] - a[0])))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(lists, pa.list_(pa.float64()))], ["k", "v"])
+            for at, v in zip(batch.column("at"), batch.column("v"), strict=True):
+                a, y = (c.values.to_numpy(zero_copy_only=False).astype(float) for c in (at, v))
+                first, last = (int(a[0]) + skip, int(a[-1])) if whole_seconds else (a[0], a[-1])
+                lists.append(spline(a, y, np.linspace(first, last, max(int(rate * (last - first)), 0))))
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in lists])]).astype(np.int32)), pa.array(np.concatenate([*lists, np.zeros(0)])))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), values], ["k", "v"])
 
     return series.mapInArrow(run, "k long, v array<double>").select("k", F.posexplode("v").alias("i", "v")).select("k", F.col("i").cast("long").alias("i"), "v")
+
+
+def over_envelope(x: DataFrame, keys: tuple[str, ...] = ("k",), order: str = "t") -> DataFrame:
+    """keys, i, v, envelope: each series over the magnitude of its analytic signal, and that magnitude (zeros as 1e-8)."""
+
+    def run(v: np.ndarray, n: np.ndarray) -> list[list[np.ndarray]]:
+        sizes = [envelope(v[i, :k]) for i, k in enumerate(n)]
+        sizes = [np.where(s == 0, 1e-8, s) for s in sizes]
+        return [[v[i, :k] / s for i, (k, s) in enumerate(zip(n, sizes, strict=True))], sizes]
+
+    return _exploded(x, run, keys, order, ("v", "envelope"))

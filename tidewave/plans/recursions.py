@@ -89,3 +89,21 @@ def detrended(rate: float, source: str, tag: str = "", keys: str = "k") -> str:
 def unrounded(sql: str) -> str:
     """A query of values rounded to six decimals without the rounding, as the source of another."""
     return sql.replace("round(", "(").replace(", 6) + 0.0", ")")
+
+
+def spline_through(knots: str, grid: str, keys: str = "k", tag: str = "") -> str:
+    """CTEs that end in `sq{tag}` (keys, i, v): the cubic splines through `knots` (keys, j from 0, x rising, v) at the places of `grid` (keys, i, x), beyond the ends by the outer pieces."""
+    same = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    own = lambda x: ", ".join(f"{x}.{k}" for k in keys.split(", "))
+    w = f"(PARTITION BY {keys} ORDER BY j)"
+    return f"""ka{tag} AS (SELECT *, lead(x) OVER {w} - x AS h, (lead(v) OVER {w} - v) / (lead(x) OVER {w} - x) AS d, count(*) OVER (PARTITION BY {keys}) AS n FROM {knots}),
+ kb{tag} AS MATERIALIZED (SELECT *, lag(h) OVER {w} AS hp, lag(h, 2) OVER {w} AS hpp, lag(d) OVER {w} AS dp, lag(d, 2) OVER {w} AS dpp, lead(h) OVER {w} AS hn, lead(d) OVER {w} AS dn FROM ka{tag}),
+ kc{tag} AS MATERIALIZED (SELECT {keys}, j, n, CASE WHEN n < 4 OR j = 0 THEN 0.0 WHEN j = n - 1 THEN hp + hpp ELSE h END::DOUBLE AS low, CASE WHEN n < 4 THEN 1.0 WHEN j = 0 THEN hn WHEN j = n - 1 THEN hpp ELSE 2 * (hp + h) END::DOUBLE AS mid, CASE WHEN n < 4 OR j = n - 1 THEN 0.0 WHEN j = 0 THEN h + hn ELSE hp END::DOUBLE AS up,
+  CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN coalesce(d, dp) WHEN n = 3 THEN CASE j WHEN 0 THEN d - (dn - d) / (h + hn) * h WHEN 1 THEN dp + (d - dp) / (hp + h) * hp ELSE dp + (dp - dpp) / (hp + hpp) * hp END
+   WHEN j = 0 THEN ((h + 2 * (h + hn)) * hn * d + h * h * dn) / (h + hn) WHEN j = n - 1 THEN (hp * hp * dpp + (2 * (hp + hpp) + hp) * hpp * dp) / (hp + hpp) ELSE 3 * (h * dp + hp * d) END AS b FROM kb{tag}),
+ kd{tag} AS (SELECT {keys}, j, mid, up, b FROM kc{tag} WHERE j = 0 UNION ALL SELECT {own('e')}, e.j, e.mid - e.low / d.mid * d.up, e.up, e.b - e.low / d.mid * d.b FROM kd{tag} d JOIN kc{tag} e ON {same('e', 'd')} AND e.j = d.j + 1),
+ ke{tag} AS MATERIALIZED (SELECT {own('d')}, e.n - 1 - d.j AS r, d.mid, d.up, d.b FROM kd{tag} d JOIN kc{tag} e ON {same('e', 'd')} AND e.j = d.j),
+ kf{tag} AS (SELECT {keys}, r, b / mid AS s FROM ke{tag} WHERE r = 0 UNION ALL SELECT {own('q')}, q.r, (q.b - q.up * z.s) / q.mid FROM kf{tag} z JOIN ke{tag} q ON {same('q', 'z')} AND q.r = z.r + 1),
+ kg{tag} AS MATERIALIZED (SELECT {own('a')}, a.j, a.n, a.x, a.v, a.h, lead(a.v) OVER (PARTITION BY {own('a')} ORDER BY a.j) AS v1, z.s, lead(z.s) OVER (PARTITION BY {own('a')} ORDER BY a.j) AS s1, CASE WHEN a.j = 0 THEN -1e300 ELSE a.x END AS lo, CASE WHEN a.j >= a.n - 2 THEN 1e300 ELSE a.x + a.h END AS hi FROM ka{tag} a JOIN kf{tag} z ON {same('a', 'z')} AND a.n - 1 - a.j = z.r),
+ sq{tag} AS MATERIALIZED (SELECT {own('g')}, g.i, CASE WHEN c.n = 1 THEN c.v ELSE c.v * (1 + 2 * u) * (1 - u) * (1 - u) + c.v1 * u * u * (3 - 2 * u) + c.h * u * (1 - u) * (c.s * (1 - u) - c.s1 * u) END AS v
+  FROM (SELECT g.*, c.j AS cell, (g.x - c.x) / c.h AS u FROM {grid} g JOIN kg{tag} c ON {same('g', 'c')} AND g.x >= c.lo AND g.x < c.hi AND (c.j < c.n - 1 OR c.n = 1)) g JOIN kg{tag} c ON {same('g', 'c')} AND c.j = g.cell)"""

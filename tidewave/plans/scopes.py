@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import series, whole
-from tidewave.operators import beats, colour, filters, studies
+from tidewave.operators import beats, colour, filters, metrics, signal, studies, waves
 from tidewave.plans.catalogue import _CHROM, _HB, _HG, _HR, _SG, BT, EV, ORACLE_SQL, R6, R9, RGB, _values, query, r6
-from tidewave.plans.recursions import both_ways, detrended, spline, strongest, unrounded, without_strongest
+from tidewave.plans.recursions import both_ways, detrended, spline, spline_through, strongest, unrounded, without_strongest
 from tidewave.plans.shapes import _CHECK1, _PIXELS, _TURNS, _pixels
-from tidewave.sources.tables import colour_traces, event_signals, recording_traces
+from tidewave.sources import layout, recordings
+from tidewave.sources.tables import colour_traces, event_signals, recording_traces, table
 
 #: Butterworth filters at 30 samples a second by the bilinear transform, forward (b) and back (a) weights.
 BAND1 = ([0.19359960593003397, 0.0, -0.19359960593003397], [1.0, -1.5323732325771309, 0.612800788139932])  # first order, 0.75 to 3 Hz
@@ -209,8 +210,8 @@ _POS = f"ev AS MATERIALIZED ({unrounded(ORACLE_SQL['pulse_pos'])})"
 ORACLE_SQL["filt_chain"] = f"""WITH RECURSIVE {_POS}, {detrended(30, 'ev')}, {both_ways(*BAND1, source='dt')}, c(i, j, w) AS (VALUES {_SG}), p AS (SELECT k, t, v, greatest(1, least(t - 8, n - 16)) AS a FROM y JOIN n USING (k) WHERE n >= 17)
 SELECT p.k, p.t, {R6('sum(w * y.v)')} AS v FROM p JOIN c ON c.i = p.t - a JOIN y ON y.k = p.k AND y.t = a + c.j GROUP BY p.k, p.t"""
 _ONE = _CHROM.rsplit(', n AS', 1)[0]
-ORACLE_SQL["filt_envelope"] = f"""WITH RECURSIVE {_ONE}, {both_ways(*BAND1)}, h AS (SELECT a.k, a.t, max(a.v) AS v, sum(CASE WHEN (a.t - b.t) % 2 = 0 AND n % 2 = 0 OR a.t = b.t THEN 0 WHEN n % 2 = 0 THEN b.v * 2 / n / tan(pi() * (a.t - b.t) / n) ELSE b.v / n * (cos(pi() * (a.t - b.t) / n) - CASE WHEN (a.t - b.t) % 2 = 0 THEN 1 ELSE -1 END) / sin(pi() * (a.t - b.t) / n) END) AS q FROM y a JOIN y b ON a.k = b.k JOIN n ON n.k = a.k GROUP BY a.k, a.t)
-SELECT k, t, {R6('v / CASE WHEN v * v + q * q = 0 THEN 1e-8 ELSE sqrt(v * v + q * q) END')} AS v FROM h"""
+_HILBERT = """h AS (SELECT a.k, a.t, max(a.v) AS v, sum(CASE WHEN (a.t - b.t) % 2 = 0 AND n % 2 = 0 OR a.t = b.t THEN 0 WHEN n % 2 = 0 THEN b.v * 2 / n / tan(pi() * (a.t - b.t) / n) ELSE b.v / n * (cos(pi() * (a.t - b.t) / n) - CASE WHEN (a.t - b.t) % 2 = 0 THEN 1 ELSE -1 END) / sin(pi() * (a.t - b.t) / n) END) AS q FROM y a JOIN y b ON a.k = b.k JOIN n ON n.k = a.k GROUP BY a.k, a.t)"""
+ORACLE_SQL["filt_envelope"] = f"""WITH RECURSIVE {_ONE}, {both_ways(*BAND1)}, {_HILBERT} SELECT k, t, {R6('v / CASE WHEN v * v + q * q = 0 THEN 1e-8 ELSE sqrt(v * v + q * q) END')} AS v FROM h"""
 _RESAMPLED = unrounded(ORACLE_SQL["sig_resample_poly"]).replace(EV, f"{RGB}, ev AS (SELECT k, t, -g AS v FROM rgb)")
 ORACLE_SQL["ppg_preprocess"] = f"WITH RECURSIVE rs AS MATERIALIZED (SELECT k, i + 1 AS t, v FROM ({_RESAMPLED})), {detrended(30, 'rs')}, {both_ways(*BANDP, source='dt')} SELECT k, t - 1 AS t, {R6('-v')} AS v FROM y"
 ORACLE_SQL["sig_upsample_cubic"] = f"WITH RECURSIVE {EV}, sr AS (SELECT k, t - 1 AS j, v FROM ev), {spline(120, 'sr')} SELECT k, i, {R6('v')} AS v FROM sp"
@@ -286,3 +287,151 @@ def study_beat_contours(spark, d):
 def study_features(spark, d):
     mean, _, _ = studies.study_features(_study(spark, d), 30.0, 12, 120)
     return mean.select("k", "beats", *(r6(c, 4).alias(c) for c in ("cn_t1", "cn_t_div", "cn_systolic_share", "cn_width50", "dr_ageing", "dr_b_a", "dr_v_top")))
+
+
+# splines through uneven times
+
+_TIMES = f"{EV}, tm AS (SELECT k, (t + t % 3) / 6.0::DOUBLE AS x, v FROM ev), kn AS MATERIALIZED (SELECT k, x, v, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS j FROM (SELECT k, x, min(v) AS v FROM tm GROUP BY k, x))"
+
+
+def _grid(first: str, last: str, rate: str) -> str:
+    return f"gs AS (SELECT k, {first} AS f, {last} AS l, CAST(floor({rate} * (({last}) - ({first}))) AS BIGINT) AS m FROM kn GROUP BY k), gr AS MATERIALIZED (SELECT k, i, CASE WHEN m > 1 THEN f + (l - f) * (i / (m - 1)::DOUBLE) ELSE f END AS x FROM gs, range(0, 10000) r(i) WHERE i < m)"
+
+
+ORACLE_SQL["sig_at_times"] = f"WITH RECURSIVE {_TIMES}, {_grid('min(x)', 'max(x)', '4.0::DOUBLE')}, {spline_through('kn', 'gr')} SELECT k, i, {R6('v')} AS v FROM sq"
+
+
+@query(f"WITH RECURSIVE {_TIMES}, {_grid('floor(min(x)) + 1', 'floor(max(x))', '4.0::DOUBLE')}, {spline_through('kn', 'gr')} SELECT k, i, {R6('v')} AS v FROM sq")
+def sig_at_whole_seconds(spark, d):
+    x = event_signals(spark, d).select("k", ((F.col("t") + F.col("t") % 3) / 6.0).alias("sec"), "v")
+    return waves.at_times(x, "sec", 4.0, True, 1.0).select("k", "i", r6("v").alias("v"))
+
+
+@query(f"WITH RECURSIVE {_ONE}, {both_ways(*BAND1)}, {_HILBERT} SELECT k, t - 1 AS i, {R6('v / CASE WHEN e = 0 THEN 1e-8 ELSE e END')} AS v, {R6('CASE WHEN e = 0 THEN 1e-8 ELSE e END')} AS envelope FROM (SELECT *, sqrt(v * v + q * q) AS e FROM h)")
+def filt_over_envelope(spark, d):
+    return waves.over_envelope(_study(spark, d)).select("k", "i", r6("v").alias("v"), r6("envelope").alias("envelope"))
+
+
+@query(f"""WITH ev0 AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS v FROM events), ev AS (SELECT k, t, CASE WHEN t % 17 = 1 THEN v + 100000 ELSE v END AS v FROM ev0),
+ qu AS (SELECT k, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM ev GROUP BY k), hole AS (SELECT ev.k, t, CASE WHEN v BETWEEN a - 3 * (b - a) AND b + 3 * (b - a) THEN v END AS v FROM ev JOIN qu ON ev.k = qu.k),
+ g AS (SELECT *, min(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY k) AS a, max(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY k) AS b FROM hole),
+ h AS (SELECT *, avg(CASE WHEN t > a AND t <= a + 4 THEN v END) OVER (PARTITION BY k) AS head, avg(CASE WHEN t < b AND t >= b - 4 THEN v END) OVER (PARTITION BY k) AS tail,
+ last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY k ORDER BY t) AS t0, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY t) AS v0,
+ first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1,
+ first_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1 FROM g)
+SELECT k, t, {R6('CASE WHEN t < a THEN head WHEN t > b THEN tail ELSE coalesce(v, v0 + (v1 - v0) * (t - t0) / nullif(t1 - t0, 0)) END')} AS v FROM h""")
+def sig_outliers_filled(spark, d):
+    x = event_signals(spark, d).select("k", "t", F.when(F.col("t") % 17 == 1, F.col("v") + 100000).otherwise(F.col("v")).alias("v"))
+    return _values(signal.outliers_filled(x))
+
+
+# scores of predictions in both scales
+
+_STEPS = "CASE WHEN one[i] <= one[i + 1] AND one[i] <= two[i] THEN 1 + s1[i] WHEN one[i + 1] <= two[i] THEN 1 + s1[i + 1] ELSE 1 + s2[i] END"
+
+
+def _paths(pairs: str, reach: int, tag: str) -> str:
+    """CTEs that end in `wp{tag}` (k, dtw): warping distances over the steps of the path."""
+    cell = f"CASE WHEN i < 1 OR i > n OR d + 1 - i < 1 OR d + 1 - i > n OR abs(2 * i - d - 1) > {reach} THEN 'inf'::DOUBLE ELSE (a[i] - b[d + 1 - i]) * (a[i] - b[d + 1 - i]) + least(one[i], one[i + 1], two[i]) END"
+    start = lambda zero, other: f"list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN {zero} ELSE {other} END)"
+    return f"""pk{tag} AS MATERIALIZED (SELECT k, count(*) AS n, list(a ORDER BY t) AS a, list(b ORDER BY t) AS b FROM {pairs} GROUP BY k),
+ dg{tag} AS (SELECT k, n, a, b, 0 AS d, {start("0.0::DOUBLE", "'inf'::DOUBLE")} AS one, {start("'inf'::DOUBLE", "'inf'::DOUBLE")} AS two, {start("0", "0")} AS s1, {start("0", "0")} AS s2 FROM pk{tag}
+  UNION ALL SELECT k, n, a, b, d + 1, list_transform(range(0, n + 1), lambda i: {cell}), one, list_transform(range(0, n + 1), lambda i: CASE WHEN i < 1 THEN 0 ELSE {_STEPS} END), s1 FROM dg{tag} WHERE d < 2 * n),
+ wp{tag} AS (SELECT k, sqrt(one[n + 1] / greatest(s1[n + 1], 1)) AS dtw FROM dg{tag} WHERE d = 2 * n)"""
+
+
+_SCORED = f"""{RGB}, {EV}, jo AS (SELECT rgb.k, rgb.t, v AS y, (g - avg(g) OVER w) / (stddev_pop(g) OVER w + 1e-8) AS p FROM rgb JOIN ev ON rgb.k = ev.k AND rgb.t = ev.t WINDOW w AS (PARTITION BY rgb.k)),
+ bo AS MATERIALIZED (SELECT k, t, y, p, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-8) AS z, p * (stddev_pop(y) OVER w + 1e-8) + avg(y) OVER w AS q FROM jo WINDOW w AS (PARTITION BY k)),
+ zq AS MATERIALIZED (SELECT k, t, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-8) AS a, (q - avg(q) OVER w) / (stddev_pop(q) OVER w + 1e-8) AS b FROM bo WINDOW w AS (PARTITION BY k)), zp AS (SELECT k, t, z AS a, p AS b FROM bo)"""
+
+
+@query(f"""WITH RECURSIVE {_SCORED}, {_paths('zp', 10, '1')}, {_paths('zq', 10, '2')},
+ er AS (SELECT k, count(*) AS n, covar_pop(z, p) / (stddev_pop(z) * stddev_pop(p) + 1e-12) AS r_std, sqrt(avg((p - z) * (p - z))) AS rmse_std, covar_pop(y, q) / (stddev_pop(y) * stddev_pop(q) + 1e-12) AS r, sqrt(avg((q - y) * (q - y))) AS rmse FROM bo GROUP BY k)
+SELECT k, n, {R6('r_std')} AS r_std, {R6('rmse_std')} AS rmse_std, {R6('a.dtw')} AS dtw_std, {R6('r')} AS r, {R6('rmse')} AS rmse, {R6('b.dtw')} AS dtw FROM er JOIN wp1 a USING (k) JOIN wp2 b USING (k)""")
+def eval_both_scales(spark, d):
+    """A standardised trace as the prediction of its subject's reference signal."""
+    both = colour_traces(spark, d).join(event_signals(spark, d).select("k", "t", F.col("v").alias("y")), ["k", "t"])
+    w = whole("k")
+    guess = both.select("k", "t", "y", ((F.col("g") - F.avg("g").over(w)) / (F.stddev_pop("g").over(w) + 1e-8)).alias("p"))
+    told = metrics.both_scales(guess, window=10)
+    return told.select("k", "n", *(r6(c).alias(c) for c in ("r_std", "rmse_std", "dtw_std", "r", "rmse", "dtw")))
+
+
+# layouts of files, on paths made of the tables' names
+
+_FLAT_PATHS = "SELECT 'study/' || (['CHROM', 'LGI', 'POS'])[1 + s_suppkey % 3] || '/' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || CASE WHEN s_suppkey % 2 = 0 THEN '_Before_' ELSE '_after_' END || CASE WHEN s_suppkey % 5 = 0 THEN '12' ELSE lower(substr(n_name, 1, 5)) END || '.csv' AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+_DEEP_PATHS = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '/video/images-' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '_FullHDwebcam_' || CASE WHEN s_suppkey % 7 = 0 THEN 'after' ELSE 'before' END || '/rPPG-pulse/' || m || '/' || r || '/bandpass_pulse.csv' AS path
+ FROM supplier, (SELECT unnest(['CHROM', 'LGI', 'GREEN']) AS m), (SELECT unnest(['roi_3', 'Left-Cheek', 'chin']) AS r) WHERE (s_suppkey + length(m) + length(r)) % 4 <> 0 UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '/' || CASE WHEN s_suppkey % 2 = 0 THEN 'b' ELSE 'a' END || '_PPG_' || x || '.csv' FROM supplier, (SELECT unnest(['before', 'after']) AS x)"""
+
+
+def _flat_paths(spark, d):
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n = F.col("s_suppkey")
+    method = F.element_at(F.array(*map(F.lit, ("CHROM", "LGI", "POS"))), (1 + n % 3).cast("int"))
+    return rows.select(F.concat(F.lit("study/"), method, F.lit("/"), F.lpad(n.cast("string"), 3, "0"), F.when(n % 2 == 0, "_Before_").otherwise("_after_"), F.when(n % 5 == 0, "12").otherwise(F.lower(F.substring("n_name", 1, 5))), F.lit(".csv")).alias("path"))
+
+
+def _deep_paths(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", F.lpad(F.col("s_suppkey").cast("string"), 3, "0").alias("s"))
+    each = rows.withColumn("m", F.explode(F.array(*map(F.lit, ("CHROM", "LGI", "GREEN"))))).withColumn("r", F.explode(F.array(*map(F.lit, ("roi_3", "Left-Cheek", "chin")))))
+    each = each.where((F.col("s_suppkey") + F.length("m") + F.length("r")) % 4 != 0)
+    waves_ = each.select(F.concat("s", F.lit("/video/images-"), "s", F.lit("_FullHDwebcam_"), F.when(F.col("s_suppkey") % 7 == 0, "after").otherwise("before"), F.lit("/rPPG-pulse/"), "m", F.lit("/"), "r", F.lit("/bandpass_pulse.csv")).alias("path"))
+    signals = rows.select("*", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("x")).select(F.concat("s", F.lit("/"), F.when(F.col("s_suppkey") % 2 == 0, "b").otherwise("a"), F.lit("_PPG_"), "x", F.lit(".csv")).alias("path"))
+    return waves_.unionByName(signals)
+
+
+@query(f"""SELECT path AS source, CASE WHEN regexp_matches(lower(split_part(path, '/', 3)), '^\\d+[_-]?[a-z]+[_-]?[a-z]+') THEN split_part(path, '/', 2) || '_' || regexp_extract(lower(split_part(path, '/', 3)), '^(\\d+)[_-]?([a-z]+)[_-]?([a-z]+)', 3) || '_' || regexp_extract(lower(split_part(path, '/', 3)), '^(\\d+)[_-]?([a-z]+)[_-]?([a-z]+)', 2)
+ || '/' || regexp_extract(lower(split_part(path, '/', 3)), '^(\\d+)', 1) || '.csv' END AS target FROM ({_FLAT_PATHS}) WHERE path NOT LIKE '%12.csv' UNION ALL
+ SELECT path, split_part(path, '/', 2) || '_' || right(p, 1) || '_' || left(p, length(p) - 1) || '/' || left(split_part(path, '/', 3), 3) || '.csv' FROM (SELECT path, lower(split_part(split_part(path, '/', 3), '_', 2)) AS p FROM ({_FLAT_PATHS})) WHERE path LIKE '%12.csv'""")
+def layout_by_region(spark, d):
+    return layout.by_method_and_region(_flat_paths(spark, d))
+
+
+@query(f"""SELECT path AS source, split_part(path, '/', 5) || '/' || split_part(path, '/', 1) || '_' || CASE WHEN path LIKE '%_before/%' THEN 'before' ELSE 'after' END || '_' || CASE split_part(path, '/', 6) WHEN 'roi_3' THEN 'roi03' WHEN 'chin' THEN 'chin' ELSE 'leftchee' END || '.csv' AS target FROM ({_DEEP_PATHS}) WHERE path LIKE '%/rPPG-pulse/%' AND split_part(path, '/', 5) <> 'GREEN'
+ UNION ALL SELECT min(path), 'PPG/' || split_part(path, '/', 1) || '_after.csv' FROM ({_DEEP_PATHS}) WHERE path NOT LIKE '%/rPPG-pulse/%' GROUP BY split_part(path, '/', 1)""")
+def layout_by_method(spark, d):
+    return layout.by_method(_deep_paths(spark, d))
+
+
+_WANTED = "SELECT lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS subject, method, region, lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '/video/images-' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '_FullHDwebcam_before/rPPG-pulse/' || method || '/' || region || '/bandpass_pulse.csv' AS path FROM supplier, (SELECT unnest(['CHROM', 'POS']) AS method), (SELECT unnest(['chin', 'roi_3']) AS region)"
+
+
+def _wanted(spark, d):
+    subjects = table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 3, "0").alias("subject"))
+    return layout.expected(subjects, ["CHROM", "POS"], ["chin", "roi_3"])
+
+
+@query(f"SELECT * FROM ({_WANTED}) WHERE path NOT IN ({_DEEP_PATHS})")
+def layout_missing(spark, d):
+    return layout.missing(_deep_paths(spark, d), _wanted(spark, d))
+
+
+@query(f"SELECT path AS source, method || '_' || region || '_before/' || subject || '.csv' AS target FROM ({_WANTED}) WHERE path IN ({_DEEP_PATHS})")
+def layout_by_subject(spark, d):
+    return layout.by_subject(_deep_paths(spark, d), _wanted(spark, d))
+
+
+@query("SELECT sid, arg_max(path, row(o, path)) AS path FROM (SELECT o_custkey % 997 AS sid, 'x/' || o_clerk0 || '/' || lpad(CAST(o_custkey % 997 AS VARCHAR), 3, '0') || '_' || substr(o_orderpriority, 3, 3) || (['.csv', '.txt', '.CSV', '.dat'])[1 + o_orderkey % 4] AS path, ([1, 3, 2, 0])[1 + o_orderkey % 4] AS o FROM (SELECT *, CAST(o_orderkey % 13 AS VARCHAR) AS o_clerk0 FROM orders)) WHERE o > 0 GROUP BY sid")
+def index_sid_last(spark, d):
+    x = table(spark, d, "orders")
+    suffix = F.element_at(F.array(*map(F.lit, (".csv", ".txt", ".CSV", ".dat"))), (1 + F.col("o_orderkey") % 4).cast("int"))
+    path = F.concat(F.lit("x/"), (F.col("o_orderkey") % 13).cast("string"), F.lit("/"), F.lpad((F.col("o_custkey") % 997).cast("string"), 3, "0"), F.lit("_"), F.substring("o_orderpriority", 3, 3), suffix)
+    return layout.index_by_subject(x.select(path.alias("path")))
+
+
+# recordings' text as it lies in files
+
+
+
+
+@query("""WITH e AS (SELECT 'f' || user_id AS file, user_id % 4 AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value AS v FROM events)
+SELECT file, n - 1 AS "row", CASE WHEN kind < 3 THEN n / 8.0::DOUBLE END AS time_sec, CASE WHEN n % 11 = 0 THEN NULL ELSE round(v, 4) + 0.0 END AS value, n % 11 = 0 AS bad FROM e""")
+def scan_mixed_text(spark, d):
+    """Signals written as lines of four forms, each eleventh value a word, read back."""
+    x = event_signals(spark, d).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), (F.col("k") % 4).alias("kind"), "t", (F.round("v", 4) + 0.0).alias("v"))
+    value = F.when(F.col("t") % 11 == 0, "none").otherwise(F.col("v").cast("string"))
+    sec = (F.col("t") / 8).cast("string")
+    line = F.when(F.col("kind") == 0, F.concat(sec, F.lit(","), value)).when(F.col("kind") == 1, F.concat(value, F.lit(";x;"), sec)).when(F.col("kind") == 2, F.concat(F.lit(" "), sec, F.lit("\t"), value)).otherwise(value)
+    heads = x.where("t = 1").select("file", F.lit(0).cast("long").alias("place"), F.when(F.col("kind") == 0, "time_sec,Pulse").when(F.col("kind") == 1, "PPG;note;Timestamp").alias("value")).where("value is not null")
+    lines = x.select("file", F.col("t").alias("place"), line.alias("value")).unionByName(heads)
+    return recordings.parsed(lines)
