@@ -21,9 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session holds Spark's default: 10,000 long texts would be 34 MB and more, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows over all cores when the input comes in fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Deal the rows over all cores when the input comes in fewer splits than there are cores; bound the session's Arrow batches, unless it has a bound of its own."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCHES, "64m") in ("64m", f"{64 << 20}b", str(64 << 20)):  # Spark's own
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

@@ -30,7 +30,7 @@ SALTS = 1024
 #: Items of one length and salt at most, on average: with more items of a length there are more salts.
 PER_SALT = 1_000_000
 #: Words that a worker remembers the ids of; beyond it the memory starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Stands between words that go through the library together, so many in a line; words that hold it go alone.
 SEPARATOR, TOGETHER = "\0", 64
 
