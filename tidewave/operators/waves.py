@@ -210,7 +210,7 @@ def interval_spectrum(gaps: DataFrame, rate: float = 2.0) -> DataFrame:
             return np.zeros(0)
         v = np.interp(np.arange(len(v)), good, v[good])
         at = np.cumsum(v)
-        even = spline(at, v, np.arange(at[0], at[-1], 1 / rate))
+        even = spline(at, v, at[0] + np.arange(int(np.ceil((at[-1] - at[0]) * rate - 1e-9))) / rate)  # a last place that only rounding keeps from the end is the end
         return np.abs(np.fft.fft(even))[: -(-len(even) // 2)]
 
     x = gaps.select("k", "t", F.col("ibi").alias("v"))

@@ -435,3 +435,28 @@ def scan_mixed_text(spark, d):
     heads = x.where("t = 1").select("file", F.lit(0).cast("long").alias("place"), F.when(F.col("kind") == 0, "time_sec,Pulse").when(F.col("kind") == 1, "PPG;note;Timestamp").alias("value")).where("value is not null")
     lines = x.select("file", F.col("t").alias("place"), line.alias("value")).unionByName(heads)
     return recordings.parsed(lines)
+
+
+# envelopes through extrema and spectra of intervals
+
+_SIDES = f"""xr AS MATERIALIZED (SELECT ev.*, count(*) OVER (PARTITION BY k) AS n, min(v) OVER b AS lb, min(v) OVER f AS lf, max(v) OVER b AS hb, max(v) OVER f AS hf FROM ev WINDOW b AS (PARTITION BY k ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY k ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+ xs AS (SELECT k, t, v, true AS side FROM xr WHERE t > 1 AND t < n AND v > hb AND v > hf UNION ALL SELECT k, t, v, false FROM xr WHERE t > 1 AND t < n AND v < lb AND v < lf),
+ kn AS MATERIALIZED (SELECT k, side, CAST(t AS DOUBLE) AS x, v, row_number() OVER (PARTITION BY k, side ORDER BY t) - 1 AS j FROM xs QUALIFY count(*) OVER (PARTITION BY k, side) > 1),
+ sp0 AS MATERIALIZED (SELECT k, side, min(x) AS a, max(x) AS b FROM kn GROUP BY k, side), gr AS MATERIALIZED (SELECT ev.k, side, t AS i, CAST(t AS DOUBLE) AS x FROM ev JOIN sp0 USING (k) WHERE t BETWEEN a AND b)"""
+
+
+def _envelope_sql() -> str:
+    ends = "CASE WHEN t < a AND a + 4 > b THEN NULL WHEN t < a THEN (SELECT avg(v) FROM sq WHERE sq.k = o.k AND sq.side = o.side AND sq.i > o.a AND sq.i <= o.a + 4) WHEN t > b THEN (SELECT avg(v) FROM sq WHERE sq.k = o.k AND sq.side = o.side AND sq.i < o.b AND sq.i >= o.b - 4) ELSE s END"
+    rows = f"(SELECT k, t, side, {ends} AS e FROM (SELECT ev.k, ev.t, sp0.side, a, b, sq.v AS s FROM ev JOIN sp0 USING (k) LEFT JOIN sq ON sq.k = ev.k AND sq.side = sp0.side AND sq.i = ev.t) o)"
+    return f"WITH RECURSIVE {EV}, {_SIDES}, {spline_through('kn', 'gr', 'k, side')} SELECT ev.k, ev.t - 1 AS i, {R6('max(e) FILTER (WHERE side)')} AS upper, {R6('max(e) FILTER (WHERE NOT side)')} AS lower FROM ev LEFT JOIN {rows} r ON r.k = ev.k AND r.t = ev.t GROUP BY ev.k, ev.t"
+
+
+ORACLE_SQL["sig_envelopes"] = _envelope_sql()
+
+_INTERVALS = f"""xr AS MATERIALIZED (SELECT ev.*, min(v) OVER b AS lb, min(v) OVER f AS lf FROM ev WINDOW b AS (PARTITION BY k ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY k ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+ vl AS (SELECT k, t, (lead(t) OVER (PARTITION BY k ORDER BY t) - t) / 6.0::DOUBLE AS g FROM xr WHERE coalesce(v < lb AND v < lf, false)), ib AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t) AS p, CASE WHEN g BETWEEN 0.33 AND 1.5 THEN g END AS g FROM vl),
+ nr AS (SELECT *, count(g) OVER (PARTITION BY k) AS good, last_value(CASE WHEN g IS NOT NULL THEN p END IGNORE NULLS) OVER a AS p0, last_value(g IGNORE NULLS) OVER a AS g0, first_value(CASE WHEN g IS NOT NULL THEN p END IGNORE NULLS) OVER z AS p1, first_value(g IGNORE NULLS) OVER z AS g1 FROM ib WINDOW a AS (PARTITION BY k ORDER BY p), z AS (PARTITION BY k ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ fi AS (SELECT k, p, coalesce(g, g0 + (g1 - g0) * (p - p0) / (p1 - p0), g0, g1) AS v FROM nr WHERE good > 1), kn AS MATERIALIZED (SELECT k, p - 1 AS j, sum(v) OVER (PARTITION BY k ORDER BY p) AS x, v FROM fi),
+ gs AS (SELECT k, min(x) AS f, CAST(ceil((max(x) - min(x)) * 2 - 1e-9) AS BIGINT) AS m FROM kn GROUP BY k), gr AS MATERIALIZED (SELECT k, i, f + i * 0.5::DOUBLE AS x FROM gs, range(0, 10000) r(i) WHERE i < m)"""
+ORACLE_SQL["sig_interval_spectrum"] = f"""WITH RECURSIVE {EV}, {_INTERVALS}, {spline_through('kn', 'gr')}, co AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM sq),
+ ft AS (SELECT co.k, b.i, sum(v * cos(2 * pi() * ((b.i * co.i) % n) / n)) AS c, sum(v * sin(2 * pi() * ((b.i * co.i) % n) / n)) AS s FROM co JOIN range(0, 1000) b(i) ON b.i < ceil(n / 2) GROUP BY co.k, b.i) SELECT k, i, {R6('sqrt(c * c + s * s)')} AS v FROM ft"""
