@@ -231,3 +231,22 @@ def test_envelope_times_normal_is_the_signal(spark):
     rows = waves.over_envelope(x).where("k = 1").orderBy("i").collect()
     assert np.allclose([r.v * r.envelope for r in rows], v) and max(abs(r.v) for r in rows) <= 1 + 1e-9
     assert [tuple(r) for r in waves.over_envelope(x).where("k = 2").collect()] == [(2, 0, 0.0, 1e-8)]
+
+
+def test_a_recording_spread_over_batches_is_computed_whole(spark, tmp_path):
+    from tidewave.operators import signal
+    from tidewave.streaming import batches
+
+    rows = [(k, t, float((t * 7 * k) % 13), 40) for k in (1, 2, 3) for t in range(1, 41)]
+    df = spark.createDataFrame(rows, "k long, t long, v double, n long")
+    places = [str(tmp_path / x) for x in ("in", "out", "cp")]
+    cuts = ["k = 1 and t > 25", "(k = 1 and t <= 25 and t > 3) or (k = 2 and t % 2 = 0)", "k = 1 and t <= 4 or k = 2 and t % 2 = 1", "k = 3 and t < 40"]
+    seen = []
+    for cut in cuts:
+        df.where(cut).coalesce(1).write.mode("append").parquet(places[0])
+        batches.follow_whole(spark, places[0], df.schema, signal.reversed_signal, places[1], places[2], "n").awaitTermination(120)
+        seen.append(sorted({r.k for r in spark.read.parquet(places[1]).collect()}) if (tmp_path / "out").exists() and any((tmp_path / "out").rglob("*.parquet")) else [])
+    assert seen == [[], [], [1, 2], [1, 2]]  # the third recording still lacks its last sample
+    got = {(r.k, r.t): r.v for r in spark.read.parquet(places[1]).collect()}
+    want = {(r.k, r.t): r.v for r in signal.reversed_signal(df.where("k < 3")).collect()}
+    assert got == want

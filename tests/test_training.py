@@ -137,3 +137,22 @@ def test_warping_of_many_pairs_equals_one_by_one():
             got = filters.dtw_many(a, b, n, window, how)
             want = [filters.dtw(a[i, : n[i]], b[i, : n[i]], window, how) for i in range(5)]
             assert np.allclose(got, want), (window, how)
+
+
+def test_quality_head_and_masked_attention_equal_loops():
+    rng = np.random.RandomState(6)
+    w = networks.seeded(networks.quality_shapes(2, 3, 5), 1)
+    x = rng.normal(size=(2, 9, 2))
+    got = networks.quality_head(x, w)
+    for i in range(2):
+        wide = np.pad(x[i], ((2, 2), (0, 0)))
+        hidden = np.array([[max(0.0, (w["quality.conv1"][o] * wide[t : t + 5].T).sum() + w["quality.bias1"][o]) for o in range(3)] for t in range(9)])
+        wide = np.pad(hidden, ((2, 2), (0, 0)))
+        want = [1 / (1 + np.exp(-((w["quality.conv2"][0] * wide[t : t + 5].T).sum() + w["quality.bias2"][0]))) for t in range(9)]
+        assert np.allclose(got[i], want)
+    a = networks.seeded(networks.recurrent_shapes(2, (2,), True), 2)
+    mask = np.array([[1, 1, 0, 0, 1, 1, 1, 1, 1]] * 2)
+    there = mask[0] == 1
+    assert np.allclose(networks.attention(x, a, "attention", mask)[:, there], networks.attention(x[:, there], a, "attention"))
+    both = networks.recurrent_with_quality(1)(x, {**networks.seeded(networks.recurrent_shapes(2, (2,)), 3), **w})
+    assert both.shape == (2, 9)

@@ -48,17 +48,22 @@ def ensemble_mean(x: DataFrame, keys: list[str], fold: str = "fold", pred: str =
 
 
 def window_losses(x: DataFrame, keys: list[str], weight: str, true: str = "y", pred: str = "p", eps: float = 1e-8) -> DataFrame:
-    """Training losses of each window: mean absolute error plain and weighted, 1 - r^2 plain and weighted, and the plain ones' sum."""
-    e, w = F.abs(F.col(pred) - F.col(true)), F.col(weight)
-    share = F.greatest(F.sum(w), F.lit(eps))
-    raw = x.groupBy(*keys).agg(
-        F.avg(e).alias("mae"), (F.sum(w * e) / share).alias("weighted_mae"), F.covar_pop(pred, true).alias("c"), F.var_pop(pred).alias("vp"), F.var_pop(true).alias("vt"),
-        *((F.sum(w * v) / share).alias(n) for n, v in {"wp": F.col(pred), "wt": F.col(true), "wpp": F.col(pred) ** 2, "wtt": F.col(true) ** 2, "wpt": F.col(pred) * F.col(true), "w1": F.lit(1.0)}.items()),
+    """Training losses of each window: mean absolute error plain and weighted, 1 - r^2 plain and weighted, and the plain ones' sum.
+
+    Weighted moments are taken from the weighted means, which a first pass finds on the same exchange: large offsets cost no digits.
+    """
+    every = Window.partitionBy(*keys)
+    total = F.greatest(F.sum(weight).over(every), F.lit(eps))
+    rows = x.select(*keys, F.col(true).alias("t"), F.col(pred).alias("g"), (F.col(weight) / total).alias("w"), (F.sum(F.col(weight) * F.col(pred)).over(every) / total).alias("mg"), (F.sum(F.col(weight) * F.col(true)).over(every) / total).alias("mt"))
+    w, g, t, e = F.col("w"), F.col("g") - F.col("mg"), F.col("t") - F.col("mt"), F.abs(F.col("g") - F.col("t"))
+    raw = rows.groupBy(*keys).agg(
+        F.avg(e).alias("mae"), F.sum(w * e).alias("weighted_mae"), F.covar_pop("g", "t").alias("c"), F.var_pop("g").alias("vg"), F.var_pop("t").alias("vt"),
+        F.sum(w * g * t).alias("wc"), F.sum(w * g * g).alias("wg"), F.sum(w * t * t).alias("wt"),
     )
     c = F.col
-    root = lambda v: F.sqrt(F.greatest(v, F.lit(eps)))
-    weighted = (c("wpt") - (2 - c("w1")) * c("wp") * c("wt")) / (root(c("wpp") - (2 - c("w1")) * c("wp") ** 2) * root(c("wtt") - (2 - c("w1")) * c("wt") ** 2) + eps)
-    told = raw.select(*keys, "mae", "weighted_mae", (1 - (c("c") / (root(c("vp")) * root(c("vt")) + eps)) ** 2).alias("corr"), (1 - weighted**2).alias("weighted_corr"))
+    root = lambda v: F.sqrt(F.greatest(c(v), F.lit(eps)))
+    loss = lambda cov, a, b: 1 - (c(cov) / (root(a) * root(b) + eps)) ** 2
+    told = raw.select(*keys, "mae", "weighted_mae", loss("c", "vg", "vt").alias("corr"), loss("wc", "wg", "wt").alias("weighted_corr"))
     return told.withColumn("mae_and_corr", c("mae") + c("corr"))
 
 
