@@ -74,11 +74,11 @@ def common_shingles(docs: DataFrame, n: int, common: float = COMMON) -> tuple[np
     """Hash (ascending) and number of documents of every shingle that at least common * n documents have."""
 
     def gather(batches):
-        held, n_held, n_docs = [], 0, 0
+        before, held, n_held, n_docs = ([], 0), [], 0, 0
 
-        def flush():
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= max(1.0, common / 2 * n_docs)
+        def flush(parts, documents):
+            found, times = np.unique(np.concatenate(parts), return_counts=True)
+            keep = times >= max(1.0, common / 2 * documents)
             return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["shingle", "n"])
 
         for part in text_pieces(batches, _PIECE):
@@ -87,10 +87,11 @@ def common_shingles(docs: DataFrame, n: int, common: float = COMMON) -> tuple[np
             n_held += len(hashes)
             n_docs += part.num_rows
             if n_held >= _UNIT:
-                yield flush()
-                held, n_held, n_docs = [], 0, 0
-        if n_held:
-            yield flush()
+                if before[0]:
+                    yield flush(*before)
+                before, held, n_held, n_docs = (held, n_docs), [], 0, 0
+        if before[0] or n_held:  # what is left goes with the last unit: by itself it would be a few documents, of which every shingle would pass
+            yield flush(before[0] + held, before[1] + n_docs)
 
     likely = docs.mapInArrow(gather, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n).select("shingle")
     found = np.sort(likely.toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))  # at most 2 / common times the mean number
