@@ -460,3 +460,15 @@ _INTERVALS = f"""xr AS MATERIALIZED (SELECT ev.*, min(v) OVER b AS lb, min(v) OV
  gs AS (SELECT k, min(x) AS f, CAST(ceil((max(x) - min(x)) * 2 - 1e-9) AS BIGINT) AS m FROM kn GROUP BY k), gr AS MATERIALIZED (SELECT k, i, f + i * 0.5::DOUBLE AS x FROM gs, range(0, 10000) r(i) WHERE i < m)"""
 ORACLE_SQL["sig_interval_spectrum"] = f"""WITH RECURSIVE {EV}, {_INTERVALS}, {spline_through('kn', 'gr')}, co AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM sq),
  ft AS (SELECT co.k, b.i, sum(v * cos(2 * pi() * ((b.i * co.i) % n) / n)) AS c, sum(v * sin(2 * pi() * ((b.i * co.i) % n) / n)) AS s FROM co JOIN range(0, 1000) b(i) ON b.i < ceil(n / 2) GROUP BY co.k, b.i) SELECT k, i, {R6('sqrt(c * c + s * s)')} AS v FROM ft"""
+
+
+def _polynomials(n: int, degree: int) -> str:
+    """CTEs that end in `po` (i, p0 to p{degree}): orthogonal polynomials on n places, each from the two before."""
+    ctes = [f"o0 AS (SELECT i, i - {(n - 1) / 2}::DOUBLE AS x, 1.0::DOUBLE AS p0 FROM range({n}) g(i))", "o1 AS (SELECT *, x AS p1 FROM o0)"]
+    for k in range(2, degree + 1):
+        ctes.append(f"o{k} AS (SELECT *, x * p{k - 1} - p{k - 2} * (SELECT sum(p{k - 1} * p{k - 1}) / sum(p{k - 2} * p{k - 2}) FROM o{k - 1}) AS p{k} FROM o{k - 1})")
+    return ", ".join([*ctes, f"po AS MATERIALIZED (SELECT i, {', '.join(f'p{k} / sqrt(sum(p{k} * p{k}) OVER ()) AS p{k}' for k in range(degree + 1))} FROM o{degree})"])
+
+
+ORACLE_SQL["sig_second_differences"] = f"""WITH RECURSIVE {BT}, sr AS (SELECT k, beat, pos AS j, v FROM bt), {spline(100, 'sr', 'k, beat')}, df AS MATERIALIZED (SELECT * FROM (SELECT k, beat, i, (lead(v, 2) OVER w - 2 * lead(v) OVER w + v) * 10000 AS v FROM sp WINDOW w AS (PARTITION BY k, beat ORDER BY i)) WHERE v IS NOT NULL),
+ {_polynomials(98, 5)}, co AS (SELECT k, beat, {', '.join(f'sum(v * p{k}) AS c{k}' for k in range(6))} FROM df JOIN po USING (i) GROUP BY k, beat) SELECT k, beat, i, round({' + '.join(f'c{k} * p{k}' for k in range(6))}, 3) + 0.0 AS v FROM co, po"""
