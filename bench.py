@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("pulse_chrom", "pulse_pos", "pulse_omit", "pulse_pbv", "rgb_fill_nan", "sig_asof_forward", "sig_peaks", "win_sliding_z", "beat_select_1sigma", "sqi_ranges", "beat_contour", "pivot_channels", "eval_bhs", "filt_chain", "pulse_ica", "sig_upsample_cubic", "natural_sort", "onsets")
+HEADLINE = ("pulse_chrom", "pulse_pos", "pulse_omit", "pulse_pbv", "rgb_fill_nan", "sig_asof_forward", "sig_peaks", "win_sliding_z", "beat_select_1sigma", "sqi_ranges", "beat_contour", "pivot_channels", "eval_bhs", "filt_chain", "pulse_ica", "sig_upsample_cubic", "natural_sort", "onsets", "waveform_quality", "dtw")
 
 
 def main() -> None:
