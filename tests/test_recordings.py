@@ -250,3 +250,41 @@ def test_a_recording_spread_over_batches_is_computed_whole(spark, tmp_path):
     got = {(r.k, r.t): r.v for r in spark.read.parquet(places[1]).collect()}
     want = {(r.k, r.t): r.v for r in signal.reversed_signal(df.where("k < 3")).collect()}
     assert got == want
+
+
+def test_features_of_a_mean_shape(spark):
+    from tidewave.operators import studies
+
+    t = np.arange(1500) / 30.0
+    phase = (t * 1.0) % 1.0
+    shape = np.exp(-((phase - 0.25) ** 2) / 0.008) + 0.45 * np.exp(-((phase - 0.55) ** 2) / 0.012)
+    x = spark.createDataFrame([(k, i + 1, float(k * y + 0.001 * np.sin(i))) for k in (1, 2) for i, y in enumerate(shape)], "k long, t long, v double")
+    every = beats.cut_with_margin(x, 10, 4).select("k", "beat").distinct()
+    told = {r.k: r for r in studies.representative_features(x, every, 10, 4, 90).collect()}
+    assert set(told) == {1, 2} and told[1].beats > 40
+    for k, r in told.items():
+        assert 15 < r.cn_t1 < 40 and 0 < r.cn_systolic_share < 1 and r.cn_width50 < r.cn_width25
+        y = [p.v for p in studies.from_first_valley(studies.mean_shape(x, every, 10, 4, 90)).where(F.col("k") == k).orderBy("pos").collect()]
+        want = beats.derivative_waves(np.asarray(y), 90.0)
+        assert np.allclose([r[f"dr_{c}"] for c in beats.WAVES if r[f"dr_{c}"] is not None], [v for c, v in zip(beats.WAVES, want, strict=True) if r[f"dr_{c}"] is not None])
+    one = studies.mean_shape(x, every, 10, 0, 90).groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()
+    assert all(r.n == 90 and r.low >= 0 and 1.9 < r.high <= 2 for r in one)
+    good = studies.accepted_with_margin(x, 10, 4)
+    assert good.join(every, ["k", "beat"], "left_anti").count() == 0
+
+
+def test_study_tables_hang_together(spark):
+    from tidewave.operators import studies
+
+    v = wave(900)
+    x = spark.createDataFrame([(1, i + 1, float(y)) for i, y in enumerate(v)], "k long, t long, v double")
+    mean, each, told = studies.study_features(studies.normal_wave(x, 30.0), 30.0, 8, 120)
+    rows = {r.beat: r for r in told.collect()}
+    assert len(rows) > 25 and all(r.end > r.start and r.n == round((r.end - r.start) * 30) for r in rows.values())
+    assert all(r.quality == (r.sqi is not None and r.sqi >= 0.3 and r.sqi_wave >= 0.3) for r in rows.values())
+    found = each.collect()
+    assert all(rows[r.beat].quality and r.start == rows[r.beat].start for r in found)
+    total = mean.collect()
+    assert not found or (total[0].beats == len(found) and np.isclose(total[0].cn_t1, np.mean([r.cn_t1 for r in found])))
+    grid = studies.resized(spark.createDataFrame([(1, 1, i, float(i * i)) for i in range(7)] + [(1, 2, 0, 5.0)], "k long, beat long, pos long, v double"), 11)
+    assert np.allclose([r.v for r in grid.orderBy("pos").collect()], np.interp(np.linspace(0, 6, 11), np.arange(7), np.arange(7) ** 2))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import gradient, series
-from tidewave.operators.beats import THRESHOLDS, WAVES, check_pulse, contour, cut, derivative_features, mean_features, quality, turns, usual, without_margin_chord
+from tidewave.operators.beats import THRESHOLDS, WAVES, check_pulse, contour, cut, cut_with_margin, derivative_features, margin_statistics, mean_features, quality, scaled_mean, turns, usual, without_margin_chord
 from tidewave.operators.filters import apply_chain, bandpass, by_envelope
 from tidewave.operators.waves import upsampled
 
@@ -80,3 +80,33 @@ def study_features(x: DataFrame, rate: float, reach: int, size: int = 200, mode:
     told = segments(x, rate, reach, points, mode)
     each = beat_features(x, told.where("quality"), reach, size)
     return mean_features(each.drop("start", "end"), ["k"]), each, told
+
+
+def accepted_with_margin(x: DataFrame, reach: int, margin: int) -> DataFrame:
+    """k, beat of the beats that have the form of a pulse, are usual in area, duration and height, and whose second differences, margin included, have the order of waves a to e."""
+    cuts = cut_with_margin(x, reach, margin)
+    stats = margin_statistics(cuts, margin)
+    form = check_pulse(without_margin_chord(cuts.where(F.col("pos") >= margin).withColumn("pos", F.col("pos") - margin), 0)).where("good")
+    return usual(stats).where("good").select(*_BEAT).join(form.select(*_BEAT), list(_BEAT), "left_semi")
+
+
+def mean_shape(x: DataFrame, chosen: DataFrame, reach: int, margin: int, size: int) -> DataFrame:
+    """k, beat (1), pos, v: the mean of each series' chosen beats, margin included, each on `size` points of its spline and scaled 0 to 2."""
+    own = cut_with_margin(x, reach, margin).join(chosen, list(_BEAT), "left_semi")
+    even = upsampled(own, size, _BEAT, "pos").withColumnRenamed("i", "pos")
+    return scaled_mean(even).select("k", F.lit(1).cast("long").alias("beat"), "pos", "v")
+
+
+def representative_contours(x: DataFrame, chosen: DataFrame, reach: int, size: int) -> DataFrame:
+    """k and cn_*: contour features of each series' mean shape less its chord, scaled 0 to 2."""
+    flat = scaled_mean(without_margin_chord(mean_shape(x, chosen, reach, 0, size), 0))
+    told = contour(flat.select("k", F.lit(1).cast("long").alias("beat"), "pos", "v"))
+    return told.select("k", *(F.col(c).alias(f"cn_{c}") for c in told.columns if c not in _BEAT))
+
+
+def representative_features(x: DataFrame, chosen: DataFrame, reach: int, margin: int, size: int) -> DataFrame:
+    """k, beats (chosen), cn_* of the mean shape and dr_* of the mean shape with its margin, corrected from its first valley on; series whose second derivative lacks waves are left out."""
+    waves = derivative_features(from_first_valley(mean_shape(x, chosen, reach, margin, size)), size)
+    counts = chosen.groupBy("k").agg(F.count("*").alias("beats"))
+    told = representative_contours(x, chosen, reach, size)
+    return counts.join(told, "k").join(waves.select("k", *(F.col(c).alias(f"dr_{c}") for c in WAVES)), "k")

@@ -472,3 +472,30 @@ def _polynomials(n: int, degree: int) -> str:
 
 ORACLE_SQL["sig_second_differences"] = f"""WITH RECURSIVE {BT}, sr AS (SELECT k, beat, pos AS j, v FROM bt), {spline(100, 'sr', 'k, beat')}, df AS MATERIALIZED (SELECT * FROM (SELECT k, beat, i, (lead(v, 2) OVER w - 2 * lead(v) OVER w + v) * 10000 AS v FROM sp WINDOW w AS (PARTITION BY k, beat ORDER BY i)) WHERE v IS NOT NULL),
  {_polynomials(98, 5)}, co AS (SELECT k, beat, {', '.join(f'sum(v * p{k}) AS c{k}' for k in range(6))} FROM df JOIN po USING (i) GROUP BY k, beat) SELECT k, beat, i, round({' + '.join(f'c{k} * p{k}' for k in range(6))}, 3) + 0.0 AS v FROM co, po"""
+
+
+# features of mean shapes
+
+_SHAPES = f"""ch AS MATERIALIZED (SELECT k, beat FROM (SELECT *, {_NEAR} AS near FROM st) WHERE near), sj AS (SELECT bm.k, bm.beat, pos - {_MARGIN} AS j, v FROM bm JOIN ch ON bm.k = ch.k AND bm.beat = ch.beat WHERE pos >= {_MARGIN}), {spline(90, 'sj', 'k, beat', 'r')},
+ e1 AS (SELECT k, i AS pos, avg(CASE WHEN h - l <= 1e-8 THEN 0 ELSE (v - l) / nullif(h - l, 0) * 2 END) AS v FROM (SELECT *, min(v) OVER (PARTITION BY k, beat) AS l, max(v) OVER (PARTITION BY k, beat) AS h FROM spr) GROUP BY k, i),
+ e2 AS (SELECT k, pos, v - (first_value(v) OVER w + (last_value(v) OVER w - first_value(v) OVER w) * pos / 89) AS v FROM e1 WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ bt AS MATERIALIZED (SELECT k, 1 AS beat, pos, CASE WHEN max(v) OVER b - min(v) OVER b <= 1e-8 THEN 0 ELSE (v - min(v) OVER b) / (max(v) OVER b - min(v) OVER b) * 2 END AS v FROM e2 WINDOW b AS (PARTITION BY k))"""
+
+
+def _usual_beats(spark, d):
+    x = colour_traces(spark, d).select("k", "t", F.avg("g").over(series("k", "t").rowsBetween(-3, 3)).alias("v"))
+    return x, beats.usual(beats.margin_statistics(beats.cut_with_margin(x, _REACH, _MARGIN), _MARGIN)).select("k", "beat")
+
+
+@query(f"WITH RECURSIVE {_SOFT}, {_CUT}, {_FLAT}, {_STATS}, {_SHAPES} SELECT k, {', '.join(f'{c} AS cn_{c}' for c in _CN)} FROM ({ORACLE_SQL['beat_contour'].replace('WITH ' + BT + ',', 'WITH')})")
+def study_representative_contours(spark, d):
+    x, chosen = _usual_beats(spark, d)
+    told = studies.representative_contours(x, chosen, _REACH, 90)
+    return told.select("k", *(F.col(f"cn_{c}") if c in ("t1", "t2", "t_sub") or c.startswith("width") else r6(f"cn_{c}").alias(f"cn_{c}") for c in _CN))
+
+
+@query()
+def study_representative_features(spark, d):
+    x, chosen = _usual_beats(spark, d)
+    told = studies.representative_features(x, chosen, _REACH, _MARGIN, 90)
+    return told.select("k", "beats", *(r6(c, 4).alias(c) for c in ("cn_t_div", "cn_width50", "dr_b_a", "dr_ageing", "dr_v_top")))
