@@ -288,3 +288,11 @@ def test_study_tables_hang_together(spark):
     assert not found or (total[0].beats == len(found) and np.isclose(total[0].cn_t1, np.mean([r.cn_t1 for r in found])))
     grid = studies.resized(spark.createDataFrame([(1, 1, i, float(i * i)) for i in range(7)] + [(1, 2, 0, 5.0)], "k long, beat long, pos long, v double"), 11)
     assert np.allclose([r.v for r in grid.orderBy("pos").collect()], np.interp(np.linspace(0, 6, 11), np.arange(7), np.arange(7) ** 2))
+
+
+def test_files_are_listed_in_natural_order(spark, tmp_path):
+    for name in ("img10.csv", "img9.csv", "img010.csv", "b/Img2.txt", "b/img1.npy", "note.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("1")
+    got = [r.path.split(f"{tmp_path}/")[1] for r in recordings.list_recordings(spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == ["b/img1.npy", "b/Img2.txt", "img9.csv", "img010.csv", "img10.csv"]

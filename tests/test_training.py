@@ -156,3 +156,15 @@ def test_quality_head_and_masked_attention_equal_loops():
     assert np.allclose(networks.attention(x, a, "attention", mask)[:, there], networks.attention(x[:, there], a, "attention"))
     both = networks.recurrent_with_quality(1)(x, {**networks.seeded(networks.recurrent_shapes(2, (2,)), 3), **w})
     assert both.shape == (2, 9)
+
+
+def test_settings_of_a_model_are_searched(spark):
+    from tidewave.operators import regression
+
+    rows = [(i, i % 2, float(i % 10), float(np.sin(i % 10))) for i in range(80)]
+    df = spark.createDataFrame(rows, "i long, fold int, a double, y double")
+    settings, error = regression.tuned_by_search(df, ["a"], "y", "svr", {"C": ("log", 1e-3, 1e2), "epsilon": ("log", 1e-2, 1.0)}, trials=4, size=16, rounds=2)
+    assert 1e-3 <= settings["C"] <= 1e2 and error == regression.error_out_of_fold(df, ["a"], "y", "svr")({**settings, "size": 16, "rounds": 2})
+    for kind, space in regression.SPACES.items():
+        one = regression.proposed(space, [], 1)
+        assert set(one) == set(space) and kind in ("rf", "gbt", "svr")

@@ -262,3 +262,17 @@ def searched(spark: SparkSession, objective: Callable[[dict], float], space: Spa
 def error_out_of_fold(x: DataFrame, features: list[str], target: str, kind: str, fold: str = "fold") -> Callable[[dict], float]:
     """The mean absolute error out of fold as an objective of settings."""
     return lambda settings: float(out_of_fold(x, features, target, kind, fold, **settings).agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0])
+
+
+#: The ranges that the settings of each kind of model are searched in.
+SPACES: dict[str, Space] = {
+    "rf": {"numTrees": ("int", 100, 600), "maxDepth": ("int", 3, 30), "minInstancesPerNode": ("int", 1, 8)},
+    "gbt": {"maxIter": ("int", 100, 800), "stepSize": ("log", 1e-3, 0.3), "maxDepth": ("int", 3, 8)},
+    "svr": {"C": ("log", 1e-2, 1e3), "epsilon": ("log", 1e-3, 1.0)},
+}
+
+
+def tuned_by_search(x: DataFrame, features: list[str], target: str, kind: str, space: Space | None = None, trials: int = 40, fold: str = "fold", seed: int = 42, store: str | None = None, together: int = 2, **fixed) -> tuple[dict, float]:
+    """The settings of least mean absolute error out of fold, searched by model in the kind's space (SPACES) or the one given; fixed settings hold in all trials."""
+    error = error_out_of_fold(x, features, target, kind, fold)
+    return searched(x.sparkSession, lambda s: error({**fixed, **s}), space or SPACES[kind], trials, together, seed, store)

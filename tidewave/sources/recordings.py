@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.sources.files import TIME_NAMES, VALUE_NAMES, seconds
+from tidewave.operators.relational import global_rank, natural_key
+from tidewave.sources.files import TIME_NAMES, VALUE_NAMES, find_files, seconds
 
 #: Files whose first lines are broadcast to the lines; more are joined by a shuffle.
 BROADCAST_FILES = 100_000
@@ -97,3 +98,9 @@ def read_recordings(spark: SparkSession, path: str | list[str], fallback: str =
 def unreadable(rows: DataFrame) -> DataFrame:
     """file, bad: how many rows of a file hold text where a number belongs; only files with some."""
     return rows.groupBy("file").agg(F.count_if("bad").alias("bad")).where("bad > 0")
+
+
+def list_recordings(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("csv", "txt", "npy")) -> DataFrame:
+    """path, place (from 0) of the files below a folder in natural order of their paths: runs of digits by their value. Empty files are left out."""
+    names = find_files(spark, path, extensions)
+    return global_rank(names, F.concat(natural_key(F.col("path")), F.lit("\0"), F.col("path")), "place")
