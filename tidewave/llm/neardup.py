@@ -43,6 +43,8 @@ HOT = 1 / 1024
 GROUP = 256
 _PIECE = 1 << 18
 _UNIT = 2_000_000
+#: Documents that a task counting shingles gets at least, if there are as many: of a few documents every shingle could be common.
+PER_TASK = 4_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -93,7 +95,8 @@ def common_shingles(docs: DataFrame, n: int, common: float = COMMON) -> tuple[np
         if before[0] or n_held:  # what is left goes with the last unit: by itself it would be a few documents, of which every shingle would pass
             yield flush(before[0] + held, before[1] + n_docs)
 
-    likely = docs.mapInArrow(gather, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n).select("shingle")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, n // PER_TASK)  # fewer only where the input lies in many small pieces
+    likely = docs.coalesce(parts).mapInArrow(gather, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n).select("shingle")
     found = np.sort(likely.toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))  # at most 2 / common times the mean number
     if not len(found):
         return found, np.zeros(0, np.int64)
