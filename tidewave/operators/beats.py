@@ -112,12 +112,12 @@ def statistics(beats: DataFrame) -> DataFrame:
     return flat.groupBy("k", "beat").agg(F.sum("v").alias("area"), F.count(F.lit(1)).alias("duration"), F.max("v").alias("amplitude"))
 
 
-def usual(stats: DataFrame, columns: tuple[str, ...] = ("area", "duration", "amplitude")) -> DataFrame:
-    """Beats within one population deviation of their series' mean in every column."""
+def usual(stats: DataFrame, columns: tuple[str, ...] = ("area", "duration", "amplitude"), digits: int = 9) -> DataFrame:
+    """Beats within one population deviation of their series' mean in every column, both rounded: of two beats each is just at it."""
     w = Window.partitionBy("k")
     near: Column = F.lit(True)
     for c in columns:
-        near = near & (F.abs(F.col(c) - F.avg(c).over(w)) <= F.stddev_pop(c).over(w))
+        near = near & (F.round(F.abs(F.col(c) - F.avg(c).over(w)), digits) <= F.round(F.stddev_pop(c).over(w), digits))
     return stats.withColumn("_near", near).where("_near").drop("_near")
 
 
