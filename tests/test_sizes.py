@@ -1,9 +1,26 @@
 """What larger tables brought up: ties, plans without a step that grows, groups that one task can't hold."""
 
-from tidewave.operators import beats
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewave.operators import beats, studies
 
 
 def test_of_two_beats_each_is_usual(spark):
     stats = [(k, b, a + b * (0.1 + k / 7), 5 + b, 0.3 * b + k / 3) for k in range(200) for b, a in ((1, 0.7), (2, 0.2))]
     x = spark.createDataFrame(stats, "k long, beat long, area double, duration long, amplitude double")
     assert beats.usual(x).count() == len(stats)
+
+
+def test_two_beats_of_a_study_are_usual(spark):
+    rows = []
+    for k in range(60):
+        t = 0
+        for a, z in ((3, 5), (9 + k % 5, 14), (12, 13 + k % 7), (6, 4)):
+            for i in range(a + z):
+                t += 1
+                rows.append((k, t, i / (3.1 + k / 9) if i < a else (a + z - i) / (5.3 + k / 11)))
+    x = spark.createDataFrame(rows, "k long, t long, v double")
+    told = studies.segments(x, 30.0, 3)
+    two = told.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n = 2")
+    assert two.count() >= 40 and two.where("not accepted_area").count() == 0
