@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewave.operators import beats, studies
+from tidewave.operators import beats, colour, studies
 
 
 def test_of_two_beats_each_is_usual(spark):
@@ -24,3 +24,15 @@ def test_two_beats_of_a_study_are_usual(spark):
     told = studies.segments(x, 30.0, 3)
     two = told.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n = 2")
     assert two.count() >= 40 and two.where("not accepted_area").count() == 0
+
+
+def test_no_task_holds_a_recording(spark):
+    rows = [(k % 2, k, t, float(t % 7 + k), float(t % 5 + k), float(t % 3 + k)) for k in range(64) for t in range(1, 30)]
+    x = spark.createDataFrame(rows, "rec long, k long, t long, r double, g double, b double").repartition(4, "rec", "k")
+    size = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for f in (colour.to_shortest, colour.hemo, colour.skin_flat, colour.lgi_global):
+        found = f(x, recording="rec")
+        assert found.count() == len(rows) and size(found) < len(rows) / 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)

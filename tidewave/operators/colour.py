@@ -16,6 +16,8 @@ EPS = 1e-6
 MELANIN = (0.4143, 0.3570, 0.8372)
 HEMOGLOBIN = (0.2988, 0.6838, 0.6657)
 K, ORDER = "k", "t"
+#: Recordings whose values are broadcast to their rows; more are joined by a shuffle.
+RECORDINGS = 100_000
 
 
 def hemo_weights(eps: float = 1e-8) -> tuple[float, float, float]:
@@ -35,9 +37,12 @@ def _keys(recording: str | None) -> list[str]:
     return [recording, K] if recording else [K]
 
 
-def by_recording(rgb: DataFrame, recording: str) -> DataFrame:
-    """All rows of a recording in one partition, so that windows over it and over its series share this one exchange."""
-    return rgb.repartition(recording)
+def with_recordings(rgb: DataFrame, told: DataFrame, recording: str) -> DataFrame:
+    """rgb with the columns of `told`, a row a recording, which is computed here: up to RECORDINGS rows are sent to all tasks, so that a recording's series stay spread."""
+    found = told.limit(RECORDINGS + 1).toArrow()
+    few = found.num_rows <= RECORDINGS
+    told = (F.broadcast(rgb.sparkSession.createDataFrame(found, told.schema)) if few else told).withColumnRenamed(recording, "_rec")
+    return rgb.join(told, F.col(recording).eqNullSafe(F.col("_rec"))).drop("_rec")
 
 
 def normalised(rgb: DataFrame, recording: str | None = None) -> DataFrame:
@@ -49,8 +54,8 @@ def normalised(rgb: DataFrame, recording: str | None = None) -> DataFrame:
 def to_shortest(rgb: DataFrame, recording: str | None = None) -> DataFrame:
     """Every series cut to the length of the shortest: of its recording, or without one of all."""
     if recording:
-        ends = rgb.withColumn("_n", F.max(ORDER).over(whole(_keys(recording))))
-        return ends.withColumn("_m", F.min("_n").over(whole(recording))).where(F.col(ORDER) <= F.col("_m")).drop("_n", "_m")
+        ends = rgb.groupBy(*_keys(recording)).agg(F.max(ORDER).alias("_n")).groupBy(recording).agg(F.min("_n").alias("_n"))
+        return with_recordings(rgb, ends, recording).where(F.col(ORDER) <= F.col("_n")).drop("_n")
     least = rgb.groupBy(K).agg(F.max(ORDER).alias("n")).agg(F.min("n").alias("n"))
     return rgb.join(F.broadcast(least), F.col(ORDER) <= F.col("n")).drop("n")  # one row
 
@@ -59,7 +64,7 @@ def _with_range(rgb: DataFrame, recording: str | None) -> DataFrame:
     """rgb with `scale`, the largest possible value (255 or 1), told by the largest one of the recording, or without one of all."""
     top = F.greatest("r", "g", "b")
     if recording:
-        found = rgb.withColumn("top", F.max(top).over(whole(recording)))
+        found = with_recordings(rgb, rgb.groupBy(recording).agg(F.max(top).alias("top")), recording)
     else:
         found = rgb.join(F.broadcast(rgb.agg(F.max(top).alias("top"))))  # one row
     return found.withColumn("scale", F.when(F.col("top") > 1.5, 255.0).otherwise(1.0)).drop("top")
@@ -263,7 +268,7 @@ def lgi_global(rgb: DataFrame, eps: float = 1e-8, recording: str | None = None)
     dot = F.col("er") * F.col("r") + F.col("eg") * F.col("g") + F.col("eb") * F.col("b")
     if recording:
         mean = z.groupBy(recording, ORDER).agg(*(F.avg(c).alias(c) for c in "rgb"))
-        x = z.join(_directions(mean, False, 0, recording), recording)
+        x = z.join(F.broadcast(_directions(mean, False, 0, recording)), recording)  # a row a recording
     else:
         mean = z.groupBy(ORDER).agg(*(F.avg(c).alias(c) for c in "rgb")).withColumn(K, F.lit(0).cast("long"))
         x = z.join(F.broadcast(_directions(mean, False, 0).select("er", "eg", "eb")))  # one row
