@@ -4,6 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewave.operators import beats, colour, studies
+from tidewave.operators.waves import upsampled
+from tidewave.plans import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_of_two_beats_each_is_usual(spark):
@@ -36,3 +40,17 @@ def test_no_task_holds_a_recording(spark):
         found = f(x, recording="rec")
         assert found.count() == len(rows) and size(found) < len(rows) / 2
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+
+
+def test_beats_are_compared_without_joins_of_their_samples(spark):
+    for name, most in (("waveform_quality", 1), ("study_beat_contours", 0)):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= most, name
+
+
+def test_likeness_of_whole_beats_is_that_of_their_samples(spark):
+    rows = [(k, b, t, float((t * 7 + k * b) % 11)) for k in (1, 2) for b, t in [(1 + t // 12, t) for t in range(60)] if not (k == 2 and b == 3)]
+    x = spark.createDataFrame(rows, "k long, beat long, t long, v double")
+    even = upsampled(x, 20, ("k", "beat"), "t").withColumnRenamed("i", "pos")
+    want = {(r.k, r.beat): r.sqi and round(r.sqi, 9) for r in beats.quality(even).collect()}
+    assert {(r.k, r.beat): r.sqi and round(r.sqi, 9) for r in beats.alike(beats.whole_beats(x), 20).collect()} == want

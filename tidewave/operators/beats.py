@@ -77,10 +77,10 @@ def representative_with_margin(beats: DataFrame, chosen: DataFrame, size: int, m
 
 
 def between_onsets(x: DataFrame, starts: DataFrame) -> DataFrame:
-    """k, beat, pos, t, v: rows from each onset (k, t) to the next."""
-    w = series("k", "t")
-    marked = x.select("k", "t", "v").join(starts.select("k", "t", F.lit(1).alias("low")), ["k", "t"], "left")
-    ids = marked.select("k", "t", "v", F.coalesce(F.count("low").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("beat"), F.count("low").over(Window.partitionBy("k")).alias("beats"))
+    """k, beat, pos, t, v: rows from each onset (k, t) to the next. A series' onsets are joined to its rows as one array, by the exchange on k that the onsets came from."""
+    lows = starts.groupBy("k").agg(F.collect_list("t").alias("lows"))
+    marked = x.select("k", "t", "v").join(lows, "k")
+    ids = marked.select("k", "t", "v", F.size(F.filter("lows", lambda low: low <= F.col("t"))).cast("long").alias("beat"), F.size("lows").alias("beats"))
     return ids.where("beat > 0 and beat < beats").select("k", "beat", (F.row_number().over(series(["k", "beat"], "t")) - 1).cast("long").alias("pos"), "t", "v")
 
 
@@ -92,9 +92,8 @@ def waveform_quality(x: DataFrame, rate: float, points: int = 30, mode: str = "n
     """
     flat = apply_chain(x, [bandpass(0.4, 10.0, rate, 5)])
     cuts = between_onsets(flat, onsets(flat, rate))
-    even = upsampled(cuts, points, ("k", "beat"), "pos").withColumnRenamed("i", "pos")
-    ends = cuts.groupBy("k", "beat").agg(((F.min("t") - 1) / rate).alias("start"), (F.max("t") / rate).alias("end"))
-    return good(ends.join(quality(even), ["k", "beat"], "left"), THRESHOLDS[mode])
+    told = alike(whole_beats(cuts), points)
+    return good(told.select("k", "beat", ((F.col("first") - 1) / rate).alias("start"), (F.col("last") / rate).alias("end"), "sqi"), THRESHOLDS[mode])
 
 
 def good_times(marked: DataFrame) -> DataFrame:
@@ -112,13 +111,18 @@ def statistics(beats: DataFrame) -> DataFrame:
     return flat.groupBy("k", "beat").agg(F.sum("v").alias("area"), F.count(F.lit(1)).alias("duration"), F.max("v").alias("amplitude"))
 
 
-def usual(stats: DataFrame, columns: tuple[str, ...] = ("area", "duration", "amplitude"), digits: int = 9) -> DataFrame:
-    """Beats within one population deviation of their series' mean in every column, both rounded: of two beats each is just at it."""
+def near_mean(columns: tuple[str, ...] = ("area", "duration", "amplitude"), digits: int = 9) -> Column:
+    """Is a beat within one population deviation of its series' mean in every column, both rounded? Of two beats each is just at it."""
     w = Window.partitionBy("k")
     near: Column = F.lit(True)
     for c in columns:
         near = near & (F.round(F.abs(F.col(c) - F.avg(c).over(w)), digits) <= F.round(F.stddev_pop(c).over(w), digits))
-    return stats.withColumn("_near", near).where("_near").drop("_near")
+    return near
+
+
+def usual(stats: DataFrame, columns: tuple[str, ...] = ("area", "duration", "amplitude")) -> DataFrame:
+    """Beats within one population deviation of their series' mean in every column."""
+    return stats.withColumn("_near", near_mean(columns)).where("_near").drop("_near")
 
 
 def quality(beats: DataFrame, order: int = 2) -> DataFrame:
@@ -131,6 +135,50 @@ def quality(beats: DataFrame, order: int = 2) -> DataFrame:
     return both.groupBy("k", "beat").agg(F.try_divide(F.covar_pop("v", "next"), F.when(F.count("next") > 0, F.stddev_pop(F.when(F.col("next").isNotNull(), F.col("v"))) * F.stddev_pop("next"))).alias("sqi"))
 
 
+def whole_beats(cuts: DataFrame) -> DataFrame:
+    """A row for each beat of cuts (k, beat, t, v): k, beat, first and last (of t), n, area, amplitude, v (its samples in order) and next (those of the next beat; none: empty). No exchange if the cuts lie by k."""
+    rows = cuts.groupBy("k", "beat").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"), F.sum("v").alias("area"), F.max("v").alias("amplitude"), F.array_sort(F.collect_list(F.struct("t", F.col("v").cast("double").alias("v")))).alias("_s"))
+    rows = rows.withColumn("v", F.col("_s.v")).drop("_s")
+    w = series("k", "beat")
+    return rows.withColumn("next", F.when(F.lead("beat").over(w) == F.col("beat") + 1, F.lead("v").over(w))).withColumn("next", F.coalesce("next", F.array().cast("array<double>")))
+
+
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of two matrices; NaN where one is flat."""
+    a, b = (x - x[:, :1] for x in (a, b))  # so that a flat row is exactly so
+    a, b = (x - x.mean(1, keepdims=True) for x in (a, b))
+    size = np.sqrt((a * a).mean(1)) * np.sqrt((b * b).mean(1))
+    return np.divide((a * b).mean(1), size, out=np.full(len(a), np.nan), where=size > 0)
+
+
+def alike(rows: DataFrame, points: int, orders: dict[str, int] | None = None, least: int = 1) -> DataFrame:
+    """rows of whole_beats, next dropped, with columns of quality(): how alike each beat is to the next one, both on `points` points of their splines.
+
+    orders: the columns' names and which derivative they compare. Beats under `least` samples have no index, nor has the one before.
+    """
+    orders = orders or {"sqi": 2}
+    names = [c for c in rows.columns if c != "next"]
+
+    def run(batches):
+        for part, v, n in matrices(batches):
+            lists = part.column("next")
+            m = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            w = np.zeros((len(m), int(m.max(initial=0))))
+            w[np.arange(w.shape[1]) < m[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            both = [to_length(y, np.where(k < least, 0, k), points) for y, k in ((v, n), (w, m))]
+            found = []
+            for order in orders.values():
+                a, b = both
+                for _ in range(order):
+                    a, b = np.gradient(a, axis=1), np.gradient(b, axis=1)
+                c = correlations(a, b)
+                found.append(pa.array(c, mask=~np.isfinite(c)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *found], [*names, *orders])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"{c} double" for c in orders)]))
+
+
 def good(sqi: DataFrame, least: float) -> DataFrame:
     return sqi.withColumn("good", F.coalesce(F.col("sqi") >= least, F.lit(False)))
 

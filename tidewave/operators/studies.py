@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.windows import gradient, series
-from tidewave.operators.beats import THRESHOLDS, WAVES, check_pulse, contour, cut, cut_with_margin, derivative_features, margin_statistics, mean_features, quality, scaled_mean, turns, usual, without_margin_chord
+from tidewave.operators.beats import THRESHOLDS, WAVES, alike, check_pulse, contour, cut, cut_with_margin, derivative_features, margin_statistics, mean_features, near_mean, scaled_mean, turns, usual, whole_beats, without_margin_chord
 from tidewave.operators.filters import apply_chain, bandpass, by_envelope
 from tidewave.operators.waves import upsampled
 
@@ -25,16 +25,17 @@ def segments(x: DataFrame, rate: float, reach: int, points: int = 50, mode: str
     their splines; quality asks the threshold of both. Beats under three samples have no index, nor has the one before.
     accepted_ppg: the beat less its chord has the form of a pulse; accepted_area: area, duration and height are usual.
     """
-    cuts = cut(x, reach)
-    told = cuts.groupBy(*_BEAT).agg(((F.min("t") - 1) / rate).alias("start"), (F.max("t") / rate).alias("end"), F.count("*").alias("n"), F.sum("v").alias("area"), F.max("v").alias("amplitude"))
-    whole = cuts.withColumn("_n", F.count("*").over(Window.partitionBy(*_BEAT))).where("_n >= 3")
-    even = upsampled(whole, points, _BEAT, "pos").withColumnRenamed("i", "pos")
-    form = check_pulse(without_margin_chord(cuts, 0)).withColumnRenamed("good", "accepted_ppg")
-    area = usual(told.withColumnRenamed("n", "duration")).select(*_BEAT, F.lit(True).alias("accepted_area"))
-    rows = told.join(quality(even, 0).withColumnRenamed("sqi", "sqi_wave"), list(_BEAT), "left").join(quality(even, 2), list(_BEAT), "left").join(form, list(_BEAT), "left").join(area, list(_BEAT), "left")
+    form = check_pulse(without_margin_chord(cut(x, reach), 0)).withColumnRenamed("good", "accepted_ppg")
+    return marked_beats(x, rate, reach, points, mode).join(form, list(_BEAT), "left").select(*_BEAT, "start", "end", "n", "sqi_wave", "sqi", "quality", "accepted_ppg", "accepted_area")
+
+
+def marked_beats(x: DataFrame, rate: float, reach: int, points: int = 50, mode: str = "non-conservative") -> DataFrame:
+    """`segments` without accepted_ppg, and v, the beat's samples: each beat is one row from its cut on, so that its table needs no join."""
+    rows = whole_beats(cut(x, reach)).withColumnRenamed("n", "duration")
+    told = alike(rows.withColumn("accepted_area", F.coalesce(near_mean(), F.lit(False))), points, {"sqi_wave": 0, "sqi": 2}, 3)
     least = THRESHOLDS[mode]
     good = F.coalesce((F.col("sqi_wave") >= least) & (F.col("sqi") >= least), F.lit(False))
-    return rows.select(*_BEAT, "start", "end", "n", "sqi_wave", "sqi", good.alias("quality"), "accepted_ppg", F.coalesce("accepted_area", F.lit(False)).alias("accepted_area"))
+    return told.select(*_BEAT, ((F.col("first") - 1) / rate).alias("start"), (F.col("last") / rate).alias("end"), F.col("duration").alias("n"), "sqi_wave", "sqi", good.alias("quality"), "accepted_area", "v")
 
 
 def resized(beats: DataFrame, size: int) -> DataFrame:
@@ -58,28 +59,39 @@ def from_first_valley(beats: DataFrame) -> DataFrame:
 
 
 def beat_contours(x: DataFrame, chosen: DataFrame, reach: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """The chosen beats (k, beat) of five samples or more on `size` points less their chord, and the contour features of each, named cn_*."""
-    cuts = cut(x, reach).join(chosen.where("n >= 5").select(*_BEAT), list(_BEAT), "left_semi")
+    """The chosen beats (k, beat, n) of five samples or more on `size` points less their chord, and the contour features of each, named cn_*.
+
+    Beats of `marked_beats` bring their samples; those of `segments` are cut from x again.
+    """
+    chosen = chosen.where("n >= 5")
+    if "v" in chosen.columns:
+        dealt = chosen.select(*_BEAT, "v").repartition(*_BEAT)  # once for all that follows
+        cuts = dealt.select(*_BEAT, F.posexplode("v").alias("pos", "v")).withColumn("pos", F.col("pos").cast("long"))
+    else:
+        cuts = cut(x, reach).join(chosen.select(*_BEAT), list(_BEAT), "left_semi")
     flat = without_margin_chord(resized(cuts, size), 0)
     told = contour(flat)
     return flat, told.select(*_BEAT, *(F.col(c).alias(f"cn_{c}") for c in told.columns if c not in _BEAT))
 
 
 def beat_features(x: DataFrame, chosen: DataFrame, reach: int, size: int) -> DataFrame:
-    """k, beat, start, end, cn_* and dr_* of the chosen beats of `segments`; beats whose second derivative lacks waves are left out."""
+    """k, beat, start, end, cn_* and dr_* of the chosen beats of `segments` or `marked_beats`; beats whose second derivative lacks waves are left out."""
+    return chosen.select(*_BEAT, "start", "end").join(_features(x, chosen, reach, size), list(_BEAT))
+
+
+def _features(x: DataFrame, chosen: DataFrame, reach: int, size: int) -> DataFrame:
     flat, told = beat_contours(x, chosen, reach, size)
     w = series(list(_BEAT), "pos")
     twice = flat.select(*_BEAT, "pos", gradient("v", w).alias("v")).select(*_BEAT, "pos", gradient("v", w).alias("v"))
     waves = derivative_features(from_first_valley(twice), size)
     waves = waves.select(*_BEAT, *(F.col(c).alias(f"dr_{c}") for c in WAVES))
-    return chosen.select(*_BEAT, "start", "end").join(told, list(_BEAT)).join(waves, list(_BEAT))
+    return told.join(waves, list(_BEAT))
 
 
 def study_features(x: DataFrame, rate: float, reach: int, size: int = 200, mode: str = "non-conservative", points: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables of a study: mean features of each signal, features of each good beat, and all segments."""
-    told = segments(x, rate, reach, points, mode)
-    each = beat_features(x, told.where("quality"), reach, size)
-    return mean_features(each.drop("start", "end"), ["k"]), each, told
+    chosen = marked_beats(x, rate, reach, points, mode).where("quality")
+    return mean_features(_features(x, chosen, reach, size), ["k"]), beat_features(x, chosen, reach, size), segments(x, rate, reach, points, mode)
 
 
 def accepted_with_margin(x: DataFrame, reach: int, margin: int) -> DataFrame:
@@ -106,6 +118,7 @@ def representative_contours(x: DataFrame, chosen: DataFrame, reach: int, size: i
 
 def representative_features(x: DataFrame, chosen: DataFrame, reach: int, margin: int, size: int) -> DataFrame:
     """k, beats (chosen), cn_* of the mean shape and dr_* of the mean shape with its margin, corrected from its first valley on; series whose second derivative lacks waves are left out."""
+    chosen = chosen.select(*_BEAT).repartition(*_BEAT)  # found once for all that follows
     waves = derivative_features(from_first_valley(mean_shape(x, chosen, reach, margin, size)), size)
     counts = chosen.groupBy("k").agg(F.count("*").alias("beats"))
     told = representative_contours(x, chosen, reach, size)

@@ -278,7 +278,7 @@ _CN = ["t1", "t2", "t_sub", "t_div", "systolic", "diastolic", "area_ratio", "slo
 @query(f"WITH RECURSIVE {_WAVE}, {_SEGMENTS}, {_RESIZED} SELECT k, beat, {', '.join(f'{c} AS cn_{c}' for c in _CN)} FROM ({ORACLE_SQL['beat_contour'].replace('WITH ' + BT + ',', 'WITH')})")
 def study_beat_contours(spark, d):
     x = _study(spark, d)
-    told = studies.beat_contours(x, studies.segments(x, 30.0, 12).where("quality"), 12, 120)[1]
+    told = studies.beat_contours(x, studies.marked_beats(x, 30.0, 12).where("quality"), 12, 120)[1]
     whole_numbers = [c for c in _CN if c in ("t1", "t2", "t_sub") or c.startswith("width")]
     return told.select("k", "beat", *(F.col(f"cn_{c}") if c in whole_numbers else r6(f"cn_{c}").alias(f"cn_{c}") for c in _CN))
 
