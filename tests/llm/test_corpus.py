@@ -431,3 +431,20 @@ def test_scores_of_long_texts_and_repeated_labels(spark):
     assert once == more and once[5000].predicted == 1 and once[5002].predicted == 0
     scored = {r.doc_id: r.score for r in quality.score_quality(both, again).collect() if r.doc_id is not None}
     assert all(0 <= scored[i] <= 1 for i in (5000, 5001, 5002))
+
+
+def test_windows_of_crowded_prefixes_are_no_rows(spark):
+    rng = random.Random(12)
+    rows = [(rng.randint(1, 3), doc, doc * 10, start, [rng.randint(1, 6) for _ in range(rng.randint(1, 9))]) for doc in range(1, 60) for start in (0, 20)]
+    least = {}
+    for prefix, doc, _, _, windows in rows:
+        for w in windows:
+            least[prefix, w] = min(least.get((prefix, w), doc), doc)
+    want = Counter((doc, start + i) for prefix, doc, _, start, windows in rows for i, w in enumerate(windows) if least[prefix, w] < doc)
+    records = spark.createDataFrame(rows, "prefix long, doc_id long, th long, start int, windows array<long>")
+    for together in (5, 10**6):  # prefixes in parts, and whole
+        found = substrings._whole_windows(records, 50, together)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        assert Counter((r.doc_id, s.start) for r in found.collect() for s in r.spans) == want
+    dealt = substrings._dealt_windows(records.selectExpr("prefix", "monotonically_increasing_id() as lid", "doc_id as low", "doc_id as high", "windows"), 10**6)
+    assert dealt.count() == len(rows)  # a record a list, not a row a window

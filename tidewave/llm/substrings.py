@@ -8,7 +8,7 @@ dealt out by prefix, and the records carry the words themselves: each task reads
 below as many as fit its memory by their words (ranks of 1, 2, 4 and up to 32 words by doubling), takes the common
 prefixes of neighbours, and every node at depth WINDOW gives the smallest document under it; neighbouring flagged windows
 make a maximal repeat. Prefixes have two lengths: one with more than HOT suffixes is lengthened to all WINDOW words, where
-each group is a node of its own that needs its smallest document only, which Spark aggregates before it shuffles.
+each group is a node of its own that needs its smallest document only; lists of windows are grouped before they are dealt.
 
 Equal texts have one tree place: the smallest doc_id's row stands for all, and in the others every window is repeated.
 Prefixes and the windows of lengthened ones go by 64-bit hashes, a window always together with its prefix; within a tree
@@ -250,16 +250,84 @@ def copied(keyed: DataFrame) -> DataFrame:
     return written(ids.join(least, ["th", "t2"]).where("doc_id > low").select("doc_id", "th").distinct(), "copies")
 
 
-def _whole_windows(records: DataFrame, window: int) -> DataFrame:
+def _dealt_windows(lists: DataFrame, together: int) -> DataFrame:
+    """The lists' windows by prefix and part of their hashes: prefix, part, lid, low, high, i (places in the list) and w. A prefix with n windows has n / together parts; a record a list and part."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("windows")
+            n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            w = column.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            part = (w.view(np.uint64) % np.repeat(batch.column("parts").to_numpy(), n).astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((part, row))
+            row, part = row[order], part[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])][: len(row)])
+            take, bounds = pa.array(row[first]), pa.array(np.append(first, len(row)).astype(np.int32))
+            i = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))[order]
+            lists = (pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (i.astype(np.int32), w[order]))
+            names = ["prefix", "lid", "low", "high"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), pa.array(part[first]), *lists], [*names, "part", "i", "w"])
+
+    parts = lists.groupBy("prefix").agg(F.sum(F.size("windows")).alias("n")).select("prefix", F.expr(f"(n + {together} - 1) div {together}").alias("parts")).where("parts > 1")
+    named = lists.join(F.broadcast(parts), "prefix", "left")  # at most one prefix for every `together` windows
+    return named.select("prefix", "lid", "low", "high", "windows", F.coalesce("parts", F.lit(1)).cast("long").alias("parts")).mapInArrow(run, "prefix long, lid long, low long, high long, part long, i array<int>, w array<long>")
+
+
+def _least_documents(dealt: DataFrame) -> DataFrame:
+    """Of each record of _dealt_windows the places whose window stands in a smaller document than the list's largest: prefix, lid, i and low, the smallest document."""
+
+    def told(held: list[pa.RecordBatch]):
+        whole = pa.Table.from_batches(held)
+        prefix, part, low, high = (whole.column(c).to_numpy() for c in ("prefix", "part", "low", "high"))
+        n = np.concatenate([b.column("w").value_lengths().to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+        i, w = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in held]) for c in ("i", "w"))
+        key = np.cumsum(np.r_[False, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((low[row], w, key[row]))
+        keys, sorted_w = key[row][order], w[order]
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (sorted_w[1:] != sorted_w[:-1])])
+        least = np.empty(len(w), np.int64)
+        least[order] = np.repeat(low[row][order][first], np.diff(np.append(first, len(w))))
+        keep = np.flatnonzero(least < high[row])
+        if len(keep):
+            kept = row[keep]
+            first = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
+            take, bounds = kept[first], pa.array(np.append(first, len(keep)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(bounds, pa.array(x[keep])) for x in (i, least))
+            yield pa.RecordBatch.from_arrays([*(whole.column(c).combine_chunks().take(pa.array(take)) for c in ("prefix", "lid")), *lists], ["prefix", "lid", "i", "low"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of whole prefixes and parts, but for the last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prefix, part = batch.column("prefix").to_numpy(), batch.column("part").to_numpy()
+            last = int(np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])[-1])
+            begins = not held or held[-1].column("prefix")[-1].as_py() != prefix[0] or held[-1].column("part")[-1].as_py() != part[0]
+            if last or begins:
+                if last:
+                    held.append(batch.slice(0, last))
+                if held:
+                    yield from told(held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from told(held)
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "prefix", "part").sortWithinPartitions("prefix", "part").mapInArrow(run, "prefix long, lid long, i array<int>, low array<long>")
+
+
+def _whole_windows(records: DataFrame, window: int, together: int = IN_MEMORY) -> DataFrame:
     """Of each record whose prefixes are lengthened to whole windows, the spans of its windows that a smaller document has.
 
-    Copies of a passage have the same list of windows, so lists are grouped first; what is joined are lists and records.
+    Copies of a passage have the same list of windows, so lists are grouped first. A list's windows stay together as arrays:
+    a task takes the windows of a prefix, or of a part of its windows' hashes where there are more than `together`.
     """
     listed = records.withColumn("lid", F.xxhash64("windows"))
-    lists = written(listed.groupBy("prefix", "lid").agg(F.min("doc_id").alias("low"), F.first("windows").alias("windows")), "lists")
-    each = lists.select("prefix", "lid", "low", F.posexplode("windows").alias("i", "w"))
-    least = written(each.groupBy("prefix", "w").agg(F.min("low").alias("low")), "least")  # apart, so that the join may split a hot window
-    lows = each.drop("low").join(least, ["prefix", "w"]).groupBy("prefix", "lid").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("lows"))  # at most RUN
+    lists = written(listed.groupBy("prefix", "lid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows").alias("windows")), "lists")
+    lows = written(_least_documents(_dealt_windows(lists, together)), "least").withColumn("lows", F.arrays_zip("i", "low"))
     beyond = F.filter(F.col("lows"), lambda x: x["low"] < F.col("doc_id"))
     spans = F.transform(beyond, lambda x: F.struct((F.col("start") + x["i"]).alias("start"), (F.col("start") + x["i"] + window).alias("end")))
     return listed.select("prefix", "lid", "doc_id", "th", "start").join(lows, ["prefix", "lid"]).select("doc_id", "th", spans.alias("spans")).where(F.size("spans") > 0)
