@@ -270,3 +270,22 @@ def test_deep_pages_take_time_by_their_length():
     began = time.perf_counter()
     assert extraction.main_text("<div>" * 50_000 + "text here and more of it" + "</span></p></section>" * 50_000, extraction.Weights({})) in ("", "text here and more of it")
     assert time.perf_counter() - began < 10
+
+
+def test_words_are_remembered_without_case_and_marks(monkeypatch):
+    encode = packing.WordIds(packing.default_tokenizer())
+    rng = random.Random(5)
+    bits = ["Word", "wORD", ".", ",***", "?!", "'s.", "it's.", "I'LL!", "é.", "é.", "A̸.", "Σ.", "x̸,", ".a", "a.b.", "<|endoftext|>", "<|endoftext|>.", "3.", "İ.", "a.̸", "K;", "漢.", "$$%", "a)́", "\0.", " ", "\n", "　", " ."]
+    rows = [*bits, "", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(3_000))]
+    for most in (300_000, 20):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        for at in range(0, len(rows), 100):
+            some = rows[at : at + 100]
+            ids, bounds = encode(pa.array(some, pa.large_string()))
+            want = [[*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in some]
+            assert [ids[i:j].tolist() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] == want
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    encode.forget()
+    for some in (["Word. word, WORD"], ["word one two three four five six"], ["seven"]):
+        encode(pa.array(some, pa.large_string()))
+    assert len(encode.keys) == 2  # word, which came again, and seven

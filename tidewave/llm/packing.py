@@ -12,6 +12,7 @@ packed once each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._common import clean_ids, spread, table, text_pieces, utf8_view, word_view, written
+from tidewave.llm._common import _SPACE, clean_ids, spread, table, text_pieces, utf8_view, word_view, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,6 +34,12 @@ PER_SALT = 1_000_000
 REMEMBERED = 300_000
 #: Stands between words that go through the library together, so many in a line; words that hold it go alone.
 SEPARATOR, TOGETHER = "\0", 64
+#: Marks that may be cut off words, and the patterns of pre-tokens by which that changes no id: a run of letters ends before them, a run of marks begins with them.
+MARKS = ".,;:!?*#%&$)"
+LETTERS_AND_MARKS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MARK, _LETTER = (np.isin(np.arange(256), [*x]) for x in (MARKS.encode(), bytes([*range(65, 91), *range(97, 123)])))
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -48,8 +55,10 @@ class WordIds:
     """Ids of whole texts by a `tokenizers` file that drops white space.
 
     White space always separates pre-tokens there, so texts are cut at it and each distinct word goes through the library
-    once per worker, many at a time with SEPARATOR between them. Words are told apart by 64-bit hashes within one memory
-    of REMEMBERED words (odds of a clash: one in 10**8 for a full memory).
+    once per worker, many at a time with SEPARATOR between them. Where the file lowers case, A to Z are lowered first; where
+    letters and marks are pre-tokens of their own, MARKS at a word's end after one of a to z are a word of their own. Words
+    are told apart by 64-bit hashes within one memory of REMEMBERED words (odds of a clash: one in 10**8 for a full memory);
+    a full one keeps those that came again.
     """
 
     def __init__(self, path: str):
@@ -59,12 +68,30 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        told = json.loads(self.tokenizer.to_str())
+        steps = lambda x, name: (x or {}).get(name, [x] if x else [])
+        normal, cuts = steps(told["normalizer"], "normalizers"), steps(told["pre_tokenizer"], "pretokenizers")
+        plain = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in normal)
+        added = "".join(x["content"] for x in told["added_tokens"])
+        self.lowers = plain and any(x["type"] == "Lowercase" for x in normal) and added == added.lower()
+        self.parts_marks = plain and bool(cuts) and cuts[0].get("pattern") in ({"Regex": x} for x in LETTERS_AND_MARKS) and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not set(added) & set(MARKS)
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.keys, self.slots, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)  # by hash
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # slot k's ids: first[k] to first[k + 1]
 
+    def trim(self) -> None:
+        """Keep the words that came again since the last time; none if they are more than half of what is remembered."""
+        slots = self.slots[self.again]
+        if 2 * len(slots) > REMEMBERED:
+            return self.forget()
+        keys, sizes = self.keys[self.again], self.first[slots + 1] - self.first[slots]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.first[slots] - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        self.forget()
+        self.keys, self.slots, self.again, self.first, self.ids = keys, np.arange(len(keys)), np.zeros(len(keys), bool), bounds, ids
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and how many each has."""
         together = self.mark is not None and not any(SEPARATOR in w for w in words)
@@ -76,38 +103,62 @@ class WordIds:
         ends = np.flatnonzero(flat == self.mark)
         return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
 
-    def learn(self, words: list[str], hashes: list[int]) -> None:
-        if len(self.slots) > REMEMBERED:
-            self.forget()
-        odd = [SEPARATOR in w for w in words]
-        groups = [[k for k, x in enumerate(odd) if x is side] for side in (False, True)]
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """Take words of sorted hashes that aren't remembered."""
+        odd = np.asarray([SEPARATOR in w for w in words])
+        groups = [np.flatnonzero(odd == side) for side in (False, True)]
         held, counts = [self.ids], []
         for group in groups:
-            if group:
-                ids, n = self._encoded([words[k] for k in group])
+            if len(group):
+                ids, n = self._encoded([words[k] for k in group.tolist()])
                 held.append(ids)
                 counts.append(n)
-        self.slots.update(zip((hashes[k] for group in groups for k in group), range(len(self.first) - 1, len(self.first) - 1 + len(words)), strict=True))
+        slots = np.empty(len(words), np.int64)
+        slots[np.concatenate(groups)] = len(self.first) - 1 + np.arange(len(words))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.slots, self.again = np.insert(self.keys, at, hashes), np.insert(self.slots, at, slots), np.insert(self.again, at, False)
         self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate(counts)))
         self.ids = np.concatenate(held)
 
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes among the keys, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """word_view, with the marks at words' ends as words of their own."""
+        cuts = None
+        if self.parts_marks and len(data):
+            marks = np.concatenate([[False], _MARK[data], [False]])
+            begins, ends = np.flatnonzero(marks[1:] & ~marks[:-1]), np.flatnonzero(marks[:-1] & ~marks[1:])
+            row_ends = np.zeros(len(data) + 1, bool)
+            row_ends[offsets] = True
+            closed = row_ends[ends] | _SPACE[data[np.minimum(ends, len(data) - 1)]]
+            cuts = begins[closed & _LETTER[data[begins - 1]] & ~row_ends[begins]]
+            # a run of marks over the end of a row is left whole
+        return word_view(data, offsets, cuts)
+
     def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and where each text's ids start (texts + 1 numbers)."""
         data, offsets = utf8_view(texts)
-        starts, ends, hashes, firsts = word_view(data, offsets)
+        if self.lowers:
+            data = _LOWER[data]
+        starts, ends, hashes, firsts = self._words(data, offsets)
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        slots = np.fromiter((self.slots.get(h, -1) for h in listed), np.int64, len(listed))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            if len(self.slots) > REMEMBERED:
-                self.forget()
-                new = np.arange(len(listed))
+        place, known = self._known(distinct)
+        if not known.all():
+            if len(self.keys) > REMEMBERED:
+                self.trim()
+                place, known = self._known(distinct)
+            self.again[place[known]] = True
+            new = np.flatnonzero(~known)
             raw = data.tobytes()
             spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
-            self.learn([raw[i:j].decode() for i, j in spans], [listed[k] for k in new])
-            slots[new] = [self.slots[listed[k]] for k in new]
-        word = slots[back]
+            self.learn([raw[i:j].decode() for i, j in spans], distinct[new])
+            place, _ = self._known(distinct)
+        else:
+            self.again[place] = True
+        word = self.slots[place][back]
         sizes = self.first[word + 1] - self.first[word]
         before = np.concatenate([[0], np.cumsum(sizes)])
         row = np.repeat(np.arange(len(texts)), np.diff(firsts))
