@@ -1,11 +1,15 @@
 """What larger tables brought up: ties, plans without a step that grows, groups that one task can't hold."""
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewave.operators import beats, colour, studies
-from tidewave.operators.waves import upsampled
+from tidewave.operators import beats, colour, relational, studies
+from tidewave.operators.waves import to_length, upsampled
 from tidewave.plans import QUERIES
+from tidewave.sources.tables import cut_beats
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,3 +58,15 @@ def test_likeness_of_whole_beats_is_that_of_their_samples(spark):
     even = upsampled(x, 20, ("k", "beat"), "t").withColumnRenamed("i", "pos")
     want = {(r.k, r.beat): r.sqi and round(r.sqi, 9) for r in beats.quality(even).collect()}
     assert {(r.k, r.beat): r.sqi and round(r.sqi, 9) for r in beats.alike(beats.whole_beats(x), 20).collect()} == want
+
+
+def test_pairs_of_a_crowded_stem_are_many_tasks(spark):
+    rows = [(i, f"d{i % 3}/{'many' if i % 10 else f'n{i // 20}'}.csv") for i in range(400)]
+    files = spark.createDataFrame(rows, "id long, path string")
+    left, right = files.where("id % 2 = 0"), files.where("id % 4 > 0")
+    stem = {i: p.split("/")[1][:-4] for i, p in rows}
+    want = Counter((stem[i], p, q) for i, p in rows if i % 2 == 0 for j, q in rows if j % 4 > 0 and stem[i] == stem[j])
+    for side in (7, 1_000):
+        assert Counter(map(tuple, relational.pairs_by_stem(left, right, "path", ("id",), side).collect())) == want
+    found = relational.pairs_by_stem(left, right, "path", ("id",), 7)
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < sum(want.values()) / 2

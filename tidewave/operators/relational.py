@@ -22,9 +22,28 @@ def stems(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("stem", F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
 
 
-def pairs_by_stem(left: DataFrame, right: DataFrame, path: str = "path") -> DataFrame:
-    a, b = stems(left, path).select("stem", F.col(path).alias("left_path")), stems(right, path).select("stem", F.col(path).alias("right_path"))
-    return a.join(b, "stem")
+#: Files of one stem on either side whose pairs a task makes at a time.
+SIDE = 1_000
+
+
+def pairs_by_stem(left: DataFrame, right: DataFrame, path: str = "path", by: tuple[str, ...] = (), side: int = SIDE) -> DataFrame:
+    """stem, left_path, right_path of all pairs of files with one stem.
+
+    A stem with many files is dealt out in squares of about `side` files each way, by hashes of the path and of `by`, which
+    tells files of one path apart; so no task makes all of its pairs.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = [stems(x, path).select("stem", F.col(path).alias(f"{name}_path"), F.xxhash64(path, *by).alias("_hash")) for x, name in ((left, "left"), (right, "right"))]
+    sides = [x.select("stem", *(F.lit(int(i == k)).alias(f"_{k}") for k in (0, 1))) for i, x in enumerate(files)]
+    counts = sides[0].unionAll(sides[1]).groupBy("stem").agg(*(F.ceil(F.sum(f"_{k}") / side).alias(f"_{k}") for k in (0, 1)))
+    wide = counts.where("_0 * _1 > 1")  # at most two stems for every `side` files
+    cells = []
+    for own, x in enumerate(files):
+        told = x.join(F.broadcast(wide), "stem", "left")
+        mine, all_other = F.pmod("_hash", F.coalesce(f"_{own}", F.lit(1))), F.explode(F.sequence(F.lit(0), F.coalesce(f"_{1 - own}", F.lit(1)) - 1))
+        cells.append(told.select("stem", x.columns[1], mine.alias(f"_at{own}"), all_other.alias(f"_at{1 - own}")))
+    keys = ["stem", "_at0", "_at1"]
+    return cells[0].repartition(n, *keys).join(cells[1].repartition(n, *keys), keys).drop("_at0", "_at1")
 
 
 def channels(x: DataFrame, names: list[str], keys: list[str], value: str = "v", channel: str = "channel") -> DataFrame:
