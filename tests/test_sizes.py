@@ -70,3 +70,21 @@ def test_pairs_of_a_crowded_stem_are_many_tasks(spark):
         assert Counter(map(tuple, relational.pairs_by_stem(left, right, "path", ("id",), side).collect())) == want
     found = relational.pairs_by_stem(left, right, "path", ("id",), 7)
     assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < sum(want.values()) / 2
+
+
+def test_beats_of_few_labels_are_many_tasks(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1009, i % 3 or None) for i in range(1009)], "id long, label long")
+    want = {r.id: r.n for r in rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).collect()}
+    assert {r.id: r["rank"] for r in relational.rank_within(rows, "label", F.col("id"), parts=8, per_part=4).collect()} == want
+    conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = cut_beats(spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("task").alias("n")).agg(F.min("n")).first()[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+    assert tasks == 4
+
+
+def test_third_derivatives_of_a_batch_go_together():
+    y = np.random.RandomState(4).rand(40, 9)
+    y = to_length(y, np.full(len(y), 9), 200)
+    one_by_one = [beats.derivative_waves(x, 200.0) for x in y]
+    assert sum(x is not None for x in one_by_one) > 5 and repr(beats.waves_of(y, 200.0)) == repr(one_by_one)

@@ -338,13 +338,26 @@ def wide_peaks(v: np.ndarray, distance: int = 5, width: float = 5.0) -> np.ndarr
 
 def derivative_waves(y: np.ndarray, rate: float) -> list[float] | None:
     """The 23 features of a pulse's derivatives (WAVES); None if the second one has fewer than four wide turns, or the third fewer than two peaks."""
-    one = np.diff(y)
-    two = np.diff(one)
-    three = bandpass(0.4, 12.0, rate)(np.diff(two))
-    at = np.sort(np.concatenate([wide_peaks(two), wide_peaks(-two)]))
+    return waves_of(y[None], rate)[0]
+
+
+def waves_of(y: np.ndarray, rate: float) -> list[list[float] | None]:
+    """derivative_waves of the rows of a matrix: derivatives, band-pass and peaks of the third one are taken of all rows at once."""
+    one = np.diff(y, axis=1)
+    two = np.diff(one, axis=1)
+    three = np.diff(two, axis=1)
+    three = bandpass(0.4, 12.0, rate).rows(three, np.full(len(three), three.shape[1]))
     reach = max(int(rate / 20), 1)
-    inner = np.arange(1, max(len(three) - 1, 1))
-    tops = [i for i in inner if i < len(three) and (three[i] > np.delete(three[max(0, i - reach) : i + reach + 1], min(i, reach))).all()]
+    padded = np.pad(three, ((0, 0), (reach, reach)), constant_values=-np.inf)
+    beside = np.lib.stride_tricks.sliding_window_view(padded, reach, axis=1).max(-1)  # NaN where there is one
+    is_top = (three > beside[:, : three.shape[1]]) & (three > beside[:, reach + 1 :])
+    is_top[:, :1] = is_top[:, -1:] = False
+    return [_waves(*parts) for parts in zip(one, two, is_top, strict=True)]
+
+
+def _waves(one: np.ndarray, two: np.ndarray, is_top: np.ndarray) -> list[float] | None:
+    at = np.sort(np.concatenate([wide_peaks(two), wide_peaks(-two)]))
+    tops = np.flatnonzero(is_top)
     if len(at) < 4 or len(tops) < 2:
         return None
     a, b, c, d = two[at[:4]]
@@ -363,7 +376,7 @@ def derivative_features(beats: DataFrame, size: int, keys: tuple[str, ...] = ("k
 
     def run(batches):
         for part, v, n in matrices(batches):
-            found = [derivative_waves(y, float(size)) for y in to_length(v, n, size)]
+            found = waves_of(to_length(v, n, size), float(size))
             keep = [i for i, x in enumerate(found) if x is not None]
             take = pa.array(keep, pa.int64())
             columns = np.asarray([found[i] for i in keep], float).reshape(-1, len(WAVES)).T

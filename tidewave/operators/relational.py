@@ -162,11 +162,27 @@ def global_rank(x: DataFrame, key: Column, name: str = "rank", parts: int = 64,
     A bounded sample of keys (those with the smallest hashes) bounds ranges; each is ranked by itself and shifted by the
     rows before it. Rows with a null key come first, in no set order.
     """
-    keyed = x.withColumn("_key", key)
-    sample = sorted(r[0] for r in keyed.where("_key is not null").select("_key").orderBy(F.xxhash64("_key"), "_key").limit(parts * per_part).collect())
-    bounds = sorted(set(sample[per_part::per_part]))
-    dealt = keyed.withColumn("_part", F.when(F.col("_key").isNotNull(), _range_of(F.col("_key"), bounds)).otherwise(F.lit(0)))
+    dealt = _in_ranges(x, key, parts, per_part)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
     shifts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     ranked = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
     return ranked.join(F.broadcast(shifts), "_part").withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_key", "_part", "_shift")
+
+
+def rank_within(x: DataFrame, group: str, key: Column, name: str = "rank", parts: int = 64, per_part: int = 32) -> DataFrame:
+    """Each row's place (from 0) among those of its group (null is one), in the order of a key without ties; ranked by group and range, as few groups may hold all rows."""
+    dealt = _in_ranges(x, key, parts, per_part)
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = dealt.withColumn(name, F.row_number().over(Window.partitionBy(group, "_part").orderBy("_key")) - 1)
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_range"))
+    return ranked.join(shifts, same).withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_key", "_part", "_shift", "_group", "_range")
+
+
+def _in_ranges(x: DataFrame, key: Column, parts: int, per_part: int) -> DataFrame:
+    """x with _key and _part: the key's range between bounds from a sample; rows with a null key are in the first."""
+    keyed = x.withColumn("_key", key)
+    sample = sorted(r[0] for r in keyed.where("_key is not null").select("_key").orderBy(F.xxhash64("_key"), "_key").limit(parts * per_part).collect())
+    bounds = sorted(set(sample[per_part::per_part]))
+    return keyed.withColumn("_part", F.when(F.col("_key").isNotNull(), _range_of(F.col("_key"), bounds)).otherwise(F.lit(0)))
