@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewave.operators import beats, colour, relational, studies
 from tidewave.operators.waves import to_length, upsampled
 from tidewave.plans import QUERIES
+from tidewave.sources import tables
 from tidewave.sources.tables import cut_beats
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,3 +89,12 @@ def test_third_derivatives_of_a_batch_go_together():
     y = to_length(y, np.full(len(y), 9), 200)
     one_by_one = [beats.derivative_waves(x, 200.0) for x in y]
     assert sum(x is not None for x in one_by_one) > 5 and repr(beats.waves_of(y, 200.0)) == repr(one_by_one)
+
+
+def test_tasks_of_series_are_as_many_as_their_rows_ask_for(spark, monkeypatch):
+    whole = tables.colour_traces(spark, SMALL)
+    want = Counter(map(tuple, whole.collect()))
+    monkeypatch.setattr(tables, "ROWS", 200)
+    more = tables.colour_traces(spark, SMALL)
+    assert more.rdd.getNumPartitions() == -(-sum(want.values()) // 200)
+    assert Counter(map(tuple, more.collect())) == want
