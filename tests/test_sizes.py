@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewave.operators import beats, colour, relational, studies
+from tidewave.operators import beats, colour, datasets, relational, studies
 from tidewave.operators.waves import to_length, upsampled
 from tidewave.plans import QUERIES
 from tidewave.sources import tables
@@ -98,3 +98,11 @@ def test_tasks_of_series_are_as_many_as_their_rows_ask_for(spark, monkeypatch):
     more = tables.colour_traces(spark, SMALL)
     assert more.rdd.getNumPartitions() == -(-sum(want.values()) // 200)
     assert Counter(map(tuple, more.collect())) == want
+
+
+def test_aligned_sources_are_summed_without_copies(spark):
+    rows = [("a", 1, 1, 5.0), ("a", 1, 2, None), ("a", 1, 3, 7.0), ("b", 1, 1, 2.0), ("b", 1, 2, 3.0), ("b", 2, 1, 4.0)]
+    x = spark.createDataFrame(rows, "name string, k long, t long, v double")
+    found = datasets.aligned({n: x.where(F.col("name") == n).drop("name") for n in "ab"})
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 5.0, 2.0), (1, 2, None, 3.0)]
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString() and found._jdf.queryExecution().executedPlan().toString().count("HashAggregate") <= 2
