@@ -290,6 +290,14 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert clean.columns == docs.columns and 900 not in {r.doc_id for r in clean.collect()} and clean.where("score = 0.1").count() == clean.count()
 
 
+def test_toxicity_merges_no_sorted_rows_in_the_driver(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    collect, limited = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda self: (limited.append("Limit" in self._jdf.queryExecution().optimizedPlan().toString()), collect(self))[1])
+    assert toxicity.fit(docs, labels).machine is not None
+    assert limited and not any(limited)
+
+
 def test_altered_insults_are_found(spark):
     """One insult, altered at random, in twelve words of a clean document; the detector is the one of the sf0.1 tables."""
     top = "/root/testdata/sf0.1"

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -376,6 +376,15 @@ def counted_words(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.sum(F.expr("1 - label")).alias("n"), F.sum("label").alias("t"))
 
 
+def first_words(counts: DataFrame, count: str, limit: int, order: Column) -> list[tuple[str, int]]:
+    """The first `limit` stretches by order and letters, with their count, the most frequent first.
+
+    They come as Arrow batches of one task that merges every task's first ones; collect() would merge these in the driver.
+    """
+    found = counts.orderBy(order, "word").limit(limit).select("word", F.col(count).alias("times")).toArrow()
+    return sorted(zip(found["word"].to_pylist(), found["times"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Detector:
     """A detector from the labelled rows that aren't held out, at most `limit` of them."""
     known = labels.select(F.col("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where(f"label is not null and doc_id is not null and not ({HELD})")
@@ -388,11 +397,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     sums = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     share_t, share_n = F.col("t") / max(sums.t or 0, 1), (F.col("n") + 0.5) / max(sums.n or 0, 1)
     able = counts.where(F.length("word") >= 3)
-    positive = able.where((F.col("t") >= SEEN) & (share_t > RATIO * share_n)).orderBy(F.desc("t"), "word").limit(POSITIVES).collect()
-    positive = sorted(((r.word, r.t) for r in positive), key=lambda x: (-x[1], x[0]))
+    positive = first_words(able.where((F.col("t") >= SEEN) & (share_t > RATIO * share_n)), "t", POSITIVES, F.desc("t"))
     clean = able.where((F.col("n") > 0) & (share_t < 4 * share_n))
-    common = [r.word for r in sorted(clean.orderBy(F.desc("n"), "word").limit(POOL).collect(), key=lambda r: (-r.n, r.word))]
-    others = {r.word for r in clean.orderBy(F.xxhash64("word"), "word").limit(POOL).collect()}
+    common = [w for w, _ in first_words(clean, "n", POOL, F.desc("n"))]
+    others = {w for w, _ in first_words(clean, "n", POOL, F.xxhash64("word"))}
     machine = train_words(positive, common + sorted(others - set(common)), len(common))
     if machine is None:
         return Detector()
