@@ -60,6 +60,41 @@ def test_long_texts_are_read_in_overlapping_pieces(spark, monkeypatch):
     assert cut_rows(docs) == brute_bytes([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_only_unequal_runs_are_sent_with_their_bytes(spark, monkeypatch):
+    scan, sent = suffixarrays.merge_scan, []
+
+    def spy(records, *limits):
+        sent.append(records.selectExpr("sum(length(bytes))").first()[0] or 0)
+        return scan(records, *limits)
+
+    monkeypatch.setattr(suffixarrays, "merge_scan", spy)
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=5_000))
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(40)]
+    shared = [(i, f"{rng.random()}{passage}{rng.random()}") for i in range(60)]
+    chance = [(i, " ".join(rng.choices(words, k=400))) for i in range(150)]  # three words come again, ten don't
+    several = [(i // 4, t) for i, t in shared + shared[:9]] + [(i // 7, t[1:]) for i, t in shared]  # rows of one document
+    assert cut_rows(spark.createDataFrame(several, "doc_id long, text string")) == brute_bytes(several)
+    for rows in (shared, chance):
+        assert cut_rows(spark.createDataFrame(rows, "doc_id long, text string")) == brute_bytes(rows)
+        assert sent[-1] < 0.1 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize(("window", "prefix"), [(50, 16), (9, 4), (5, 5), (6, 5)])
+def test_equal_windows_have_equal_anchors(window, prefix):
+    rng = random.Random(window)
+    chunks = ["".join(rng.choices("ab", k=70)), "".join(rng.choices("abcdefgh", k=120)), "ab" * 60, "-" * 700, "abcdefg" * 20]
+    texts = ["".join(rng.choices(chunks, k=rng.randint(0, 3))).encode()[rng.randint(0, 60) :] for _ in range(60)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    anchors, runs, seen = {}, {}, 0
+    for row, start, n, anchor, run in zip(*(x.tolist() for x in suffixarrays.filed(data, offsets, window, prefix)), strict=True):
+        assert 1 <= n <= suffixarrays.RUN and runs.setdefault(run, texts[row][start : start + n + window - 1]) == texts[row][start : start + n + window - 1]
+        seen += n
+        for k in range(start, start + n):
+            assert anchors.setdefault(texts[row][k : k + window], anchor) == anchor
+    assert seen == sum(max(len(t) - window + 1, 0) for t in texts)
+
+
 def test_levels_fall_geometrically():
     rng = np.random.RandomState(2)
     family, seen, moved = suffixarrays.Family(), set(), 0
